@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: patterns ---------------------------------------------------------------------
-# (?d): only \n ends a line. Lines are split before most of these apply.
+# (?d): only \n ends a line; (?s): a dot matches any character of one.
 MAGIC_LINE = r"(?md)^[ \t]*[%!][^\n]*"
-PIP_LINE = r"^[ \t]*[!%]pip(?:[ \t]+(?:install|--quiet|-q))+[ \t]+(.+?)[ \t]*$"
-DOWNLOAD_LINE = r"^[ \t]*![ \t]*(wget|curl)\b[ \t]*(.+?)[ \t]*$"
+PIP_LINE = r"(?ds)^[ \t]*[!%]pip(?:[ \t]+(?:install|--quiet|-q))+[ \t]+(.+?)[ \t]*$"
+DOWNLOAD_LINE = r"(?ds)^[ \t]*![ \t]*(wget|curl)\b[ \t]*(.+?)[ \t]*$"
 PIP_FLAG = r"^--?[A-Za-z][\w-]*(=\S+)?$"
 PINNED = r"==|~=|>|<|@|git\+|https?://"
 CHECKSUM_HINT = r"sha256|sha512|md5sum|shasum|hashlib"
