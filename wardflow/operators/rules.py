@@ -16,7 +16,7 @@ from ..dims import RULES, SECRET_PATTERNS, lookup
 from ..functions import severity as sev
 from ..functions import text as tx
 from ..sources import notebooks as nb
-from ..sources.requirements import requirement_lines
+from ..sources.requirements import names_requirement, requirement_lines
 from ..sources.tool_json import read_advisories, read_pattern_results
 from . import callsites as cs
 
@@ -53,58 +53,82 @@ def as_findings(
     )
 
 
+# A hit is what a rule says about one place; as_findings completes it from the rule table.
+def hit(
+    rule_id: Column | str, line_start: Column, line_end: Column, message: Column, evidence: Column, order: int = 0
+) -> Column:
+    rule_id = F.lit(rule_id) if isinstance(rule_id, str) else rule_id
+    return F.struct(
+        rule_id.alias("rule_id"), F.lit(order).alias("source_order"), line_start.cast("int").alias("line_start"),
+        line_end.cast("int").alias("line_end"), message.alias("message"), evidence.alias("evidence"),
+    )
+
+
+NO_HITS = "cast(array() AS array<struct<rule_id: string, source_order: int, line_start: int, line_end: int, " \
+          "message: string, evidence: string>>)"
+_MARGIN = r"^\s+|\s+$"
+
+
 # --- supply chain -------------------------------------------------------------------------------
 
+MAYBE_INSTALL = r"[!%]pip|wget|curl"
+
+
+def install_line_hits(line: Column, line_no: Column, cell_idx: Column, verified: Column) -> Column:
+    """Unpinned installs and unverified downloads on one line of a code cell."""
+    cell, evidence = cell_idx.cast("string"), F.regexp_replace(line, _MARGIN, "")
+    specs = F.filter(tx.package_specs(F.regexp_extract(line, tx.PIP_LINE, 1)), lambda s: ~tx.is_pinned(s))
+    installs = F.transform(specs, lambda s: hit(
+        "supply_chain.unpinned-pip-install", line_no, line_no,
+        F.concat(F.lit("`"), s, F.lit("` is installed without a version (cell "), cell, F.lit(")")), evidence,
+    ))
+    tool = F.regexp_extract(line, tx.DOWNLOAD_LINE, 1)
+    download = F.array(hit(
+        "supply_chain.untrusted-wget-source", line_no, line_no,
+        F.concat(F.lit("`"), tool, F.lit("` downloads a file that no cell verifies (cell "), cell, F.lit(")")), evidence,
+    ))
+    return F.when(line.rlike(tx.PIP_LINE), installs).when(
+        line.rlike(tx.DOWNLOAD_LINE) & ~verified, download
+    ).otherwise(F.expr(NO_HITS))
+
+
+def verifies_downloads(code: Column) -> Column:
+    """Any mention of a digest anywhere in the notebook's code."""
+    return F.exists(code, lambda c: tx.has_checksum_hint(c["source"]))
+
+
 def install_lines(notebooks: DataFrame) -> DataFrame:
     """Shell lines of code cells that install packages or download files, one row per line."""
-    cells = notebooks.select("path", nb.code_cells(nb.cells("content")).alias("code")).select(
-        "path", F.exists("code", lambda c: tx.has_checksum_hint(c["source"])).alias("verified"),
-        F.explode("code").alias("c"),
-    )
+    cells = notebooks.filter(F.col("content").rlike(MAYBE_INSTALL)).select(
+        "path", nb.code_cells(nb.cells("content")).alias("code")
+    ).select("path", verifies_downloads(F.col("code")).alias("verified"), F.explode("code").alias("c"))
     rows = cells.select("path", "verified", "c.cell_idx", F.posexplode(tx.lines(F.col("c.source"))).alias("pos", "line"))
     return rows.filter(F.col("line").rlike(tx.PIP_LINE) | F.col("line").rlike(tx.DOWNLOAD_LINE)).withColumn(
         "line_no", F.col("pos") + 1
     )
 
 
-def _line_hit(rule_id: str, message: Column) -> DataFrame:
-    return F.struct(F.lit(rule_id).alias("rule_id"), message.alias("message"))
-
-
 def notebook_supply_chain(notebooks: DataFrame) -> DataFrame:
     """Unpinned installs and unverified downloads of notebooks `(path, content)`."""
-    line, cell = F.col("line"), F.col("cell_idx").cast("string")
-    specs = F.filter(tx.package_specs(F.regexp_extract(line, tx.PIP_LINE, 1)), lambda s: ~tx.is_pinned(s))
-    installs = F.transform(specs, lambda s: _line_hit(
-        "supply_chain.unpinned-pip-install",
-        F.concat(F.lit("`"), s, F.lit("` is installed without a version (cell "), cell, F.lit(")")),
-    ))
-    tool = F.regexp_extract(line, tx.DOWNLOAD_LINE, 1)
-    download = F.array(_line_hit(
-        "supply_chain.untrusted-wget-source",
-        F.concat(F.lit("`"), tool, F.lit("` downloads a file that no cell verifies (cell "), cell, F.lit(")")),
-    ))
-    nothing = F.slice(download, 1, 0)
-    hits = F.concat(
-        F.when(line.rlike(tx.PIP_LINE), installs).otherwise(nothing),
-        F.when(line.rlike(tx.DOWNLOAD_LINE) & ~F.col("verified"), download).otherwise(nothing),
-    )
     found = install_lines(notebooks).select(
-        "path", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
-        F.regexp_replace("line", r"^\s+|\s+$", "").alias("evidence"), F.inline(hits),
+        "path", F.inline(install_line_hits(F.col("line"), F.col("line_no"), F.col("cell_idx"), F.col("verified")))
     )
     return as_findings(found)
 
 
+def requirement_line_hit(raw: Column, line_no: Column, path: Column) -> Column:
+    """The hit of one line of a requirement list, NULL when it is pinned or names no requirement."""
+    line, name = F.regexp_replace(raw, _MARGIN, ""), F.element_at(F.split(path, "/"), -1)
+    found = hit("supply_chain.unpinned-requirement", line_no, line_no,
+                F.concat(F.lit("`"), line, F.lit("` in "), name, F.lit(" has no version")), raw)
+    return F.when(names_requirement(line) & ~tx.is_pinned(line), found)
+
+
 def requirement_findings(files: DataFrame) -> DataFrame:
     """Requirements without a version, of `(path, content)` requirement lists."""
-    name = F.element_at(F.split("path", "/"), -1)
-    found = requirement_lines(files).filter(~tx.is_pinned(F.col("line"))).select(
-        "path", F.lit("supply_chain.unpinned-requirement").alias("rule_id"),
-        F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
-        F.concat(F.lit("`"), "line", F.lit("` in "), name, F.lit(" has no version")).alias("message"),
-        F.col("raw").alias("evidence"),
-    )
+    found = requirement_lines(files).select(
+        "path", requirement_line_hit(F.col("raw"), F.col("line_no"), F.col("path")).alias("h")
+    ).filter(F.col("h").isNotNull()).select("path", "h.*")
     return as_findings(found)
 
 
@@ -168,92 +192,81 @@ def _is_true(fact: Column, keyword: str) -> Column:
     return F.coalesce(F.try_element_at(fact["kwargs"], F.lit(keyword)) == "True", F.lit(False))
 
 
-def _named(text: str, *parts: Column) -> Column:
-    return F.format_string(text, *parts)
-
-
-def call_site_findings(facts: DataFrame) -> DataFrame:
-    """Loader, leakage and hygiene findings from `notebook_facts` / `python_facts`.
+def call_site_hits(f: Column, source_kind: Column, starts: Column, split: Column, dropped: Column) -> Column:
+    """Loader, leakage and hygiene hits of one fact.
 
     Three line systems meet here: loader rules count lines of the joined cells, leakage rules count
     lines within a code cell (and name it), plain files count their own lines.
     """
-    f, starts = F.col("f"), F.col("cell_starts")
-    in_notebook = F.col("source_kind") == "notebook"
-    first_line, last_line, split = f["line_start"], f["line_end"], F.col("split_line")
-    is_call = f["kind"] == "call"
-    full, attr, arg = f["qualified_name"], f["attr"], f["first_arg_name"]
-
-    cell = nb.code_cell_of(first_line, starts)
-    prefix = F.when(in_notebook, F.format_string("[cell %d] ", cell)).otherwise("")
+    in_notebook = source_kind == "notebook"
+    first_line, last_line, arg = f["line_start"], f["line_end"], f["first_arg_name"]
+    is_call, full, attr = f["kind"] == "call", f["qualified_name"], f["attr"]
+
+    prefix = F.when(in_notebook, F.format_string("[cell %d] ", nb.code_cell_of(first_line, starts))).otherwise("")
     cell_first = F.when(in_notebook, nb.line_in_cell(first_line, starts)).otherwise(first_line)
     cell_last = F.when(in_notebook, nb.line_in_cell(last_line, starts)).otherwise(last_line)
     seen_at = F.when(in_notebook, nb.marked_line(first_line, starts)).otherwise(first_line)
     split_at = F.when(in_notebook, nb.marked_line(split, starts)).otherwise(split)
 
-    def hit(rule: str, order: int, message: Column, joined: bool = False) -> Column:
-        return F.struct(
-            F.lit(rule).alias("rule_id"), F.lit(order).alias("source_order"),
-            (first_line if joined else cell_first).alias("line_start"),
-            (last_line if joined else cell_last).alias("line_end"),
-            (message if joined else F.concat(prefix, message)).alias("message"),
-            f["evidence"].alias("evidence"),
-        )
+    def loads(rule: str, condition: Column, message: Column) -> Column:
+        return F.when(condition, hit(rule, first_line, last_line, message, f["evidence"]))
 
-    def when(condition: Column, found: Column) -> Column:
-        return F.when(is_call & F.coalesce(condition, F.lit(False)), found)
+    def leaks(rule: str, order: int, condition: Column, message: Column) -> Column:
+        return F.when(condition, hit(rule, cell_first, cell_last, F.concat(prefix, message), f["evidence"], order))
 
     fits = attr.isin(*cs.FIT_METHODS) & ~f["first_arg_is_literal"]
-    plain = F.col("source_kind") == "python"
+    plain, shown = source_kind == "python", f["first_arg_text"]
     no_shuffle = F.try_element_at(f["kwargs"], F.lit("shuffle")) == "False"
-    single = F.array_compact(F.array(
-        when(full == "joblib.load", hit(
-            "deserialization.unsafe-joblib-load", 0,
-            F.lit("`joblib.load` unpickles the file and runs whatever code it carries"), True)),
-        when(full.isin("pickle.load", "pickle.loads", "cPickle.load"), hit(
-            "deserialization.unsafe-pickle-load", 0, _named("`%s` runs whatever code the data carries", full), True)),
-        when((full == "torch.load") & ~_is_true(f, "weights_only"), hit(
-            "deserialization.unsafe-torch-load", 0, F.lit("`torch.load` without `weights_only=True` unpickles the file"), True)),
-        when((full == "numpy.load") & _is_true(f, "allow_pickle"), hit(
-            "deserialization.unsafe-numpy-load", 0, F.lit("`numpy.load` with `allow_pickle=True` unpickles the file"), True)),
-        when(attr.isin("fit", "fit_transform") & tx.is_test_name(arg), hit(
-            "leakage.fit-on-test", 1, _named("`%s(%s, ...)` is fitted on test data", attr, arg))),
-        when(fits & (first_line < split), hit(
-            "leakage.preprocessing-before-split", 3,
-            _named("fitted on the full data (line %d) before the split (line %d)", seen_at, split_at))),
-        when(plain & (attr == "fit") & tx.has_test_prefix(f["first_arg_text"]), hit(
-            "ml-hygiene.fit-on-test-arg", 4, _named("`fit(%s, ...)` is fitted on a test variable", f["first_arg_text"]))),
-        when(plain & (attr == "fit_transform") & tx.has_test_prefix(f["first_arg_text"]), hit(
-            "ml-hygiene.fit-transform-on-test-arg", 4,
-            _named("`fit_transform(%s, ...)` is fitted on a test variable", f["first_arg_text"]))),
-        when(plain & (f["bare_name"] == cs.SPLIT) & no_shuffle & ~F.map_contains_key(f["kwargs"], "stratify"), hit(
-            "ml-hygiene.train-test-split-with-shuffle-false", 4, F.lit("the split neither shuffles nor stratifies"))),
+    of_call = F.array_compact(F.array(
+        loads("deserialization.unsafe-joblib-load", full == "joblib.load",
+              F.lit("`joblib.load` unpickles the file and runs whatever code it carries")),
+        loads("deserialization.unsafe-pickle-load", full.isin("pickle.load", "pickle.loads", "cPickle.load"),
+              F.format_string("`%s` runs whatever code the data carries", full)),
+        loads("deserialization.unsafe-torch-load", (full == "torch.load") & ~_is_true(f, "weights_only"),
+              F.lit("`torch.load` without `weights_only=True` unpickles the file")),
+        loads("deserialization.unsafe-numpy-load", (full == "numpy.load") & _is_true(f, "allow_pickle"),
+              F.lit("`numpy.load` with `allow_pickle=True` unpickles the file")),
+        leaks("leakage.fit-on-test", 1, attr.isin("fit", "fit_transform") & tx.is_test_name(arg),
+              F.format_string("`%s(%s, ...)` is fitted on test data", attr, arg)),
+        leaks("leakage.preprocessing-before-split", 3, fits & (first_line < split),
+              F.format_string("fitted on the full data (line %d) before the split (line %d)", seen_at, split_at)),
+        leaks("ml-hygiene.fit-on-test-arg", 4, plain & (attr == "fit") & tx.has_test_prefix(shown),
+              F.format_string("`fit(%s, ...)` is fitted on a test variable", shown)),
+        leaks("ml-hygiene.fit-transform-on-test-arg", 4, plain & (attr == "fit_transform") & tx.has_test_prefix(shown),
+              F.format_string("`fit_transform(%s, ...)` is fitted on a test variable", shown)),
+        leaks("ml-hygiene.train-test-split-with-shuffle-false", 4,
+              plain & (f["bare_name"] == cs.SPLIT) & no_shuffle & ~F.map_contains_key(f["kwargs"], "stratify"),
+              F.lit("the split neither shuffles nor stratifies")),
     ))
     context = F.when(f["kind"] == "annotated", "an annotated assignment").otherwise("an assignment")
-    proxies = F.filter(f["strings"], lambda s: tx.is_label_proxy(s) & ~F.array_contains(F.col("dropped"), s))
-    proxy_hits = F.transform(proxies, lambda s: F.struct(
-        F.lit("leakage.label-proxy-feature").alias("rule_id"), F.lit(2).alias("source_order"),
-        cell_first.alias("line_start"), cell_last.alias("line_end"),
-        F.concat(prefix, _named("column `%s` in %s looks like a proxy of the label", s, context)).alias("message"),
-        F.substring(f["evidence"], 1, 200).alias("evidence"),
+    proxies = F.filter(f["strings"], lambda s: tx.is_label_proxy(s) & ~F.array_contains(dropped, s))
+    of_assignment = F.transform(proxies, lambda s: hit(
+        "leakage.label-proxy-feature", cell_first, cell_last,
+        F.concat(prefix, F.format_string("column `%s` in %s looks like a proxy of the label", s, context)),
+        F.substring(f["evidence"], 1, 200), 2,
     ))
-    hits = fact_rows(facts).select(
-        "path", "ord", F.posexplode(F.when(is_call, single).otherwise(proxy_hits)).alias("pos", "hit")
-    ).select("path", "ord", "pos", "hit.*")
-    return as_findings(dedupe_hits(hits))
+    return F.when(is_call, of_call).otherwise(of_assignment)
+
+
+def call_site_findings(facts: DataFrame) -> DataFrame:
+    """Loader, leakage and hygiene findings from `notebook_facts` / `python_facts`."""
+    hits = fact_rows(facts).select("path", "ord", F.posexplode(call_site_hits(
+        F.col("f"), F.col("source_kind"), F.col("cell_starts"), F.col("split_line"), F.col("dropped")
+    )).alias("pos", "hit"))
+    return as_findings(dedupe_hits(hits.select("path", F.struct("ord", "pos").alias("place"), "hit.*")))
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:
-    """First hit per rule, file and line for the leakage rules; loader hits all stay.
+    """First hit per rule, file and line for the leakage rules; hits of other checks all stay.
 
-    One grouping for both (a loader hit is its own group), so the parse behind it runs once; keys
-    are pre-aggregated on the map side, so a file or rule with most of the hits stays cheap.
+    `(path, place, rule_id, source_order, line_start, …)`, `place` being unique within the file. One
+    grouping serves all (a hit that must stay is its own group), so the parse behind it runs once;
+    keys are pre-aggregated on the map side, so a file or rule with most of the hits stays cheap.
     """
-    own = F.when(F.col("rule_id").startswith("deserialization."), F.col("ord"))
-    return (
-        hits.groupBy("path", "rule_id", "line_start", own.alias("own"))
-        .agg(F.min_by(F.struct("line_end", "message", "evidence"), F.struct("source_order", "ord", "pos")).alias("m"))
-        .select("path", "rule_id", "line_start", "m.*")
+    own = F.when(F.col("rule_id").rlike(r"^(?:deserialization|supply_chain|secrets)\."), F.col("place"))
+    first = F.min_by(F.struct("line_end", "message", "evidence", "source_order", "place"), F.struct("source_order", "place"))
+    return hits.groupBy("path", "rule_id", "line_start", own.alias("own")).agg(first.alias("m")).select(
+        "path", "rule_id", "line_start", "m.*"
     )
 
 
@@ -261,24 +274,33 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
 
 def secret_hits(text: Column) -> Column:
     """Array of (rule_id, token) over every token format, in the order of the rule table."""
-    return F.concat(*[
-        F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            lambda token, rule=rule: F.struct(F.lit(rule).alias("rule_id"), token.alias("token")),
-        )
-        for rule, pattern in SECRET_PATTERNS
-    ])
+    def of_rule(rule: str, pattern: str) -> Column:
+        tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(tokens, lambda t: F.struct(F.lit(rule).alias("rule_id"), t.alias("token")))
+
+    return F.concat(*[of_rule(rule, pattern) for rule, pattern in SECRET_PATTERNS])
 
 
 # Every token format has one of these in it; a cheap test before the eight real patterns.
-_MAYBE_SECRET = r"sk-|AKIA|ASIA|gh[pousr]_|hf_|PRIVATE KEY|xox[abprs]-|://"
+MAYBE_SECRET = r"sk-|AKIA|ASIA|gh[pousr]_|hf_|PRIVATE KEY|xox[abprs]-|://"
+
+
+def secret_line_hits(line: Column, line_no: Column, saved: Column, where: Column) -> Column:
+    """Hits of one line of source or, when `saved`, of a stored output (which has no line)."""
+    at = F.when(~saved, line_no)
+    message = F.when(saved, "a credential is left in a saved output").otherwise("a credential is written into the source")
+    found = F.transform(secret_hits(line), lambda h: hit(
+        F.when(saved, "secrets.leaked-in-notebook-output").otherwise(h["rule_id"]), at, at,
+        F.concat(message, where), tx.redact(h["token"]),
+    ))
+    return F.when(line.rlike(MAYBE_SECRET), found).otherwise(F.expr(NO_HITS))
 
 
 def secret_lines(texts: DataFrame) -> DataFrame:
     """Tokens in `(path, text)`: one row per token with its line."""
-    rows = texts.filter(F.col("text").rlike(_MAYBE_SECRET)).select(
+    rows = texts.filter(F.col("text").rlike(MAYBE_SECRET)).select(
         "path", F.posexplode(tx.lines(F.col("text"))).alias("pos", "line")
-    ).filter(F.col("line").rlike(_MAYBE_SECRET))
+    ).filter(F.col("line").rlike(MAYBE_SECRET))
     return rows.select("path", (F.col("pos") + 1).alias("line_start"), F.inline(secret_hits(F.col("line"))))
 
 
@@ -293,23 +315,16 @@ def secret_findings(texts: DataFrame) -> DataFrame:
 
 def notebook_secret_findings(notebooks: DataFrame) -> DataFrame:
     """Tokens in the code of notebooks, and tokens left in their saved outputs, from one scan."""
-    cells = nb.explode_code_cells(notebooks)
-    parts = cells.select("path", "cell_idx", F.explode(F.array(
+    cells = nb.explode_code_cells(notebooks.filter(F.col("content").rlike(MAYBE_SECRET)))
+    parts = cells.select("path", "cell_idx", F.inline(F.array(
         F.struct(F.lit(False).alias("saved"), F.col("source").alias("text")),
         F.struct(F.lit(True).alias("saved"), F.col("outputs").alias("text")),
-    )).alias("p")).select("path", "cell_idx", "p.*").filter(F.col("text").rlike(_MAYBE_SECRET))
+    ))).filter(F.col("text").rlike(MAYBE_SECRET))
     rows = parts.select("path", "cell_idx", "saved", F.posexplode(tx.lines(F.col("text"))).alias("pos", "line"))
-    hits = rows.select("path", "cell_idx", "saved", "pos", F.inline(secret_hits(F.col("line"))))
     where = F.format_string(" (cell %d)", F.col("cell_idx"))
-    line = F.when(~F.col("saved"), F.col("pos") + 1)
-    found = hits.select(
-        "path", F.when(F.col("saved"), "secrets.leaked-in-notebook-output").otherwise(F.col("rule_id")).alias("rule_id"),
-        line.alias("line_start"), line.alias("line_end"),
-        F.concat(F.when(F.col("saved"), "a credential is left in a saved output")
-                 .otherwise("a credential is written into the source"), where).alias("message"),
-        tx.redact(F.col("token")).alias("evidence"),
-    )
-    return as_findings(found)
+    return as_findings(rows.select(
+        "path", F.inline(secret_line_hits(F.col("line"), F.col("pos") + 1, F.col("saved"), where))
+    ))
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:

@@ -6,53 +6,46 @@ from pyspark.sql import types as T
 
 from .dims import FLOW_COLUMNS
 
-_LONG = {"src_bytes", "dst_bytes"}
-_TEXT = {"protocol_type", "service", "flag", "label"}
+_STRING, _INT, _LONG, _DOUBLE, _BOOL = (
+    T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
+)
+_STRINGS = T.ArrayType(_STRING)
 
 
-def _flow_type(name: str) -> T.DataType:
-    if name in _TEXT:
-        return T.StringType()
-    if name in _LONG:
-        return T.LongType()
-    return T.DoubleType() if name.endswith("_rate") else T.IntegerType()
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-FLOW = T.StructType([T.StructField(name, _flow_type(name)) for name in FLOW_COLUMNS])
+def _flow_type(name: str) -> T.DataType:
+    if name in ("protocol_type", "service", "flag", "label"):
+        return _STRING
+    if name in ("src_bytes", "dst_bytes"):
+        return _LONG
+    return _DOUBLE if name.endswith("_rate") else _INT
 
-FIX = T.StructType.fromDDL("summary STRING, diff STRING, replacement STRING, confidence STRING")
 
-FINDING = T.StructType.fromDDL(
-    "rule_id STRING, `check` STRING, severity STRING, category STRING, file STRING, "
-    "line_start INT, line_end INT, message STRING, evidence STRING"
-).add("fix", FIX)
+FLOW = T.StructType([T.StructField(name, _flow_type(name)) for name in FLOW_COLUMNS])
 
-CALL_SITE = T.StructType.fromDDL(
-    "kind STRING, qualified_name STRING, attr STRING, bare_name STRING, first_arg_name STRING, "
-    "first_arg_text STRING, first_arg_is_literal BOOLEAN, kwargs MAP<STRING, STRING>, "
-    "strings ARRAY<STRING>, line_start INT, line_end INT, evidence STRING"
-)
+FIX = _struct(summary=_STRING, diff=_STRING, replacement=_STRING, confidence=_STRING)
 
-# Advisory and pattern-scan documents are read through VARIANT, since a malformed entry must be
-# skipped on its own; these are the shapes of what comes out.
-ADVISORY = T.StructType.fromDDL(
-    "file STRING, name STRING, version STRING, vuln_id STRING, fix_versions ARRAY<STRING>, description STRING"
+FINDING = _struct(
+    rule_id=_STRING, check=_STRING, severity=_STRING, category=_STRING, file=_STRING, line_start=_INT,
+    line_end=_INT, message=_STRING, evidence=_STRING, fix=FIX,
 )
 
-BASELINE = T.StructType.fromDDL(
-    "schema_version INT, fixtures ARRAY<STRUCT<file: STRING, expected_ids: ARRAY<STRING>>>"
+CALL_SITE = _struct(
+    kind=_STRING, qualified_name=_STRING, attr=_STRING, bare_name=_STRING, first_arg_name=_STRING,
+    first_arg_text=_STRING, first_arg_is_literal=_BOOL, kwargs=T.MapType(_STRING, _STRING), strings=_STRINGS,
+    line_start=_INT, line_end=_INT, evidence=_STRING,
 )
 
-DECISION = T.StructType.fromDDL(
-    "timestamp STRING, destination_ip STRING, destination_role STRING, prediction STRING, "
-    "confidence DOUBLE, is_attack BOOLEAN, severity STRING, action STRING, safety_triggered BOOLEAN"
+BASELINE = _struct(
+    schema_version=_INT, fixtures=T.ArrayType(_struct(file=_STRING, expected_ids=_STRINGS))
 )
 
-SCORE = T.StructType.fromDDL(
-    "model STRING, split STRING, accuracy DOUBLE, f1_macro DOUBLE, f1_weighted DOUBLE"
-)
+NEIGHBOUR = _struct(id=_LONG, neighbour_id=_LONG, distance=_DOUBLE)
 
-VERDICT = T.StructType.fromDDL(
-    "run_id STRING, ord INT, rule_id STRING, file STRING, line_start INT, confirmed BOOLEAN, "
-    "confidence STRING, reasoning STRING"
+VERDICT = _struct(
+    run_id=_STRING, ord=_INT, rule_id=_STRING, file=_STRING, line_start=_INT, confirmed=_BOOL,
+    confidence=_STRING, reasoning=_STRING,
 )
