@@ -34,14 +34,13 @@ def score_columns() -> list[Column]:
     return [precision.alias("precision"), recall.alias("recall"), f1.alias("f1")]
 
 
-def check_scores(fixtures: DataFrame, baseline: DataFrame, findings: DataFrame) -> DataFrame:
+def check_scores(fixtures: DataFrame, expected: DataFrame, findings: DataFrame) -> DataFrame:
     """Score per check.
 
-    `fixtures` `(file, check)`, `baseline` `(file, expected_ids)`, `findings` `(file, rule_id)`. A
-    fixture the baseline does not know counts all its findings as false positives; a check whose
-    fixtures give and expect nothing still has a row.
+    `fixtures` `(file, check)`; `expected` and `findings` `(file, rule_id)` rows. A fixture without
+    expectations counts all its findings as false positives; a check whose fixtures give and expect
+    nothing still has a row. Ids are counted per file and rule before anything is joined.
     """
-    expected = baseline.select("file", F.explode("expected_ids").alias("rule_id")).join(fixtures.select("file"), "file", "left_semi")
     per_file = multiset_score(expected, findings).groupBy("file").agg(
         *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
     )

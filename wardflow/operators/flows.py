@@ -74,7 +74,7 @@ def counts_with_share(df: DataFrame, key: str) -> DataFrame:
 
 def protocol_by_category(flows: DataFrame, rows: str = "protocol_type") -> DataFrame:
     """Cross-tab; the fixed class list saves the pass that would look for pivot values."""
-    return flows.groupBy(rows).pivot("category", list(CLASSES)).agg(F.count("*")).na.fill(0)
+    return flows.groupBy(rows).pivot("category", list(CLASSES)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def class_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evalscore, rules
+from ..sources.baseline import expected_ids
 from .audit import corpus_hits
 
 
@@ -18,4 +19,6 @@ def fixture_findings(fixtures: DataFrame) -> DataFrame:
 
 def evaluate(fixtures: DataFrame, baseline: DataFrame) -> DataFrame:
     """Score per check against the golden ids."""
-    return evalscore.check_scores(fixtures.select("file", "check"), baseline, fixture_findings(fixtures).select("file", "rule_id"))
+    return evalscore.check_scores(
+        fixtures.select("file", "check"), expected_ids(baseline), fixture_findings(fixtures).select("file", "rule_id")
+    )
