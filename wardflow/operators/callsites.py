@@ -7,12 +7,12 @@ the few facts the rules ask about leave the worker. Everything after it is Spark
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schemas import CALL_SITE
 
@@ -30,12 +30,35 @@ WORTH_PARSING = (
 )
 
 _FIELDS = CALL_SITE.fieldNames()
+_ARROW_FACTS = to_arrow_type(T.ArrayType(CALL_SITE))
 
 
-def _imports(tree: ast.Module) -> dict[str, str]:
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+
+
+def _nodes_of_interest(tree: ast.Module) -> list[ast.AST]:
+    """Imports, assignments and calls: depth first, parents before children, in source order."""
+    found, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, (ast.Call, ast.Assign, ast.AnnAssign, ast.Import, ast.ImportFrom)):
+            found.append(node)
+        inner: list[ast.AST] = []
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if type(value) is list:
+                inner += [item for item in value if isinstance(item, ast.AST) and not isinstance(item, _LEAVES)]
+            elif isinstance(value, ast.AST) and not isinstance(value, _LEAVES):
+                inner.append(value)
+        inner.reverse()
+        stack += inner
+    return found
+
+
+def _imports(nodes: list[ast.AST]) -> dict[str, str]:
     """Local name -> dotted origin, for every import in the file."""
     names: dict[str, str] = {}
-    for node in ast.walk(tree):
+    for node in nodes:
         if isinstance(node, ast.Import):
             for item in node.names:
                 top = item.name.split(".")[0]
@@ -73,15 +96,6 @@ def _segment(rows: list[bytes], node: ast.AST) -> str:
     return b"\n".join(part).decode("utf-8", "replace")
 
 
-def _in_text_order(tree: ast.AST) -> Iterator[ast.AST]:
-    """Depth first, parents before children, in source order."""
-    stack = [tree]
-    while stack:
-        node = stack.pop()
-        yield node
-        stack.extend(reversed(list(ast.iter_child_nodes(node))))
-
-
 def call_sites(source: str) -> list[tuple]:
     """Facts in source order; none for a text that does not parse."""
     try:
@@ -89,9 +103,10 @@ def call_sites(source: str) -> list[tuple]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     rows = source.replace("\r\n", "\n").replace("\r", "\n").encode("utf-8", "replace").split(b"\n")
-    imports = _imports(tree)
+    nodes = _nodes_of_interest(tree)
+    imports = _imports(nodes)
     facts: list[tuple] = []
-    for node in _in_text_order(tree):
+    for node in nodes:
         if isinstance(node, (ast.Assign, ast.AnnAssign)):
             texts = _strings(node.value)
             if texts:
@@ -121,15 +136,24 @@ def call_sites(source: str) -> list[tuple]:
     return facts
 
 
-@F.pandas_udf(T.ArrayType(CALL_SITE))
-def _call_sites(sources: pd.Series) -> pd.Series:
-    return sources.map(lambda text: [dict(zip(_FIELDS, fact)) for fact in call_sites(text or "")])
+@F.arrow_udf(T.ArrayType(CALL_SITE))
+def _call_sites(sources: pa.Array) -> pa.Array:
+    facts = [[dict(zip(_FIELDS, fact)) for fact in call_sites(text)] if text else [] for text in sources.to_pylist()]
+    for row in facts:
+        for fact in row:
+            fact["kwargs"] = list(fact["kwargs"].items())
+    return pa.array(facts, type=_ARROW_FACTS)
+
+
+# Optimizer rules that copy an expression (such as a filter put in front of an explode) would parse
+# every file twice; they leave a non-deterministic one where it is.
+_call_sites_once = _call_sites.asNondeterministic()
 
 
 def with_call_sites(sources, text: str = "module"):
     """Add `facts`, the array of call sites of a text column; one parse serves every rule."""
     worth = F.when(F.col(text).rlike(WORTH_PARSING), F.col(text))
-    return sources.withColumn("facts", _call_sites(worth))
+    return sources.withColumn("facts", _call_sites_once(worth))
 
 
 def split_line(facts: Column) -> Column:

@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a table comes in fewer splits than there are cores.
+
+    Rendering and parsing cost far more than moving the short source rows; a table with enough
+    splits (any large one) is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder on the storage all executors share."""
     return f"{ensure_checkpoint_dir(spark)}/wardflow-{uuid4().hex}/{name}"
@@ -226,7 +236,7 @@ _LEAKED = "'AKIA' || upper(substr(md5(CAST(id AS VARCHAR(20))), 1, 16))"
 
 def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(path, content)`: one notebook per event; source as text or list by turns, some JSON cut short."""
-    ev = events(spark, sf_dir)
+    ev = spread(events(spark, sf_dir))
     texts = {0: "'# run ' || id", 3: "'features'"} | {cell: source for cell, _, source in _CODE_CELLS}
     sources = _sql_select(ev, ", ".join(["id", "k"] + [f"{texts[i]} AS c{i}" for i in range(6)] + [f"{_LEAKED} AS leaked"]))
     listed = lambda c: F.transform(F.split(c, "\n"), lambda s, i: F.when(i == 0, s).otherwise(F.concat(F.lit("\n"), s)))
@@ -285,7 +295,7 @@ _MODEL_PATH = """
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql_select(table(spark, sf_dir, "orders"), f"'src/' || o_orderkey || '.py' AS path, {_PYTHON} AS content")
+    return _sql_select(spread(table(spark, sf_dir, "orders")), f"'src/' || o_orderkey || '.py' AS path, {_PYTHON} AS content")
 
 
 def requirement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,12 +334,12 @@ _PLANTED = f"""
 
 
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql_select(table(spark, sf_dir, "documents"), f"CAST(doc_id AS STRING) AS path, {_PLANTED.replace('VARCHAR(20)', 'STRING')} AS text")
+    return _sql_select(spread(table(spark, sf_dir, "documents")), f"CAST(doc_id AS STRING) AS path, {_PLANTED.replace('VARCHAR(20)', 'STRING')} AS text")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(id, class_id, features)` from the embeddings, all of them."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("id"), F.col("label").alias("class_id"), F.col("embedding").cast("array<double>").alias("features")
     )
 
