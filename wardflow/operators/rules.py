@@ -100,9 +100,11 @@ def verifies_downloads(code: Column) -> Column:
 def install_lines(notebooks: DataFrame) -> DataFrame:
     """Shell lines of code cells that install packages or download files, one row per line."""
     cells = notebooks.filter(F.col("content").rlike(MAYBE_INSTALL)).select(
-        "path", nb.code_cells(nb.cells("content")).alias("code")
-    ).select("path", verifies_downloads(F.col("code")).alias("verified"), F.explode("code").alias("c"))
-    rows = cells.select("path", "verified", "c.cell_idx", F.posexplode(tx.lines(F.col("c.source"))).alias("pos", "line"))
+        "path", nb.code_cells("content").alias("code")
+    ).select("path", verifies_downloads(F.col("code")).alias("verified"), F.explode_outer("code").alias("c"))
+    rows = cells.filter(F.col("c.source").rlike(MAYBE_INSTALL)).select(
+        "path", "verified", "c.cell_idx", F.posexplode_outer(tx.lines(F.col("c.source"))).alias("pos", "line")
+    )
     return rows.filter(F.col("line").rlike(tx.PIP_LINE) | F.col("line").rlike(tx.DOWNLOAD_LINE)).withColumn(
         "line_no", F.col("pos") + 1
     )
@@ -111,9 +113,9 @@ def install_lines(notebooks: DataFrame) -> DataFrame:
 def notebook_supply_chain(notebooks: DataFrame) -> DataFrame:
     """Unpinned installs and unverified downloads of notebooks `(path, content)`."""
     found = install_lines(notebooks).select(
-        "path", F.inline(install_line_hits(F.col("line"), F.col("line_no"), F.col("cell_idx"), F.col("verified")))
+        "path", F.inline_outer(install_line_hits(F.col("line"), F.col("line_no"), F.col("cell_idx"), F.col("verified")))
     )
-    return as_findings(found)
+    return as_findings(found.filter(F.col("rule_id").isNotNull()))
 
 
 def requirement_line_hit(raw: Column, line_no: Column, path: Column) -> Column:
@@ -172,11 +174,11 @@ def python_facts(files: DataFrame) -> DataFrame:
 def corpus_facts(files: DataFrame) -> DataFrame:
     """Facts of a mixed corpus `(path, content, source_kind)` in one pass and one parse per file."""
     is_notebook = F.col("source_kind") == "notebook"
-    code = F.when(is_notebook, nb.code_cells(nb.cells("content")))
-    joined = files.withColumn("code", code).filter(~is_notebook | (F.size("code") > 0))
+    code = F.when(is_notebook, nb.code_cells("content"))
+    joined = files.withColumn("code", code)
     text = F.when(is_notebook, nb.module_text(F.col("code")))
     return cs.with_call_sites(
-        joined.withColumn("cell_starts", nb.cell_starts(F.col("code"))).withColumn("module", F.coalesce(text, "content"))
+        joined.withColumn("cell_starts", nb.cell_starts(F.col("code"))).withColumn("module", F.when(is_notebook, text).otherwise(F.col("content")))
     ).select("path", "source_kind", "cell_starts", "facts")
 
 
@@ -184,8 +186,8 @@ def fact_rows(facts: DataFrame) -> DataFrame:
     """One row per fact, with the file's earliest split line and dropped columns beside it."""
     return facts.select(
         "path", "source_kind", "cell_starts", cs.split_line(F.col("facts")).alias("split_line"),
-        cs.dropped_columns(F.col("facts")).alias("dropped"), F.posexplode("facts").alias("ord", "f"),
-    )
+        cs.dropped_columns(F.col("facts")).alias("dropped"), F.posexplode_outer("facts").alias("ord", "f"),
+    ).filter(F.col("f").isNotNull())
 
 
 def _is_true(fact: Column, keyword: str) -> Column:
@@ -250,9 +252,9 @@ def call_site_hits(f: Column, source_kind: Column, starts: Column, split: Column
 
 def call_site_findings(facts: DataFrame) -> DataFrame:
     """Loader, leakage and hygiene findings from `notebook_facts` / `python_facts`."""
-    hits = fact_rows(facts).select("path", "ord", F.posexplode(call_site_hits(
+    hits = fact_rows(facts).select("path", "ord", F.posexplode_outer(call_site_hits(
         F.col("f"), F.col("source_kind"), F.col("cell_starts"), F.col("split_line"), F.col("dropped")
-    )).alias("pos", "hit"))
+    )).alias("pos", "hit")).filter(F.col("hit").isNotNull())
     return as_findings(dedupe_hits(hits.select("path", F.struct("ord", "pos").alias("place"), "hit.*")))
 
 
@@ -299,9 +301,11 @@ def secret_line_hits(line: Column, line_no: Column, saved: Column, where: Column
 def secret_lines(texts: DataFrame) -> DataFrame:
     """Tokens in `(path, text)`: one row per token with its line."""
     rows = texts.filter(F.col("text").rlike(MAYBE_SECRET)).select(
-        "path", F.posexplode(tx.lines(F.col("text"))).alias("pos", "line")
+        "path", F.posexplode_outer(tx.lines(F.col("text"))).alias("pos", "line")
     ).filter(F.col("line").rlike(MAYBE_SECRET))
-    return rows.select("path", (F.col("pos") + 1).alias("line_start"), F.inline(secret_hits(F.col("line"))))
+    return rows.select("path", (F.col("pos") + 1).alias("line_start"), F.inline_outer(secret_hits(F.col("line")))).filter(
+        F.col("rule_id").isNotNull()
+    )
 
 
 def secret_findings(texts: DataFrame) -> DataFrame:
@@ -320,11 +324,12 @@ def notebook_secret_findings(notebooks: DataFrame) -> DataFrame:
         F.struct(F.lit(False).alias("saved"), F.col("source").alias("text")),
         F.struct(F.lit(True).alias("saved"), F.col("outputs").alias("text")),
     ))).filter(F.col("text").rlike(MAYBE_SECRET))
-    rows = parts.select("path", "cell_idx", "saved", F.posexplode(tx.lines(F.col("text"))).alias("pos", "line"))
+    rows = parts.select("path", "cell_idx", "saved", F.posexplode_outer(tx.lines(F.col("text"))).alias("pos", "line"))
     where = F.format_string(" (cell %d)", F.col("cell_idx"))
-    return as_findings(rows.select(
-        "path", F.inline(secret_line_hits(F.col("line"), F.col("pos") + 1, F.col("saved"), where))
-    ))
+    found = rows.filter(F.col("line").rlike(MAYBE_SECRET)).select(
+        "path", F.inline_outer(secret_line_hits(F.col("line"), F.col("pos") + 1, F.col("saved"), where))
+    )
+    return as_findings(found.filter(F.col("rule_id").isNotNull()))
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:

@@ -60,12 +60,12 @@ def corpus_hits(files: DataFrame) -> DataFrame:
     kind = file_kind(F.col("path"))
     opened = (
         files.select("path", "content", kind.alias("source_kind")).filter(F.col("source_kind").isNotNull())
-        .withColumn("code", F.when(F.col("source_kind") == "notebook", nb.code_cells(nb.cells("content"))))
+        .withColumn("code", F.when(F.col("source_kind") == "notebook", nb.code_cells("content")))
     )
     units = opened.select(
         "path", "source_kind", rules.verifies_downloads(F.col("code")).alias("verified"),
         F.when(F.col("source_kind") == "notebook", nb.cell_starts(F.col("code"))).alias("cell_starts"),
-        F.posexplode(_units(F.col("source_kind"))).alias("unit_no", "u"),
+        F.posexplode_outer(_units(F.col("source_kind"))).alias("unit_no", "u"),
     ).select("path", "source_kind", "verified", "cell_starts", "unit_no", "u.*")
     is_module = F.col("unit") == "module"
     wanted = F.when(is_module, F.col("text").rlike(cs.WORTH_PARSING)).when(
@@ -79,8 +79,8 @@ def corpus_hits(files: DataFrame) -> DataFrame:
     by_fact = F.flatten(F.transform("facts", lambda f: rules.call_site_hits(
         f, F.col("source_kind"), F.col("cell_starts"), F.col("split_line"), F.col("dropped")
     )))
-    found = facts.select("path", "unit_no", F.posexplode(F.when(is_module, by_fact).otherwise(by_line)).alias("pos", "hit"))
-    return found.select("path", F.struct("unit_no", "pos").alias("place"), "hit.*")
+    found = facts.select("path", "unit_no", F.posexplode_outer(F.when(is_module, by_fact).otherwise(by_line)).alias("pos", "hit"))
+    return found.filter(F.col("hit").isNotNull()).select("path", F.struct("unit_no", "pos").alias("place"), "hit.*")
 
 
 def audit_findings(files: DataFrame, run_id: str, *others: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ def _c8(spark, sf):
 
 @query("C24_checksum_hint", sql("nbc", """SELECT path, bool_or(regexp_matches(source, 'sha256|sha512|md5sum|shasum|hashlib')) AS verified FROM nbc GROUP BY 1"""))
 def _c24(spark, sf):
-    read = st.notebooks(spark, sf).select("path", nb.code_cells(nb.cells("content")).alias("code"))
+    read = st.notebooks(spark, sf).select("path", nb.code_cells("content").alias("code"))
     return read.filter(F.size("code") > 0).select("path", rl.verifies_downloads(F.col("code")).alias("verified"))
 
 

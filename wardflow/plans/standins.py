@@ -40,6 +40,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/wardflow-{uuid4().hex}/{name}"
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A rendered corpus as the table a corpus would be: written once per session, then only read."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _STORED:
+        path = scratch(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[at] = path
+    return spark.read.parquet(_STORED[at])
+
+
 def _pick(values, index: str, spark: bool) -> str:
     """Element `index` (from 0) of a fixed list in either dialect."""
     items = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
@@ -235,6 +248,10 @@ _LEAKED = "'AKIA' || upper(substr(md5(CAST(id AS VARCHAR(20))), 1, 16))"
 
 
 def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "notebooks", _render_notebooks)
+
+
+def _render_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(path, content)`: one notebook per event; source as text or list by turns, some JSON cut short."""
     ev = spread(events(spark, sf_dir))
     texts = {0: "'# run ' || id", 3: "'features'"} | {cell: source for cell, _, source in _CODE_CELLS}
@@ -295,6 +312,10 @@ _MODEL_PATH = """
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "python", _render_python)
+
+
+def _render_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql_select(spread(table(spark, sf_dir, "orders")), f"'src/' || o_orderkey || '.py' AS path, {_PYTHON} AS content")
 
 
@@ -334,6 +355,10 @@ _PLANTED = f"""
 
 
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "documents", _render_documents)
+
+
+def _render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql_select(spread(table(spark, sf_dir, "documents")), f"CAST(doc_id AS STRING) AS path, {_PLANTED.replace('VARCHAR(20)', 'STRING')} AS text")
 
 

@@ -8,40 +8,48 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_magic
 
 # `source` may be a string or a list of strings, so the type of each value decides; a document that
-# is not JSON, or has no cell list, gives NULL.
-_CELLS = """
+# is not JSON, or has no cell list, gives NULL. Each step names what the next one reads, since a
+# lambda's repeated sub-expressions are evaluated every time.
+_RAW = """
 transform(
   try_variant_get(try_parse_json({content}), '$.cells', 'array<variant>'),
-  (c, i) -> named_struct(
-    'cell_idx', i,
-    'cell_type', try_variant_get(c, '$.cell_type', 'string'),
+  (c, i) -> named_struct('cell_idx', i, 'cell_type', try_variant_get(c, '$.cell_type', 'string'),
+                         's', try_variant_get(c, '$.source', 'variant'), 'o', try_variant_get(c, '$.outputs', 'variant')))
+"""
+_TYPED = """
+transform(
+  filter({raw}, c -> c.cell_type = 'code'),
+  c -> named_struct('cell_idx', c.cell_idx, 's', c.s, 'o', c.o, 'kind', schema_of_variant(c.s)))
+"""
+_CODE = """
+filter(transform(
+  {typed},
+  c -> named_struct(
+    'cell_idx', c.cell_idx,
     'source', CASE
-      WHEN schema_of_variant(try_variant_get(c, '$.source', 'variant')) IS NULL THEN ''
-      WHEN schema_of_variant(try_variant_get(c, '$.source', 'variant')) = 'STRING'
-        THEN try_variant_get(c, '$.source', 'string')
-      WHEN schema_of_variant(try_variant_get(c, '$.source', 'variant')) LIKE 'ARRAY%'
-        THEN array_join(transform(
-               filter(try_variant_get(c, '$.source', 'array<variant>'), x -> schema_of_variant(x) = 'STRING'),
-               x -> cast(x AS STRING)), '')
+      WHEN c.kind IS NULL THEN ''
+      WHEN c.kind = 'STRING' THEN cast(c.s AS STRING)
+      WHEN c.kind LIKE 'ARRAY%' THEN array_join(transform(
+        filter(cast(c.s AS array<variant>), x -> schema_of_variant(x) = 'STRING'), x -> cast(x AS STRING)), '')
     END,
-    'outputs', to_json(try_variant_get(c, '$.outputs', 'variant'))))
+    'outputs', to_json(c.o))), c -> c.source IS NOT NULL)
 """
 
 
-def cells(content: str) -> Column:
-    """Array of (cell_idx, cell_type, source, outputs) over all cells, markdown included."""
-    return F.expr(_CELLS.format(content=content))
-
-
-def code_cells(cell_array: Column) -> Column:
-    """The code cells with a usable source; `cell_idx` still counts all cells."""
-    return F.filter(cell_array, lambda c: (c["cell_type"] == "code") & c["source"].isNotNull())
+def code_cells(content: str) -> Column:
+    """Array of (cell_idx, source, outputs) of the code cells; `cell_idx` counts all cells, markdown included."""
+    return F.expr(_CODE.format(typed=_TYPED.format(raw=_RAW.format(content=content))))
 
 
 def explode_code_cells(notebooks: DataFrame) -> DataFrame:
-    """`(path, code_idx, cell_idx, source, outputs)`: one row per code cell of `(path, content)`."""
-    return notebooks.select("path", F.posexplode(code_cells(cells("content"))).alias("code_idx", "c")).select(
-        "path", "code_idx", "c.cell_idx", "c.source", "c.outputs"
+    """`(path, code_idx, cell_idx, source, outputs)`: one row per code cell of `(path, content)`.
+
+    The outer explode keeps the optimizer from testing the array's size (parsing every document a
+    second time) in front of it.
+    """
+    return (
+        notebooks.select("path", F.posexplode_outer(code_cells("content")).alias("code_idx", "c"))
+        .filter(F.col("c").isNotNull()).select("path", "code_idx", "c.cell_idx", "c.source", "c.outputs")
     )
 
 
@@ -64,10 +72,9 @@ def cell_starts(code: Column) -> Column:
 
 
 def with_module(notebooks: DataFrame) -> DataFrame:
-    """Add `code`, `module` and `cell_starts` to `(path, content)`; notebooks without code are left out."""
+    """Add `code`, `module` and `cell_starts` to `(path, content)`; NULL where a document has no cells."""
     return (
-        notebooks.withColumn("code", code_cells(cells("content")))
-        .filter(F.size("code") > 0)
+        notebooks.withColumn("code", code_cells("content"))
         .withColumn("module", module_text(F.col("code")))
         .withColumn("cell_starts", cell_starts(F.col("code")))
     )
