@@ -369,7 +369,7 @@ def _c18(spark, sf):
 _DECIDE = f"""
   d AS (SELECT s.id, s.destination_ip, coalesce(role, 'unprotected') AS destination_role,
                (['DoS', 'Normal', 'Probe', 'R2L', 'U2R'])[list_position(probs, list_max(probs))] AS prediction, list_max(probs) AS c, ts
-        FROM scored s JOIN ev USING (id) LEFT JOIN hosts ON ip = destination_ip),
+        FROM scored s LEFT JOIN hosts ON ip = destination_ip),
   e AS (SELECT *, prediction <> 'Normal' AS is_attack, CASE WHEN prediction <> 'Normal' THEN {_BUCKET.format(c='c')} ELSE 'LOW' END AS severity,
                prediction <> 'Normal' AND destination_role <> 'unprotected' AS safety_triggered FROM d),
   n1 AS (SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp", destination_ip, destination_role, prediction, round(c, 4) AS confidence, is_attack, severity,
@@ -378,37 +378,35 @@ _DECIDE = f"""
 
 
 def _decided(spark, sf):
-    moments = st.events(spark, sf).select("id", F.col("ts").alias("moment"))
-    return dc.decide(st.scored(spark, sf).drop("k", "label").join(moments, "id"), F.col("moment")).drop("moment")
+    return dc.decide(st.scored(spark, sf).drop("k", "label"), F.col("ts")).drop("ts")
 
 
-@query("N1_decide", sql("scored ev hosts", f"WITH {_DECIDE} SELECT * FROM n1"))
+@query("N1_decide", sql("scored hosts", f"WITH {_DECIDE} SELECT * FROM n1"))
 def _n1(spark, sf):
     return _decided(spark, sf)
 
 
-@query("N1_decide_stream", sql("scored ev hosts", f"""WITH {_DECIDE} SELECT id, destination_ip, prediction, confidence, severity, action, safety_triggered FROM n1"""))
+@query("N1_decide_stream", sql("scored hosts", f"""WITH {_DECIDE} SELECT id, destination_ip, prediction, confidence, severity, action, safety_triggered FROM n1"""))
 def _n1s(spark, sf):
     from ..streaming.decisions import start_decision_log
 
     path = st.scratch(spark, "scored")
-    st.scored(spark, sf).drop("k", "label").write.parquet(path)
+    st.scored(spark, sf).drop("k", "label", "ts").write.parquet(path)
     out = st.scratch(spark, "decisions")
     arriving = spark.readStream.schema("id bigint, destination_ip string, probs array<double>").parquet(path)
     start_decision_log(arriving, out, st.scratch(spark, "progress"), available_now=True).awaitTermination()
     return spark.read.parquet(out).select("id", "destination_ip", "prediction", "confidence", "severity", "action", "safety_triggered")
 
 
-@query("N2_decide_binary", sql("cat ev hosts", f"""
+@query("N2_decide_binary", sql("cat hosts", f"""
   SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", destination_ip, confidence, confidence > 0.5 AS is_attack, category AS attack_type,
     CASE WHEN confidence > 0.5 THEN {_BUCKET.format(c='confidence')} ELSE 'LOW' END AS severity,
     CASE WHEN role IS NOT NULL THEN 'HUMAN_REVIEW_REQUIRED' ELSE {_ACTION.format(s="(CASE WHEN confidence > 0.5 THEN " + _BUCKET.format(c='confidence') + " ELSE 'LOW' END)")} END AS action_taken,
     role IS NOT NULL AS safety_triggered
-  FROM cat JOIN ev USING (id) LEFT JOIN hosts ON ip = destination_ip"""))
+  FROM cat LEFT JOIN hosts ON ip = destination_ip"""))
 def _n2(spark, sf):
-    moments = st.events(spark, sf).select("id", F.col("ts").alias("moment"))
-    cat = fl.categorise(st.flows(spark, sf)).select("id", "destination_ip", "confidence", F.col("category").alias("attack_type"))
-    return dc.decide_binary(cat.join(moments, "id"), F.col("moment")).drop("moment", "reasoning")
+    cat = fl.categorise(st.flows(spark, sf)).select("id", "ts", "destination_ip", "confidence", F.col("category").alias("attack_type"))
+    return dc.decide_binary(cat, F.col("ts")).drop("ts", "reasoning")
 
 
 @query("N3_safety_filter", sql("flows hosts", f"""
@@ -422,12 +420,12 @@ def _n3(spark, sf):
     return dc.safety_filter(asked)
 
 
-@query("N4_action_summary", sql("scored ev hosts", f"WITH {_DECIDE} SELECT severity, action, count(*) AS decisions FROM n1 GROUP BY 1, 2"))
+@query("N4_action_summary", sql("scored hosts", f"WITH {_DECIDE} SELECT severity, action, count(*) AS decisions FROM n1 GROUP BY 1, 2"))
 def _n4(spark, sf):
     return dc.action_summary(_decided(spark, sf))
 
 
-@query("N4_decision_log", sql("scored ev hosts", f"WITH {_DECIDE} SELECT id, severity, action FROM n1"))
+@query("N4_decision_log", sql("scored hosts", f"WITH {_DECIDE} SELECT id, severity, action FROM n1"))
 def _n4l(spark, sf):
     from ..operators.history import append_decisions
 
@@ -481,7 +479,7 @@ def _n5(spark, sf):
     return _alerts(spark, sf).select("id", "attack_type", "alert_severity", "confidence_pct", "status")
 
 
-@query("K3_decision_json", sql("scored ev hosts", f"""
+@query("K3_decision_json", sql("scored hosts", f"""
   WITH {_DECIDE} SELECT id, '{{"destination_ip":"' || destination_ip || '","prediction":"' || prediction || '","confidence":' || confidence || ',"severity":"' ||
     severity || '","action":"' || action || '"}}' AS line FROM n1"""))
 def _k3(spark, sf):

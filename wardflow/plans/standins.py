@@ -73,7 +73,7 @@ def _values(rows) -> str:
 def _flow_columns(spark: bool) -> str:
     label = _pick(_LABELS, f"(k * 7 + uid) % {len(_LABELS)}", spark)
     return f"""
-      id, uid, k, et, v,
+      id, uid, k, et, v, ts,
       CASE WHEN et IN ('view', 'click') THEN 'normal' ELSE {label} END AS label,
       {_pick(('icmp', 'tcp', 'udp'), 'k % 3', spark)} AS protocol_type,
       CASE WHEN id % 5 = 0 AND k % 50 = 0 THEN 'svc_new' ELSE 'svc' || (k % 10) END AS service,
@@ -120,12 +120,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows with class probabilities `(id, k, destination_ip, probs)`."""
+    """Flows with class probabilities `(id, k, ts, label, destination_ip, probs)`."""
     weight = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (
         1 + (F.col("id") * (i + 3) + F.col("k") * i) % 17 + F.when(i == F.col("k") % 5, F.col("id") % 200).otherwise(0)
     ))
     total = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return flows(spark, sf_dir).select("id", "k", "label", "destination_ip", weight.alias("w")).withColumn(
+    return flows(spark, sf_dir).select("id", "k", "ts", "label", "destination_ip", weight.alias("w")).withColumn(
         "probs", F.transform("w", lambda x: x.cast("double") / total)
     ).drop("w")
 
@@ -385,7 +385,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(CASE WHEN (id * 13 + k) % 10 < t THEN class_id ELSE (class_id + k) % 5 END AS INT) AS p
         FROM cat, (VALUES ('m0', 8), ('m1', 7), ('m2', 9)) m(model, t)"""),
     "scored": (("flows",), """
-        SELECT id, k, label, destination_ip, list_transform(w, lambda x: CAST(x AS DOUBLE) / list_sum(w)) AS probs FROM (
+        SELECT id, k, ts, label, destination_ip, list_transform(w, lambda x: CAST(x AS DOUBLE) / list_sum(w)) AS probs FROM (
           SELECT *, list_transform([0, 1, 2, 3, 4], lambda i: 1 + (id * (i + 3) + k * i) % 17
                                    + CASE WHEN i = k % 5 THEN id % 200 ELSE 0 END) AS w FROM flows)"""),
     "rules": ((), "SELECT * FROM " + _values([(i, *r) for i, r in enumerate(RULES)])
