@@ -54,24 +54,29 @@ def scores(counts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def report(counts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Per-class rows plus `macro avg` and `weighted avg` rows."""
-    classes = per_class(counts, by)
+    """Per-class rows plus `macro avg` and `weighted avg` rows.
+
+    A class counts for its own row and for both averages, so one grouping gives all three kinds.
+    """
     measures = ("precision", "recall", "f1")
-    rows = classes.select(*by, F.col("class_id").cast("string").alias("row"), *measures, "support")
-    macro = classes.groupBy(*by).agg(*[F.avg(m).alias(m) for m in measures], F.sum("support").alias("support"))
-    weighted = classes.groupBy(*by).agg(*[_weighted(m).alias(m) for m in measures], F.sum("support").alias("support"))
-    columns = [*by, "row", *measures, "support"]
-    return rows.unionByName(macro.withColumn("row", F.lit("macro avg")).select(columns)).unionByName(
-        weighted.withColumn("row", F.lit("weighted avg")).select(columns)
+    rows = F.explode(F.array(F.col("class_id").cast("string"), F.lit("macro avg"), F.lit("weighted avg")))
+    spread = per_class(counts, by).withColumn("row", rows)
+    weight = F.when(F.col("row") == "weighted avg", F.col("support")).otherwise(F.lit(1))
+    return spread.groupBy(*by, "row").agg(
+        *[_ratio(F.sum(F.col(m) * weight), F.sum(weight)).alias(m) for m in measures], F.sum("support").alias("support")
     )
 
 
 def confusion_matrix(counts: DataFrame, n_classes: int, by: Sequence[str] = BY) -> DataFrame:
-    """Full grid in class order with row-normalised shares (an empty row divides by one)."""
+    """Full grid in class order with row-normalised shares (an empty row divides by one).
+
+    The counts of a model and split become one map of at most classes² entries, read per grid cell.
+    """
+    key = lambda: F.concat_ws(":", "y", "p")
+    maps = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(key(), "n"))).alias("_n"))
     ids = F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1)))
-    groups = counts.select(*by).distinct()
-    grid = groups.withColumn("y", ids).withColumn("p", ids)
-    full = grid.join(counts, [*by, "y", "p"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    grid = maps.withColumn("y", ids).withColumn("p", ids)
+    full = grid.withColumn("n", F.coalesce(F.try_element_at("_n", key()), F.lit(0))).drop("_n")
     row_sum = F.sum("n").over(Window.partitionBy(*by, "y"))
     return full.withColumn("share", F.col("n") / F.greatest(row_sum, F.lit(1)))
 
