@@ -52,31 +52,30 @@ def splitters(rows: DataFrame, parts: int, tolerance: float, fan: int) -> tuple[
     """Keys that cut the table into `parts` ranges of equal bytes, and the rows below each.
 
     Every boundary keeps the closest probes below and above its target; `fan` new probes between them are
-    counted in each round, until all are within `tolerance` of a part or no key lies between.
+    counted in each round, until all are within `tolerance` of a part or at most one row lies between.
     """
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     goal = [total * i // parts for i in range(1, parts)]
-    low = [(0, 0)] * (parts - 1)
-    high = [(KEY_END - 1, total)] * (parts - 1)
-    known = {0: 0, KEY_END - 1: total}
+    low = [(0, 0, 0)] * (parts - 1)
+    high = [(KEY_END - 1, total, n)] * (parts - 1)
+    known = {0: (0, 0), KEY_END - 1: (total, n)}
     for _ in range(ROUNDS):
         probes = set()
-        for (a, na), (b, nb), g in zip(low, high, goal):
-            if b - a > 1 and min(g - na, nb - g) > tolerance * total / parts:
+        for (a, at_a, na), (b, at_b, nb), g in zip(low, high, goal):
+            if b - a > 1 and nb - na > 1 and min(g - at_a, at_b - g) > tolerance * total / parts:
                 probes.update(a + (b - a) * k // (fan + 1) for k in range(1, fan + 1))
         probes -= known.keys()
         if not probes:
             break
         at = np.array(sorted(probes), np.int64)
-        known.update(zip(at.tolist(), below(rows, at)[0].tolist()))
-        keys = np.array(sorted(known), np.int64)
-        sums = np.array([known[k] for k in keys.tolist()], np.int64)
+        known.update(zip(at.tolist(), zip(*(x.tolist() for x in below(rows, at)))))
+        keys = sorted(known)
+        sums = np.array([known[k][0] for k in keys], np.int64)
         for i, g in enumerate(goal):
-            k = int(np.searchsorted(sums, g, side="right"))  # the first key with more below it
-            b = min(k, len(keys) - 1)
-            low[i], high[i] = (int(keys[b - 1]), int(sums[b - 1])), (int(keys[b]), int(sums[b]))
-    cuts = np.array([a if g - na <= nb - g else b for (a, na), (b, nb), g in zip(low, high, goal)], np.int64)
-    return cuts, below(rows, np.unique(cuts))[1][np.searchsorted(np.unique(cuts), cuts)] if parts > 1 else cuts
+            b = min(int(np.searchsorted(sums, g, side="right")), len(keys) - 1)  # the first key with more below it
+            low[i], high[i] = (keys[b - 1], *known[keys[b - 1]]), (keys[b], *known[keys[b]])
+    chosen = [a if g - a[1] <= b[1] - g else b for a, b, g in zip(low, high, goal)]
+    return np.array([k for k, _, _ in chosen], np.int64), np.array([rows_ for _, _, rows_ in chosen], np.int64)
 
 
 def shard_documents(
