@@ -63,7 +63,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), starts
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     steps = np.full(n, base, np.uint64)
     if n:
         steps[0] = 1
@@ -81,9 +81,9 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, end = edge[0::2], edge[1::2]
     if not len(first):
         return first, end, np.zeros(0, np.uint64)
-    terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_WORD_BASE, len(data))
+    terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(_WORD_BASE, len(data))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-    value = (sums[end] - sums[first]) * _powers(_WORD_INVERSE, len(data))[first]
+    value = (sums[end] - sums[first]) * powers(_WORD_INVERSE, len(data))[first]
     return first, end, mix64(value ^ (end - first).astype(np.uint64))
 
 

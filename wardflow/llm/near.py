@@ -21,7 +21,7 @@ def set_id(shingle_set: np.ndarray) -> bytes:
     return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest()
 
 
-def _permuted(x: np.ndarray) -> np.ndarray:
+def permuted(x: np.ndarray) -> np.ndarray:
     """A fixed permutation of the 32-bit numbers."""
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
@@ -38,7 +38,7 @@ def circulant_minhash(shingle_set: np.ndarray, size: int) -> np.ndarray:
     turns = np.arange(size, dtype=np.uint32)
     out = np.full(size, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(place), 4096):
-        out = np.minimum(out, _permuted(place[None, at:at + 4096] - turns[:, None]).min(axis=1))
+        out = np.minimum(out, permuted(place[None, at:at + 4096] - turns[:, None]).min(axis=1))
     return out
 
 
