@@ -15,6 +15,7 @@ from .near import link_groups, permuted
 BANDS, ROWS, WIDTH, PERCENT = 6, 2, 5, 75  # a pair at 0.75 shares a band with probability 0.993, one at 0.85 with 0.9996
 LINE_WORDS = 30  # shortest paragraph that is looked at
 PIECE_WORDS, PIECE_REACH = 8, 8  # shortest piece; a cut has the least hash among so many neighbours on each side
+LONG_PIECE, FORCED_PIECE = 64, 32  # a piece of more words is cut every so many
 RUN_WORDS = 14  # pieces in a row that repeat count from so many words on
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -70,6 +71,11 @@ def _spans(part: pa.RecordBatch) -> tuple:
     return data, starts, first, end, hashes, doc, a[long], b[long]
 
 
+def _ranges(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    to = np.flatnonzero(stop) + 1
+    return np.concatenate(([0], to[:-1]))[:len(to)].astype(np.int64), to
+
+
 def _grams(hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.full(max(0, len(hashes) - width + 1), width, np.uint64)
     for k in range(width):
@@ -82,8 +88,11 @@ def _units(part: pa.RecordBatch, bands: int, rows: int, width: int) -> pa.Record
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before a byte
     stop = _cuts(hashes)
     stop[np.flatnonzero(np.diff(doc, append=-1))] = True
-    piece_to = np.flatnonzero(stop) + 1
-    piece_from = np.concatenate(([0], piece_to[:-1]))[:len(piece_to)]
+    piece_from, piece_to = _ranges(stop)
+    for k in np.flatnonzero(piece_to - piece_from > LONG_PIECE):  # one word over and over has no minima
+        x, y = piece_from[k], piece_to[k]
+        stop[x + FORCED_PIECE - 1:y - 1:FORCED_PIECE] = True
+    piece_from, piece_to = _ranges(stop)
     ordinal = np.arange(len(piece_to))
     whole = piece_to - piece_from >= PIECE_WORDS
     piece_from, piece_to, ordinal = piece_from[whole], piece_to[whole], ordinal[whole]
