@@ -129,18 +129,21 @@ SCENARIOS = (
      ("supply_chain.unpinned-pip-install", "deserialization.unsafe-pickle-load",
       "deserialization.unsafe-torch-load"),
      "high", "Unverified download reaches a loader that runs code",
-     "Verify the download's digest and load a data-only format; one of the two is not enough."),
+     "Pin the artefact by digest before anything opens it.",
+     "Whoever controls the server that the file comes from decides what runs here when it is opened."),
     ("scenario.label-leakage-to-inflated-metrics",
      ("leakage.label-proxy-feature",),
      ("leakage.preprocessing-before-split", "leakage.fit-on-test", "ml-hygiene.fit-on-test-arg"),
      "high", "Label leakage inflates the reported metrics",
-     "Remove the proxy column, fit after the split, and evaluate again."),
+     "Score again on a split whose columns exclude the label.",
+     "A column that restates the label is among the inputs, so the scores say little about unseen traffic."),
     ("scenario.evadable-classifier-in-production",
      ("adversarial.fgsm-trivial-evasion",),
      ("supply_chain.untrusted-wget-source", "deserialization.unsafe-joblib-load",
       "leakage.preprocessing-before-split"),
      "high", "An evadable classifier is used as a control",
-     "Train against perturbed inputs and repeat the robustness sweep."),
+     "Keep the model advisory until small changes stop flipping its answer.",
+     "Small changes of the input flip the answer, so an attacker who can shape traffic can pass the control."),
 )
 
 
@@ -202,5 +205,5 @@ def rules(spark: SparkSession) -> DataFrame:
 
 def scenarios(spark: SparkSession) -> DataFrame:
     return values_df(
-        spark, ("scenario_id", "required", "amplifiers", "baseline", "name", "fix"), SCENARIOS
+        spark, ("scenario_id", "required", "amplifiers", "baseline", "name", "fix", "narrative"), SCENARIOS
     )

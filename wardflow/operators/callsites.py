@@ -7,6 +7,8 @@ the few facts the rules ask about leave the worker. Everything after it is Spark
 from __future__ import annotations
 
 import ast
+import io
+import tokenize
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -22,6 +24,7 @@ FIT_METHODS = ("fit", "fit_transform", "fit_resample")
 SPLIT = "train_test_split"
 DROP = "drop"
 DROP_KEYWORDS = ("columns", "labels")
+ORIGINS = ", "  # between the names a callee may have, where several imports bind its root
 
 # A file without any of these words has no fact a rule could use, so it is never sent to Python.
 WORTH_PARSING = (
@@ -33,57 +36,108 @@ _FIELDS = CALL_SITE.fieldNames()
 _ARROW_FACTS = to_arrow_type(T.ArrayType(CALL_SITE))
 
 
-_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+_LEAVES = (ast.Constant, ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
+_COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
 
-def _nodes_of_interest(tree: ast.Module) -> list[ast.AST]:
-    """Imports, assignments and calls: depth first, parents before children, in source order."""
-    found, stack = [], [tree]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, (ast.Call, ast.Assign, ast.AnnAssign, ast.Import, ast.ImportFrom)):
-            found.append(node)
-        inner: list[ast.AST] = []
-        for field in node._fields:
-            value = getattr(node, field, None)
-            if type(value) is list:
-                inner += [item for item in value if isinstance(item, ast.AST) and not isinstance(item, _LEAVES)]
-            elif isinstance(value, ast.AST) and not isinstance(value, _LEAVES):
-                inner.append(value)
-        inner.reverse()
-        stack += inner
+class _Scope:
+    """Names bound in a module, class, function or comprehension; imports with every origin they may have."""
+
+    def __init__(self, outer: _Scope | None, is_class: bool = False) -> None:
+        self.outer, self.is_class = outer, is_class
+        self.origins: dict[str, set[str]] = {}
+
+    def bind(self, name: str, origin: str | None = None) -> None:
+        known = self.origins.setdefault(name, set())
+        if origin is not None:
+            known.add(origin)
+
+    def lookup(self, name: str) -> set[str]:
+        """All origins in the nearest scope that binds the name; a class's names are not seen from its functions."""
+        scope: _Scope | None = self
+        while scope is not None:
+            if name in scope.origins and (scope is self or not scope.is_class):
+                return scope.origins[name]
+            scope = scope.outer
+        return set()
+
+
+def _children(node: ast.AST) -> list[ast.AST]:
+    found: list[ast.AST] = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        found += [v for v in (value if type(value) is list else [value]) if isinstance(v, ast.AST) and not isinstance(v, _LEAVES)]
     return found
 
 
-def _imports(nodes: list[ast.AST]) -> dict[str, str]:
-    """Local name -> dotted origin, for every import in the file."""
-    names: dict[str, str] = {}
-    for node in nodes:
-        if isinstance(node, ast.Import):
-            for item in node.names:
-                top = item.name.split(".")[0]
-                names[item.asname or top] = item.name if item.asname else top
-        elif isinstance(node, ast.ImportFrom) and node.module and not node.level:
-            names.update({item.asname or item.name: f"{node.module}.{item.name}" for item in node.names})
-    return names
+def _enter(node: ast.AST, scope: _Scope) -> list[tuple[ast.AST, _Scope]]:
+    """What `node` binds, and its children with the scope each belongs to, in source order."""
+    if isinstance(node, ast.Name):
+        if not isinstance(node.ctx, ast.Load):
+            scope.bind(node.id)
+        return []
+    if isinstance(node, ast.Import):
+        for item in node.names:
+            top = item.name.split(".")[0]
+            scope.bind(item.asname or top, item.name if item.asname else top)
+        return []
+    if isinstance(node, ast.ImportFrom):
+        for item in node.names:
+            scope.bind(item.asname or item.name, f"{node.module}.{item.name}" if node.module and not node.level else None)
+        return []
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+        scope.bind(node.name)
+    if isinstance(node, ast.ExceptHandler) and node.name:
+        scope.bind(node.name)
+    if isinstance(node, (*_FUNCTIONS, ast.ClassDef, *_COMPREHENSIONS)):
+        inner = _Scope(scope, isinstance(node, ast.ClassDef))
+        outside: set[int] = set()
+        if isinstance(node, _FUNCTIONS):
+            a = node.args
+            for arg in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))):
+                inner.bind(arg.arg)
+            outside = {id(n) for n in (node.args, *getattr(node, "decorator_list", ()), getattr(node, "returns", None)) if n is not None}
+        elif isinstance(node, ast.ClassDef):
+            outside = {id(n) for n in (*node.decorator_list, *node.bases, *node.keywords)}
+        return [(child, scope if id(child) in outside else inner) for child in _children(node)]
+    return [(child, scope) for child in _children(node)]
+
+
+def _nodes_of_interest(tree: ast.Module) -> list[tuple[ast.AST, _Scope]]:
+    """Assignments and calls with their scopes: depth first, parents before children, in source order."""
+    found, stack = [], [(tree, _Scope(None))]
+    while stack:
+        node, scope = stack.pop()
+        if isinstance(node, (ast.Call, ast.Assign, ast.AnnAssign)):
+            found.append((node, scope))
+        stack += reversed(_enter(node, scope))
+    return found
 
 
-def _dotted(node: ast.expr, imports: dict[str, str]) -> str | None:
-    """Full dotted name of a callee whose root is an imported name."""
+def _dotted(node: ast.expr, scope: _Scope) -> set[str]:
+    """Full dotted names a callee may have, by every import its root may come from."""
     tail: list[str] = []
     while isinstance(node, ast.Attribute):
         tail.insert(0, node.attr)
         node = node.value
-    if isinstance(node, ast.Name) and node.id in imports:
-        return ".".join([imports[node.id], *tail])
-    return None
+    return {".".join([origin, *tail]) for origin in scope.lookup(node.id)} if isinstance(node, ast.Name) else set()
 
 
-def _strings(node: ast.expr | None) -> list[str]:
-    """Text constants in a constant, list or tuple, nested ones included."""
+def _is_one_token(segment: str) -> bool:
+    """Whether the source of a text constant is a single literal, not several put side by side."""
+    quote = segment[-1:]
+    if segment.count("'") + segment.count('"') == 2 and segment.count(quote) == 2:
+        return True
+    tokens = tokenize.generate_tokens(io.StringIO(f"({segment})").readline)
+    return sum(t.type == tokenize.STRING for t in tokens) == 1
+
+
+def _strings(rows: list[bytes], node: ast.expr | None) -> list[str]:
+    """Text constants in a constant, list or tuple, nested ones included; concatenated ones are left out."""
     if isinstance(node, (ast.List, ast.Tuple)):
-        return [text for item in node.elts for text in _strings(item)]
-    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return [text for item in node.elts for text in _strings(rows, item)]
+    if isinstance(node, ast.Constant) and isinstance(node.value, str) and _is_one_token(_segment(rows, node)):
         return [node.value]
     return []
 
@@ -96,19 +150,17 @@ def _segment(rows: list[bytes], node: ast.AST) -> str:
     return b"\n".join(part).decode("utf-8", "replace")
 
 
-def call_sites(source: str) -> list[tuple]:
-    """Facts in source order; none for a text that does not parse."""
+def call_sites(source: str) -> list[tuple] | None:
+    """Facts in source order; None for a text that does not parse."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+        return None
     rows = source.replace("\r\n", "\n").replace("\r", "\n").encode("utf-8", "replace").split(b"\n")
-    nodes = _nodes_of_interest(tree)
-    imports = _imports(nodes)
     facts: list[tuple] = []
-    for node in nodes:
+    for node, scope in _nodes_of_interest(tree):
         if isinstance(node, (ast.Assign, ast.AnnAssign)):
-            texts = _strings(node.value)
+            texts = _strings(rows, node.value)
             if texts:
                 facts.append((
                     "annotated" if isinstance(node, ast.AnnAssign) else "assign", None, None, None, None, None,
@@ -117,15 +169,17 @@ def call_sites(source: str) -> list[tuple]:
         elif isinstance(node, ast.Call):
             attr = node.func.attr if isinstance(node.func, ast.Attribute) else None
             bare = node.func.id if isinstance(node.func, ast.Name) else None
-            full = _dotted(node.func, imports)
-            if bare and full and full.endswith("." + SPLIT):
+            names = _dotted(node.func, scope)
+            if bare and any(name.endswith("." + SPLIT) for name in names):
                 bare = SPLIT  # imported under another name
-            if not (full in LOADERS or attr in FIT_METHODS or SPLIT in (attr, bare) or attr == DROP):
+            loaders = sorted(names.intersection(LOADERS))
+            if not (loaders or attr in FIT_METHODS or SPLIT in (attr, bare) or attr == DROP):
                 continue
+            full = ORIGINS.join(loaders or sorted(names)) or None
             first = node.args[0] if node.args else None
             kwargs = {k.arg: _segment(rows, k.value) for k in node.keywords if k.arg}
             dropped = [
-                text for k in node.keywords if attr == DROP and k.arg in DROP_KEYWORDS for text in _strings(k.value)
+                text for k in node.keywords if attr == DROP and k.arg in DROP_KEYWORDS for text in _strings(rows, k.value)
             ]
             facts.append((
                 "call", full, attr, bare, first.id if isinstance(first, ast.Name) else None,
@@ -138,10 +192,10 @@ def call_sites(source: str) -> list[tuple]:
 
 @F.arrow_udf(T.ArrayType(CALL_SITE))
 def _call_sites(sources: pa.Array) -> pa.Array:
-    facts = [[dict(zip(_FIELDS, fact)) for fact in call_sites(text)] if text else [] for text in sources.to_pylist()]
-    for row in facts:
-        for fact in row:
-            fact["kwargs"] = list(fact["kwargs"].items())
+    facts = []
+    for text in sources.to_pylist():
+        found = call_sites(text) if text else []
+        facts.append(None if found is None else [dict(zip(_FIELDS, fact)) | {"kwargs": list(fact[7].items())} for fact in found])
     return pa.array(facts, type=_ARROW_FACTS)
 
 

@@ -67,13 +67,16 @@ def missing_baseline(fixtures: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def regenerate_baseline(fixtures: DataFrame, findings: DataFrame) -> DataFrame:
-    """`(file, expected_ids)` with sorted ids, files without findings included.
+    """`(file, rule_id, n)`: the new expectations as counts; a file without findings has one row without a rule.
 
-    Only (id, count) pairs are gathered per file, as many as there are rules; repeats are written
-    out at the end.
+    A multiset stays counts here, however often a rule fired; `spelled` writes it out in rows.
     """
-    counted = id_counts(findings).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rule_id", "n"))).alias("_ids"))
-    spelled = F.flatten(F.transform("_ids", lambda p: F.array_repeat(p["rule_id"], p["n"].cast("int"))))
-    return fixtures.select("file").join(counted, "file", "left").select(
-        "file", F.coalesce(spelled, F.array().cast("array<string>")).alias("expected_ids")
+    return fixtures.select("file").join(id_counts(findings), "file", "left").select(
+        "file", "rule_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
+
+
+def spelled(baseline: DataFrame) -> DataFrame:
+    """`(file, rule_id)` once for each expected occurrence, in order of file and rule within a file's rows."""
+    times = F.explode(F.sequence(F.lit(1), F.col("n")))
+    return baseline.filter("n > 0").select("file", "rule_id", times.alias("copy")).drop("copy")

@@ -132,7 +132,7 @@ def synthesise_scenarios(findings: DataFrame, by: tuple[str, ...] = ("run_id",))
             sev.bump(F.col("baseline"), F.col("amplifier_hits").cast("int")).alias("severity"),
             F.lit("threat-scenario").alias("category"), F.coalesce("anchor", F.lit(AGGREGATE_FILE)).alias("file"),
             F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"),
-            F.format_string("%s. (amplifiers triggered: %d)", "name", "amplifier_hits").alias("message"),
+            F.format_string("%s. %s (amplifiers triggered: %d)", "name", "narrative", "amplifier_hits").alias("message"),
             F.concat(F.lit("chained findings: "), chained).alias("evidence"),
             fix_struct(F.col("fix"), F.lit("high")).alias("fix"),
         )
@@ -205,7 +205,7 @@ def attach_narratives(narratives: DataFrame, findings: DataFrame) -> DataFrame:
     target = findings.select("run_id", F.col("seq").alias("finding_idx"), "rule_id", "file", "line_start", F.lit(True).alias("_hit"))
     out_of_range = F.col("_hit").isNull()
     detail = F.format_string(
-        "finding index %d is out of range; this run has %d finding(s)", "finding_idx", F.coalesce("_size", F.lit(0))
+        "no finding at position %d of a run of %d", "finding_idx", F.coalesce("_size", F.lit(0))
     )
     return (
         narratives.join(target, ["run_id", "finding_idx"], "left").join(sizes, "run_id", "left")

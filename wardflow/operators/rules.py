@@ -25,7 +25,7 @@ _SEVERITY = {r[0]: r[2] for r in RULES}
 _CATEGORY = {r[0]: r[3] for r in RULES}
 _FIX = {r[0]: r[5] for r in RULES}
 _CONFIDENCE = {r[0]: r[4] for r in RULES}
-REVIEW_HINT = "Look at the matched pattern and the rule's description."
+REVIEW_HINT = "A rule of an external scanner fired; read the code at this place."
 NO_FIX = "a patched release"
 
 
@@ -99,9 +99,7 @@ def verifies_downloads(code: Column) -> Column:
 
 def install_lines(notebooks: DataFrame) -> DataFrame:
     """Shell lines of code cells that install packages or download files, one row per line."""
-    cells = notebooks.filter(F.col("content").rlike(MAYBE_INSTALL)).select(
-        "path", nb.code_cells("content").alias("code")
-    ).select("path", verifies_downloads(F.col("code")).alias("verified"), F.explode_outer("code").alias("c"))
+    cells = notebooks.select("path", nb.code_cells("content").alias("code")).select("path", verifies_downloads(F.col("code")).alias("verified"), F.explode_outer("code").alias("c"))
     rows = cells.filter(F.col("c.source").rlike(MAYBE_INSTALL)).select(
         "path", "verified", "c.cell_idx", F.posexplode_outer(tx.lines(F.col("c.source"))).alias("pos", "line")
     )
@@ -174,7 +172,7 @@ def python_facts(files: DataFrame) -> DataFrame:
 def corpus_facts(files: DataFrame) -> DataFrame:
     """Facts of a mixed corpus `(path, content, source_kind)` in one pass and one parse per file."""
     is_notebook = F.col("source_kind") == "notebook"
-    code = F.when(is_notebook, nb.code_cells("content"))
+    code = nb.code_cells(F.when(is_notebook, F.col("content")))
     joined = files.withColumn("code", code)
     text = F.when(is_notebook, nb.module_text(F.col("code")))
     return cs.with_call_sites(
@@ -190,6 +188,9 @@ def fact_rows(facts: DataFrame) -> DataFrame:
     ).filter(F.col("f").isNotNull())
 
 
+PICKLE_LOADERS = ("cPickle.load", "pickle.load", "pickle.loads")  # fixed values, sorted
+
+
 def _is_true(fact: Column, keyword: str) -> Column:
     return F.coalesce(F.try_element_at(fact["kwargs"], F.lit(keyword)) == "True", F.lit(False))
 
@@ -202,7 +203,9 @@ def call_site_hits(f: Column, source_kind: Column, starts: Column, split: Column
     """
     in_notebook = source_kind == "notebook"
     first_line, last_line, arg = f["line_start"], f["line_end"], f["first_arg_name"]
-    is_call, full, attr = f["kind"] == "call", f["qualified_name"], f["attr"]
+    is_call, attr = f["kind"] == "call", f["attr"]
+    may_be = F.coalesce(F.split(f["qualified_name"], cs.ORIGINS), F.array().cast("array<string>"))  # every import counts
+    pickles = F.array_intersect(may_be, F.array(*map(F.lit, PICKLE_LOADERS)))
 
     prefix = F.when(in_notebook, F.format_string("[cell %d] ", nb.code_cell_of(first_line, starts))).otherwise("")
     cell_first = F.when(in_notebook, nb.line_in_cell(first_line, starts)).otherwise(first_line)
@@ -220,13 +223,13 @@ def call_site_hits(f: Column, source_kind: Column, starts: Column, split: Column
     plain, shown = source_kind == "python", f["first_arg_text"]
     no_shuffle = F.try_element_at(f["kwargs"], F.lit("shuffle")) == "False"
     of_call = F.array_compact(F.array(
-        loads("deserialization.unsafe-joblib-load", full == "joblib.load",
+        loads("deserialization.unsafe-joblib-load", F.array_contains(may_be, "joblib.load"),
               F.lit("`joblib.load` unpickles the file and runs whatever code it carries")),
-        loads("deserialization.unsafe-pickle-load", full.isin("pickle.load", "pickle.loads", "cPickle.load"),
-              F.format_string("`%s` runs whatever code the data carries", full)),
-        loads("deserialization.unsafe-torch-load", (full == "torch.load") & ~_is_true(f, "weights_only"),
+        loads("deserialization.unsafe-pickle-load", F.size(pickles) > 0,
+              F.format_string("`%s` runs whatever code the data carries", F.array_join(pickles, cs.ORIGINS))),
+        loads("deserialization.unsafe-torch-load", F.array_contains(may_be, "torch.load") & ~_is_true(f, "weights_only"),
               F.lit("`torch.load` without `weights_only=True` unpickles the file")),
-        loads("deserialization.unsafe-numpy-load", (full == "numpy.load") & _is_true(f, "allow_pickle"),
+        loads("deserialization.unsafe-numpy-load", F.array_contains(may_be, "numpy.load") & _is_true(f, "allow_pickle"),
               F.lit("`numpy.load` with `allow_pickle=True` unpickles the file")),
         leaks("leakage.fit-on-test", 1, attr.isin("fit", "fit_transform") & tx.is_test_name(arg),
               F.format_string("`%s(%s, ...)` is fitted on test data", attr, arg)),
@@ -319,10 +322,10 @@ def secret_findings(texts: DataFrame) -> DataFrame:
 
 def notebook_secret_findings(notebooks: DataFrame) -> DataFrame:
     """Tokens in the code of notebooks, and tokens left in their saved outputs, from one scan."""
-    cells = nb.explode_code_cells(notebooks.filter(F.col("content").rlike(MAYBE_SECRET)))
-    parts = cells.select("path", "cell_idx", F.inline(F.array(
-        F.struct(F.lit(False).alias("saved"), F.col("source").alias("text")),
-        F.struct(F.lit(True).alias("saved"), F.col("outputs").alias("text")),
+    cells = nb.explode_code_cells(notebooks)
+    text = lambda saved, t: F.struct(F.lit(saved).alias("saved"), t.alias("text"))
+    parts = cells.select("path", "cell_idx", F.inline(F.concat(
+        F.array(text(False, F.col("source"))), F.transform("outputs", lambda o: text(True, o)),
     ))).filter(F.col("text").rlike(MAYBE_SECRET))
     rows = parts.select("path", "cell_idx", "saved", F.posexplode_outer(tx.lines(F.col("text"))).alias("pos", "line"))
     where = F.format_string(" (cell %d)", F.col("cell_idx"))

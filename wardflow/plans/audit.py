@@ -13,7 +13,8 @@ from ..operators import callsites as cs
 from ..operators import rules
 from ..operators.findings import check_rank, default_check_runs, synthesise_scenarios
 from ..sources import notebooks as nb
-from ..sources.files import file_kind, read_corpus
+from ..operators.unreadable import unreadable
+from ..sources.files import CORPUS, decoded, file_kind, read_corpus, read_files
 from ..sources.requirements import numbered_lines
 
 _LINE_UNITS = ("code", "output", "requirements")
@@ -21,7 +22,7 @@ _MAYBE = f"{rules.MAYBE_INSTALL}|{rules.MAYBE_SECRET}"
 
 
 def _units(kind: Column) -> Column:
-    """What is looked at in a file: each code cell, each saved output, and the whole text to parse."""
+    """What is looked at in a file: each code cell, each text of a saved output, and the whole text to parse."""
     def unit(name: str, text: Column, cell: Column | None = None) -> Column:
         cell = F.lit(None).cast("int") if cell is None else cell
         return F.struct(F.lit(name).alias("unit"), cell.alias("cell_idx"), text.alias("text"))
@@ -29,7 +30,7 @@ def _units(kind: Column) -> Column:
     code = F.col("code")
     of_notebook = F.concat(
         F.transform(code, lambda c: unit("code", c["source"], c["cell_idx"])),
-        F.transform(code, lambda c: unit("output", c["outputs"], c["cell_idx"])),
+        F.flatten(F.transform(code, lambda c: F.transform(c["outputs"], lambda text: unit("output", text, c["cell_idx"])))),
         F.array(unit("module", nb.module_text(code))),
     )
     of_python = F.array(unit("code", F.col("content")), unit("module", F.col("content")))
@@ -60,7 +61,7 @@ def corpus_hits(files: DataFrame) -> DataFrame:
     kind = file_kind(F.col("path"))
     opened = (
         files.select("path", "content", kind.alias("source_kind")).filter(F.col("source_kind").isNotNull())
-        .withColumn("code", F.when(F.col("source_kind") == "notebook", nb.code_cells("content")))
+        .withColumn("code", nb.code_cells(F.when(F.col("source_kind") == "notebook", F.col("content"))))
     )
     units = opened.select(
         "path", "source_kind", rules.verifies_downloads(F.col("code")).alias("verified"),
@@ -93,11 +94,19 @@ def audit_findings(files: DataFrame, run_id: str, *others: DataFrame) -> DataFra
     return numbered.withColumn("seq", F.col("seq") - 1)
 
 
-def audit_path(spark: SparkSession, path: str, run_id: str, *others: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Findings (scenarios included, after the others) and check rows of everything below a path."""
+def audit_path(spark: SparkSession, path: str, run_id: str, *others: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings (scenarios included, after the others), check rows and unreadable inputs of everything below a path.
+
+    The adversarial check works on a scored model, so it counts as run only when `others` hold findings of it;
+    otherwise its row says `not_run`.
+    """
     found = audit_findings(read_corpus(spark, path), run_id, *others)
     chained = synthesise_scenarios(found).withColumn("seq", F.lit(None).cast("bigint"))
-    return found.unionByName(chained), default_check_runs(found, run_id)
+    scored = found.filter(F.col("check") == "adversarial").select(F.lit(run_id).alias("run_id"), "check").distinct()
+    checks = default_check_runs(found, run_id).join(scored.withColumn("scored", F.lit(True)), ["run_id", "check"], "left").withColumn(
+        "tool_status", F.when((F.col("check") == "adversarial") & F.col("scored").isNull(), "not_run").otherwise(F.col("tool_status"))
+    ).drop("scored")
+    return found.unionByName(chained), checks, unreadable(decoded(read_files(spark, path, CORPUS)))
 
 
 # --- checks one by one --------------------------------------------------------------------------

@@ -49,6 +49,15 @@ def _s4(spark, sf):
     return st.order_paths(spark, sf, "model").filter(fs.is_model_file(F.col("path")))
 
 
+@query("S5_unreadable", sql("ev nb", """
+  SELECT 'nb/' || id || '.ipynb' AS path, 'not JSON' AS reason FROM ev WHERE id % 97 = 0
+  UNION ALL SELECT path, 'source does not parse' FROM nb WHERE id % 89 = 0"""))
+def _s5_unreadable(spark, sf):
+    from ..operators.unreadable import unreadable
+
+    return unreadable(st.notebooks(spark, sf))
+
+
 @query("S5_code_cells", sql("nbc", "SELECT path, code_idx, cell_idx, md5(source) AS source FROM nbc"))
 def _s5(spark, sf):
     return nb.explode_code_cells(st.notebooks(spark, sf)).select("path", "code_idx", "cell_idx", F.md5(F.col("source").cast("binary")).alias("source"))
@@ -252,10 +261,11 @@ def _c16(spark, sf):
 
 
 @query("C25_string_literals", sql("nbok", """
-  SELECT path, unnest(CASE WHEN k % 6 < 3 THEN ['duration', 'difficulty_level', 'src_bytes'] ELSE ['duration', 'src_bytes'] END) AS name FROM nbok"""))
+  SELECT path, unnest(list_concat(CASE WHEN k % 6 < 3 THEN ['duration', 'difficulty_level', 'src_bytes'] ELSE ['duration', 'src_bytes'] END,
+                                  CASE WHEN k % 11 = 0 THEN ['ghp_' || md5(CAST(id AS VARCHAR)) || 'abcd'] ELSE [] END)) AS name FROM nbok"""))
 def _c25(spark, sf):
     rows = rl.fact_rows(rl.notebook_facts(st.notebooks(spark, sf)))
-    return rows.filter((F.col("f.kind") == "assign") & (F.col("f.line_start") == 11)).select("path", F.explode("f.strings").alias("name"))
+    return rows.filter("f.kind <> 'call'").select("path", F.explode("f.strings").alias("name"))
 
 
 # --- R1-R16, J5, J6: rules ------------------------------------------------------------------------

@@ -133,13 +133,15 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- events as findings -------------------------------------------------------------------------
 
 _FINDING_COLUMNS = """
-  'run-' || (uid % 11) AS run_id, id AS seq, k, et, uid, rule_id, "check", severity, category,
+  'run-' || (uid % 10) AS run_id, id AS seq, k, et, uid, rule_id, "check", severity, category,
   'nb_' || (uid % 50) || '.ipynb' AS file,
   CASE WHEN k % 9 = 0 THEN NULL ELSE CAST(k % 20 + 1 AS INT) END AS line_start,
   CASE WHEN k % 9 = 0 THEN NULL ELSE CAST(k % 20 + 2 AS INT) END AS line_end,
   'value ' || id AS message, et || ' ' || k AS evidence
 """
-_FINDING_FILTER = f"uid % 11 < 10 AND k % {N_RULES} >= (uid % 11) * 2"
+# Every event is a finding of one of ten runs; run r knows the rules from number 2r on only, so runs differ. The
+# eleventh run of `check_runs` has none.
+_FINDING_RULE = f"(uid % 10) * 2 + k % ({N_RULES} - (uid % 10) * 2)"
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +150,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     indexed = values_df(spark, ("n", "rule_id", "`check`", "severity", "category", "fix_confidence", "fix_summary"),
                         [(i, *r) for i, r in enumerate(RULES)])
-    kept = events(spark, sf_dir).filter(_FINDING_FILTER).withColumn("n", F.col("k") % N_RULES)
+    kept = events(spark, sf_dir).withColumn("n", F.expr(_FINDING_RULE).cast("int"))
     replacement = F.when(F.col("k") % 10 == 1, F.concat(F.lit("x = "), F.col("k").cast("string")))
     fix = F.when(F.col("et") != "error", fix_struct(F.col("fix_summary"), F.col("fix_confidence"), replacement))
     joined = kept.join(indexed, "n").withColumn("fix", fix)
@@ -219,7 +221,7 @@ _CELL_INSTALL = _lines(
     "CASE WHEN k % 4 = 0 THEN '!sha256sum ' || id || '.csv' ELSE 'z = 3' END",
 )
 _CELL_LOAD = _lines(
-    "'import joblib'", "'import pickle as pk'", "'import torch'", "'import numpy as np'", "'import json'",
+    "'import joblib'", "'import pickle as pk'", "'import torch'", "'import numpy as np'", "CASE WHEN k % 7 = 3 THEN 'import json as pk' ELSE 'import json' END",
     f"""CASE et WHEN 'click' THEN {_quoted('m = joblib.load(~m.pkl~)')}
         WHEN 'view' THEN {_quoted('m = pk.load(open(~m.pkl~, ~rb~))')}
         WHEN 'purchase' THEN {_quoted('m = torch.load(~m.pt~')} || CASE WHEN k % 2 = 1 THEN ', weights_only=True)' ELSE ')' END
@@ -227,7 +229,7 @@ _CELL_LOAD = _lines(
         ELSE 'm = json.load(f)' END""",
 )
 _CELL_FEATURES = _lines(
-    f"CASE WHEN k % 6 < 3 THEN {_quoted('cols = [~duration~, ~difficulty_level~, ~src_bytes~]')} ELSE {_quoted('cols = [~duration~, ~src_bytes~]')} END",
+    f"CASE WHEN k % 6 < 3 THEN {_quoted('cols = [~duration~, ~difficulty_level~, ~src_bytes~]')} WHEN k % 6 = 5 THEN {_quoted('cols = [~duration~, ~difficulty~ ~_level~, ~src_bytes~]')} ELSE {_quoted('cols = [~duration~, ~src_bytes~]')} END",
     f"""CASE k % 6 WHEN 1 THEN {_quoted('df = df.drop(columns=[~difficulty_level~])')}
         WHEN 2 THEN {_quoted('df = df.drop(~difficulty_level~, axis=1)')} ELSE 'df = df.copy()' END""",
 )
@@ -257,7 +259,7 @@ def _render_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = {0: "'# run ' || id", 3: "'features'"} | {cell: source for cell, _, source in _CODE_CELLS}
     sources = _sql_select(ev, ", ".join(["id", "k"] + [f"{texts[i]} AS c{i}" for i in range(6)] + [f"{_LEAKED} AS leaked"]))
     listed = lambda c: F.transform(F.split(c, "\n"), lambda s, i: F.when(i == 0, s).otherwise(F.concat(F.lit("\n"), s)))
-    saved = F.when(F.col("k") % 13 == 0, F.array(F.struct(F.array(F.concat("leaked", F.lit("\n"))).alias("text"))))
+    saved = F.when(F.col("k") % 13 == 0, F.array(F.struct(F.array(F.concat(F.lit("seen:\n"), F.col("leaked"), F.lit("\n"))).alias("text"))))
     nothing = F.slice(F.array(F.struct(F.array(F.lit("")).alias("text"))), 1, 0)
 
     def document(shape):
@@ -393,7 +395,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "fi": (("ev", "rules"), f"""
         SELECT {_FINDING_COLUMNS}, et <> 'error' AS has_fix, fix_confidence, fix_summary,
                CASE WHEN k % 10 = 1 AND et <> 'error' THEN 'x = ' || k END AS fix_replacement
-        FROM ev JOIN rules ON n = k % {N_RULES} WHERE {_FINDING_FILTER}"""),
+        FROM ev JOIN rules ON n = {_FINDING_RULE}"""),
     "sev": ((), "SELECT * FROM " + _values([(s, i) for i, s in enumerate(SEVERITY_LADDER)]) + " t(severity, rnk)"),
     "checks": ((), "SELECT * FROM " + _values([(i, c) for i, c in enumerate(CHECKS)]) + ' t(pos, "check")'),
     "cr": (("ev", "checks"), """
@@ -416,9 +418,9 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "pts": ((), "SELECT vec_id AS id, label AS class_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"),
     "hosts": ((), "SELECT * FROM " + _values(PROTECTED_HOSTS) + " t(ip, role)"),
     "scen": ((), "SELECT * FROM " + _values(
-        [(s[0], r, 1, len(s[1]), s[3], s[4]) for s in SCENARIOS for r in s[1]]
-        + [(s[0], r, 0, len(s[1]), s[3], s[4]) for s in SCENARIOS for r in s[2]]
-    ) + " t(scenario_id, rule_id, needed, n_required, baseline, name)"),
+        [(s[0], r, 1, len(s[1]), s[3], s[4], s[6]) for s in SCENARIOS for r in s[1]]
+        + [(s[0], r, 0, len(s[1]), s[3], s[4], s[6]) for s in SCENARIOS for r in s[2]]
+    ) + " t(scenario_id, rule_id, needed, n_required, baseline, name, narrative)"),
     "fxp": ((), f"SELECT {_FIXTURE_PATH} AS path FROM orders"),
     "mdp": ((), f"SELECT {_MODEL_PATH} AS path FROM orders"),
 }

@@ -39,6 +39,8 @@ CALL_SITE = _struct(
     line_start=_INT, line_end=_INT, evidence=_STRING,
 )
 
+NOTEBOOK = _struct(problem=_STRING, code=T.ArrayType(_struct(cell_idx=_INT, source=_STRING, outputs=_STRINGS)))
+
 BASELINE = _struct(
     schema_version=_INT, fixtures=T.ArrayType(_struct(file=_STRING, expected_ids=_STRINGS))
 )

@@ -21,11 +21,14 @@ def read_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     )
 
 
+def decoded(files: DataFrame) -> DataFrame:
+    """`(path, content)` with the bytes as UTF-8 text, NULL where they are not."""
+    return files.select("path", F.expr("try_validate_utf8(cast(content AS STRING))").alias("content"))
+
+
 def as_text(files: DataFrame) -> DataFrame:
-    """`(path, content)` with the bytes decoded; files that are not UTF-8 are left out."""
-    return files.select("path", F.expr("try_validate_utf8(cast(content AS STRING))").alias("content")).filter(
-        F.col("content").isNotNull()
-    )
+    """The files that are UTF-8; `operators.unreadable` names the others."""
+    return decoded(files).filter(F.col("content").isNotNull())
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -38,9 +41,12 @@ def read_install_inputs(spark: SparkSession, path: str) -> DataFrame:
     return as_text(read_files(spark, path, "{*.ipynb,requirements*.txt}"))
 
 
+CORPUS = "{*.py,*.ipynb,requirements*.txt}"
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """All inputs of all checks in one scan."""
-    return as_text(read_files(spark, path, "{*.py,*.ipynb,requirements*.txt}"))
+    return as_text(read_files(spark, path, CORPUS))
 
 
 def file_kind(path: Column) -> Column:

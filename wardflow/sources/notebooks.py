@@ -2,43 +2,85 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import blank_magic
+from ..schemas import NOTEBOOK
+
+_ARROW_NOTEBOOK = to_arrow_type(NOTEBOOK)
+
+
+def _valid(text: str) -> str:
+    """Escapes may spell halves of surrogate pairs, which no UTF-8 text can hold."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "replace").decode()
+    return text
+
+
+def _leaves(value: object) -> list[str]:
+    """All texts among the values of a JSON value, in order; keys are left out."""
+    found, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, str):
+            found.append(_valid(v))
+        elif isinstance(v, (list, dict)):
+            todo += reversed(v if isinstance(v, list) else list(v.values()))
+    return found
+
+
+def read_notebook(content: str) -> dict:
+    """`problem` (NULL if there is none) and the code cells of one document.
+
+    The standard library's reader takes whatever notebooks hold in practice: NaN, repeated keys, texts of any
+    length. `source` may be a string or a list of strings; a cell with another kind of source is left out.
+    """
+    try:
+        document = json.loads(content)
+    except (ValueError, RecursionError):
+        return {"problem": "not JSON", "code": None}
+    cells = document.get("cells", []) if isinstance(document, dict) else None
+    if not isinstance(cells, list):
+        return {"problem": "no list of cells", "code": None}
+    code = []
+    for i, cell in enumerate(cells):
+        if isinstance(cell, dict) and cell.get("cell_type") == "code":
+            source = cell.get("source", "")
+            if isinstance(source, list):
+                source = "".join(s for s in source if isinstance(s, str))
+            if isinstance(source, str):
+                code.append({"cell_idx": i, "source": _valid(source), "outputs": _leaves(cell.get("outputs"))})
+    return {"problem": None, "code": code}
 
-# `source` may be a string or a list of strings, so the type of each value decides; a document that
-# is not JSON, or has no cell list, gives NULL. Each step names what the next one reads, since a
-# lambda's repeated sub-expressions are evaluated every time.
-_RAW = """
-transform(
-  try_variant_get(try_parse_json({content}), '$.cells', 'array<variant>'),
-  (c, i) -> named_struct('cell_idx', i, 'cell_type', try_variant_get(c, '$.cell_type', 'string'),
-                         's', try_variant_get(c, '$.source', 'variant'), 'o', try_variant_get(c, '$.outputs', 'variant')))
-"""
-_TYPED = """
-transform(
-  filter({raw}, c -> c.cell_type = 'code'),
-  c -> named_struct('cell_idx', c.cell_idx, 's', c.s, 'o', c.o, 'kind', schema_of_variant(c.s)))
-"""
-_CODE = """
-filter(transform(
-  {typed},
-  c -> named_struct(
-    'cell_idx', c.cell_idx,
-    'source', CASE
-      WHEN c.kind IS NULL THEN ''
-      WHEN c.kind = 'STRING' THEN cast(c.s AS STRING)
-      WHEN c.kind LIKE 'ARRAY%' THEN array_join(transform(
-        filter(cast(c.s AS array<variant>), x -> schema_of_variant(x) = 'STRING'), x -> cast(x AS STRING)), '')
-    END,
-    'outputs', to_json(c.o))), c -> c.source IS NOT NULL)
-"""
-
-
-def code_cells(content: str) -> Column:
-    """Array of (cell_idx, source, outputs) of the code cells; `cell_idx` counts all cells, markdown included."""
-    return F.expr(_CODE.format(typed=_TYPED.format(raw=_RAW.format(content=content))))
+
+@F.arrow_udf(NOTEBOOK)
+def _read(contents: pa.Array) -> pa.Array:
+    return pa.array([None if c is None else read_notebook(c) for c in contents.to_pylist()], type=_ARROW_NOTEBOOK)
+
+
+# The optimizer copies deterministic expressions into filters; a document is to be read once.
+_read_once = _read.asNondeterministic()
+
+
+def parsed(content: Column | str) -> Column:
+    """Struct (problem, code) of a document."""
+    return _read_once(content)
+
+
+def code_cells(content: Column | str) -> Column:
+    """Array of (cell_idx, source, outputs) of the code cells; `cell_idx` counts all cells, markdown included.
+
+    `outputs` are the texts of the saved outputs, decoded. NULL where the document has no cells to read.
+    """
+    return parsed(content)["code"]
 
 
 def explode_code_cells(notebooks: DataFrame) -> DataFrame:
