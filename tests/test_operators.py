@@ -154,14 +154,17 @@ def test_sarif_document(spark, tmp_path):
 
 # --- exactness under skew -----------------------------------------------------------------------
 
-@pytest.mark.parametrize("edge", [50_000, 2])
-def test_quota_is_exact_on_a_hot_group(spark, monkeypatch, edge):
-    monkeypatch.setattr(od, "EDGE_ROWS", edge)  # 2: keeps narrowing prefixes to the end
+@pytest.mark.parametrize("prefix", [3, 1])
+def test_quota_is_exact_on_a_hot_group(spark, monkeypatch, prefix):
+    monkeypatch.setattr(od, "PREFIX", prefix)
     rows = [(i, "hot" if i % 3 else f"g{i % 7}") for i in range(3000)]
     df = spark.createDataFrame(rows, "id bigint, g string")
     quotas = {"hot": 777, **{f"g{i}": i for i in range(7)}}
     hashed = hash_hex(42, F.col("id"))
-    kept = df.filter(od.within_quota(F.col("g"), F.col("id"), hashed, od.fit_quota(df, "g", "id", hashed, quotas)))
+    wanted = spark.createDataFrame(list(quotas.items()), "g string, quota bigint")
+    kept = od.mark_quota(df, "g", "id", hashed, od.fit_quota(df, "g", "id", hashed, wanted), "kept").filter("kept")
+    with pytest.raises(ValueError):
+        od.fit_quota(df, "g", "id", hashed, spark.createDataFrame([("g1", 3000)], "g string, quota bigint"))
     import hashlib
 
     want = set()
@@ -174,12 +177,40 @@ def test_quota_is_exact_on_a_hot_group(spark, monkeypatch, edge):
 def test_stratified_split_sizes(spark):
     df = spark.createDataFrame([(i, 0 if i < 700 else 1 if i < 1000 else 2 if i < 1033 else 3) for i in range(1037)], "id bigint, y int")
     split = pp.fit_stratified_split(df, "id", "y")
-    assert sum(split.quotas.values()) == 1037 - math.ceil(0.2 * 1037)
+    quotas = {r["g"]: r["quota"] for r in split.quotas.collect()}
+    assert sum(quotas.values()) == 1037 - math.ceil(0.2 * 1037)
     got = {(r["y"], r["split"]): r["n"] for r in split.apply(df).groupBy("y", "split").agg(F.count("*").alias("n")).collect()}
-    assert {y: got[(y, "train")] for y in range(4)} == split.quotas
+    assert {y: got[(y, "train")] for y in range(4)} == quotas
     # the published fold: 125,973 rows in five classes
     sizes = {"DoS": 45927, "Normal": 67343, "Probe": 11656, "R2L": 995, "U2R": 52}
-    assert pp.largest_remainder(sizes, 100778) == {"DoS": 36741, "Normal": 53874, "Probe": 9325, "R2L": 796, "U2R": 42}
+    shares = pp.largest_remainder(spark.createDataFrame(list(sizes.items()), "g string, n bigint"), 100778)
+    assert {r["g"]: r["quota"] for r in shares.collect()} == {"DoS": 36741, "Normal": 53874, "Probe": 9325, "R2L": 796, "U2R": 42}
+
+
+def test_stratified_split_of_many_classes(spark):
+    df = spark.range(60_000).select("id", (F.col("id") % 20_000).alias("y"))
+    split = pp.fit_stratified_split(df, "id", "y").apply(df)
+    per_class = split.groupBy("y").agg(F.count_if(F.col("split") == "train").alias("n"))
+    assert split.filter("split = 'train'").count() == 48_000
+    assert per_class.agg(F.min("n"), F.max("n"), F.count("*")).first() == (2, 3, 20_000)
+
+
+def test_neighbours_far_from_the_origin(spark):
+    draw = random.Random(3)
+    rows = [(i, 0, [1.6e9 + draw.randrange(4000) / 8, draw.randrange(300) / 4.0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, class_id int, features array<double>")
+    got = {(r["id"], r["place"]): (r["neighbour_id"], r["distance"]) for r in kn.nearest_neighbours(df, 3, pivots=9, block_rows=100).collect()}
+    for i, _, x in rows:
+        want = sorted((math.sqrt((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2), j) for j, _, y in rows if j != i)[:3]
+        assert [got[i, p + 1] for p in range(3)] == [(j, d) for d, j in want]
+
+
+def test_neighbours_of_seeds_only(spark):
+    rows = [(i, 0, [float(i * i % 97), float(i)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, class_id int, features array<double>")
+    every = {tuple(r) for r in kn.nearest_neighbours(df, 3).collect()}
+    some = {tuple(r) for r in kn.nearest_neighbours(df, 3, visitors=df.filter("id < 10")).collect()}
+    assert some == {r for r in every if r[0] < 10}
 
 
 def test_running_total_and_numbers(spark):

@@ -3,92 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import collect_bounded, cut_lineage
+from ..session import cut_lineage
 
-MAX_GROUPS = 10_000
-EDGE_ROWS = 50_000
+PREFIX = 3  # hex digits: a group falls into 4,096 parts, one of which is sorted
 
 
-@dataclass(frozen=True)
-class Cut:
-    """Largest (hash, key) still inside a group's quota; None keeps nothing."""
+def fit_quota(df: DataFrame, group: str, key: str, hashed: Column, quotas: DataFrame) -> DataFrame:
+    """Per group, the exact (hash, key) up to which `quota` rows lie: `(g, h, k)`, written to shared storage.
 
-    group: object
-    hash: str | None
-    key: object
-
-
-def fit_quota(
-    df: DataFrame, group: str, key: str, hashed: Column, quotas: dict[object, int]
-) -> list[Cut]:
-    """Find, per group, the exact (hash, key) below which `quota` rows lie.
-
-    The order is by (hash, key). Counts of hash prefixes narrow each group down to one prefix until
-    that prefix holds few rows; only those are sorted. Selecting is then a row-wise comparison, so
-    no group, however large, is sorted or shuffled as a whole. Rows must have unique keys.
+    `quotas` is `(g, quota)`. The order is by (hash, key); rows must have unique keys. Counts of hash prefixes
+    tell which prefix holds the edge; only the rows of that prefix are sorted, so no group, however large, is
+    sorted as a whole. Groups with a quota of 0 have no row; a quota larger than the group is an error.
     """
-    base = df.select(F.col(group).alias("g"), F.col(key).alias("k"), hashed.alias("h"))
-    cuts: list[Cut] = [Cut(g, None, None) for g, q in quotas.items() if q <= 0]
-    open_groups = {g: ("", q) for g, q in quotas.items() if q > 0}  # prefix so far, rows wanted in it
-    if len(quotas) > MAX_GROUPS:
-        raise ValueError("too many groups for a driver-side quota table")
-    for width in (3, 6, 9, 12, 16, 24, 32):
-        if not open_groups:
-            break
-        histogram = (
-            base.filter(_in_prefixes(open_groups))
-            .groupBy("g", F.substring("h", 1, width).alias("p")).agg(F.count("*").alias("n"))
-        )
-        running = F.sum("n").over(Window.partitionBy("g").orderBy("p"))
-        wanted = _by_group({g: q for g, (_, q) in open_groups.items()})
-        edges = (
-            histogram.withColumn("upto", running)
-            .filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted))
-        )
-        found = collect_bounded(edges, MAX_GROUPS, "quota edges")
-        missing = set(open_groups) - {r["g"] for r in found}
-        if missing:
-            raise ValueError(f"quota larger than the group: {sorted(map(str, missing))}")
-        open_groups = {r["g"]: (r["p"], open_groups[r["g"]][1] - (r["upto"] - r["n"])) for r in found}
-        ready = {g for r in found if r["n"] <= EDGE_ROWS or width == 32 for g in [r["g"]]}
-        if ready:
-            small = {g: v for g, v in open_groups.items() if g in ready}
-            place = F.row_number().over(Window.partitionBy("g").orderBy("h", "k"))
-            last = (
-                base.filter(_in_prefixes(small)).withColumn("place", place)
-                .filter(F.col("place") == _by_group({g: q for g, (_, q) in small.items()}))
-            )
-            cuts += [Cut(r["g"], r["h"], r["k"]) for r in collect_bounded(last, MAX_GROUPS, "quota cuts")]
-            open_groups = {g: v for g, v in open_groups.items() if g not in ready}
+    base = df.select(F.col(group).alias("g"), F.col(key).alias("k"), hashed.alias("h"), F.substring(hashed, 1, PREFIX).alias("p"))
+    histogram = base.groupBy("g", "p").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy("p"))
+    wanted = quotas.filter("quota > 0")
+    edges = (
+        histogram.withColumn("upto", upto).join(wanted, "g").filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
+        .select("g", "p", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
+    )
+    place = F.row_number().over(Window.partitionBy("g", "p").orderBy("h", "k"))
+    last = base.join(edges, ["g", "p"]).withColumn("place", place).filter(F.col("place") == F.col("rest")).select("g", "h", "k")
+    cuts = cut_lineage(wanted.join(last, "g", "left").select("g", "h", "k"))
+    short = cuts.filter("h IS NULL").select("g").head(5)
+    if short:
+        raise ValueError(f"quota larger than the group: {[r['g'] for r in short]}")
     return cuts
 
 
-def within_quota(group: Column, key: Column, hashed: Column, cuts: Sequence[Cut]) -> Column:
-    """True for the rows `fit_quota` selected; a plain comparison, no shuffle."""
-    inside = [
-        (group == F.lit(c.group)) & ((hashed < F.lit(c.hash)) | ((hashed == F.lit(c.hash)) & (key <= F.lit(c.key))))
-        for c in cuts if c.hash is not None
-    ]
-    return reduce(lambda a, b: a | b, inside, F.lit(False))
-
+def mark_quota(df: DataFrame, group: str, key: str, hashed: Column, cuts: DataFrame, out: str) -> DataFrame:
+    """Add `out`: whether a row is among those that `fit_quota` selected.
 
-def _in_prefixes(groups: dict[object, tuple[str, int]]) -> Column:
-    tests = [
-        (F.col("g") == F.lit(g)) & F.col("h").startswith(prefix) if prefix else F.col("g") == F.lit(g)
-        for g, (prefix, _) in groups.items()
-    ]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def _by_group(values: dict[object, int]) -> Column:
-    pairs = [F.lit(part) for item in values.items() for part in item]
-    return F.element_at(F.create_map(*pairs), F.col("g"))
+    One join with a row per group; a group with most of the rows is split by the adaptive skew join where the
+    cuts are too many to be broadcast.
+    """
+    bounds = cuts.select(F.col("g").alias("_cut_group"), F.col("h").alias("_cut_hash"), F.col("k").alias("_cut_key"))
+    inside = (hashed < F.col("_cut_hash")) | ((hashed == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key")))
+    return (
+        df.join(bounds, F.col(group) == F.col("_cut_group"), "left").withColumn(out, F.coalesce(inside, F.lit(False)))
+        .drop("_cut_group", "_cut_hash", "_cut_key")
+    )
 
 
 def running_total(

@@ -13,15 +13,14 @@ from math import ceil
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import Cut, fit_quota, within_quota
+from ..functions.ordering import fit_quota, mark_quota
 from ..functions.rng import DEFAULT_SEED, hash_hex
-from ..session import collect_bounded
+from ..session import collect_bounded, cut_lineage
 
 MAX_CATEGORIES = 5_000
-MAX_CLASSES = 10_000
 
 
 # --- one-hot ------------------------------------------------------------------------------------
@@ -59,12 +58,21 @@ def feature_names(df: DataFrame, encoder: OneHot, exclude: Sequence[str]) -> lis
 
 
 def feature_matrix(df: DataFrame, encoder: OneHot, keep: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
-    """`keep` columns plus `features`, aligned to the training columns (absent ones are 0)."""
+    """`keep` columns plus `features`, aligned to the training columns.
+
+    A category the training rows did not have is all zeros. A NULL number is no zero: it stays NULL in the array, and
+    `incomplete` finds such rows, so a short input line is not taken for data.
+    """
     left_out = {*exclude, *keep, *encoder.categories}
-    numeric = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in df.columns if c not in left_out]
+    numeric = [F.col(c).cast("double") for c in df.columns if c not in left_out]
     return df.select(*keep, F.array(*numeric, *encoder.columns()).alias("features"))
 
 
+def incomplete(df: DataFrame, column: str = "features") -> DataFrame:
+    """Rows with a NULL among their features."""
+    return df.filter(F.exists(column, lambda x: x.isNull()))
+
+
 def align(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exactly the given columns: missing ones 0, NULLs 0, extra ones gone."""
     present = set(df.columns)
@@ -73,14 +81,23 @@ def align(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --- stratified split ---------------------------------------------------------------------------
 
-def largest_remainder(counts: dict[object, int], total: int) -> dict[object, int]:
-    """Shares of `total` proportional to the counts, whole numbers that add up exactly."""
-    everything = sum(counts.values())
-    exact = {c: Fraction(n * total, everything) for c, n in counts.items()}
-    shares = {c: int(x) for c, x in exact.items()}
-    short = total - sum(shares.values())
-    by_rest = sorted(counts, key=lambda c: (shares[c] - exact[c], str(c)))
-    return {c: shares[c] + (c in set(by_rest[:short])) for c in counts}
+def class_sizes(df: DataFrame, label: str) -> DataFrame:
+    """`(g, n)`."""
+    return df.groupBy(F.col(label).alias("g")).agg(F.count("*").alias("n"))
+
+
+def largest_remainder(sizes: DataFrame, total: int) -> DataFrame:
+    """`(g, quota)`: shares of `total` proportional to the sizes `(g, n)`, whole numbers that add up exactly.
+
+    The rows that rounding down leaves over go to the largest remainders, equal ones in order of the class as
+    text. Classes are ranked in one window over the table of classes.
+    """
+    every = Window.partitionBy()
+    parts = sizes.withColumn("_all", F.sum("n").over(every)).withColumn("_product", F.col("n").cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)"))
+    rest = parts.withColumn("_rest", F.col("_product") % F.col("_all")).withColumn("quota", ((F.col("_product") - F.col("_rest")) / F.col("_all")).cast("bigint"))
+    order = F.row_number().over(Window.orderBy(F.desc("_rest"), F.col("g").cast("string")))
+    short = F.lit(total) - F.sum("quota").over(every)
+    return rest.withColumn("_order", order).withColumn("_short", short).select("g", (F.col("quota") + (F.col("_order") <= F.col("_short")).cast("int")).alias("quota"))
 
 
 @dataclass(frozen=True)
@@ -90,32 +107,24 @@ class StratifiedSplit:
     label: str
     key: str
     seed: int
-    quotas: dict[object, int]
-    cuts: list[Cut]
+    quotas: DataFrame
+    cuts: DataFrame
 
-    def in_train(self) -> Column:
-        key = F.col(self.key)
-        return within_quota(F.col(self.label), key, hash_hex(self.seed, key), self.cuts)
+    def mark(self, df: DataFrame, out: str = "in_train") -> DataFrame:
+        return mark_quota(df, self.label, self.key, hash_hex(self.seed, F.col(self.key)), self.cuts, out)
 
     def apply(self, df: DataFrame, train: str = "train", rest: str = "val") -> DataFrame:
-        return df.withColumn("split", F.when(self.in_train(), train).otherwise(rest))
-
-
-def class_sizes(df: DataFrame, label: str) -> dict[object, int]:
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    return {r[label]: r["n"] for r in collect_bounded(counts, MAX_CLASSES, "classes")}
+        return self.mark(df, "_in_train").withColumn("split", F.when(F.col("_in_train"), train).otherwise(rest)).drop("_in_train")
 
 
 def fit_stratified_split(
     df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = DEFAULT_SEED
 ) -> StratifiedSplit:
-    """Exact per-class proportions; every row's side follows from its hash alone."""
-    sizes = class_sizes(df, label)
-    total = sum(sizes.values())
-    held_out = ceil(Fraction(str(test_size)) * total)
-    quotas = largest_remainder(sizes, total - held_out)
-    cuts = fit_quota(df, label, key, hash_hex(seed, F.col(key)), quotas)
-    return StratifiedSplit(label, key, seed, quotas, cuts)
+    """Exact per-class proportions, for any number of classes; every row's side follows from its hash alone."""
+    sizes = cut_lineage(class_sizes(df, label))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    quotas = cut_lineage(largest_remainder(sizes, total - ceil(Fraction(str(test_size)) * total)))
+    return StratifiedSplit(label, key, seed, quotas, fit_quota(df, label, key, hash_hex(seed, F.col(key)), quotas))
 
 
 # --- scaling ------------------------------------------------------------------------------------
