@@ -13,6 +13,22 @@ def score_json(scores: DataFrame) -> DataFrame:
     return scores.select(F.to_json(F.struct(*fields)).alias("value"))
 
 
+def result_document(scores: DataFrame, split: str = "test") -> DataFrame:
+    """One JSON document of all models: `results` by model and split, and the `best_model` by macro-F1 on `split`.
+
+    One row per model and split goes into it, so it stays small however many rows were scored.
+    """
+    digits = {"accuracy": 4, "f1_macro": 4, "f1_weighted": 4, "train_secs": 1}
+    fields = ["model", "split", *[F.round(c, d).alias(c) for c, d in digits.items() if c in scores.columns]]
+    on_split = F.when(F.col("split") == split, F.struct(F.round("f1_macro", 4).alias("f1"), F.col("model")))
+    ordered = F.array_sort(F.collect_list(F.struct(*fields)))
+    # The best score, and the first name among those that have it.
+    best = F.array_min(F.transform(
+        F.filter(F.col("scored"), lambda s: s["f1"] == F.array_max(F.transform("scored", lambda t: t["f1"]))), lambda s: s["model"]))
+    return scores.agg(ordered.alias("results"), F.collect_list(on_split).alias("scored")).select(
+        F.to_json(F.struct("results", best.alias("best_model"))).alias("value"))
+
+
 def decision_json(decisions: DataFrame, key: str) -> DataFrame:
     """Each decision as a JSON object beside its key."""
     return decisions.select(key, F.to_json(F.struct(*[c for c in decisions.columns if c != key])).alias("line"))
