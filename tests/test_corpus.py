@@ -1,5 +1,6 @@
 """Rules and evaluation on a small corpus with one positive and one negative file per check."""
 
+import json
 from collections import Counter
 
 import pytest
@@ -113,7 +114,7 @@ def test_three_line_systems(spark):
     ("def (", []),
 ])
 def test_import_aliases(code, expected):
-    assert [f[1] for f in call_sites(code)] == expected
+    assert [f[1] for f in call_sites(code) or []] == expected
 
 
 @pytest.mark.parametrize("lines,expected", [
@@ -166,6 +167,60 @@ def test_pattern_results(spark):
     assert got == [("ml-hygiene.fit-on-test-arg", "high", 3, 4, "m", "s"), ("other", "medium", 1, 1, "other", "")]
 
 
+SHELL = "!pip install pandas\n"
+
+
+@pytest.mark.parametrize("content, expected", [
+    (json.dumps({"cells": [{"cell_type": "code", "source": SHELL, "outputs": [{"data": {"image/png": "A" * 21_000_000}}]}]}), 1),
+    ('{"metadata": {"x": NaN}, "cells": [{"cell_type": "code", "source": "!pip install pandas", "outputs": []}]}', 1),
+    ('{"a": 1, "a": 2, "cells": [{"cell_type": "code", "source": "!pip install pandas", "outputs": []}]}', 1),
+    ('{"cells": [{"cell_type": "code", "source": "\\u0021pip install pandas", "outputs": []}]}', 1),
+    ('{"cells": [{"cell_type": "code", "source": "u = \'postgres:\\/\\/user:pass@db.example.org\\/x\'", "outputs": []}]}', 1),
+    ('{"cells": [{"cell_type": "code", "source": "x\\ud800", "outputs": []}]}', 0),
+])
+def test_every_notebook_is_read(spark, content, expected):
+    from wardflow.plans.audit import corpus_hits
+    files = spark.createDataFrame([("a.ipynb", content)], "path string, content string")
+    one_by_one = rules.union_findings(rules.notebook_supply_chain(files), rules.notebook_secret_findings(files))
+    assert one_by_one.count() == expected == corpus_hits(files).count()
+
+
+def test_secrets_in_decoded_outputs(spark):
+    token, key = GH, "AKIA" + "C" * 16
+    outputs = [{"text": [f"token:\n{token}\n"]}, {"data": {"text/plain": f"a\t{key}", "application/json": {"deep": [{"er": token}]}}},
+               {"output_type": "error", "traceback": [f"Traceback\n{key} is wrong"]}]
+    files = spark.createDataFrame([("a.ipynb", notebook("print(1)", outputs={0: outputs}))], "path string, content string")
+    found = rules.notebook_secret_findings(files)
+    assert found.count() == 4 and {r["rule_id"] for r in found.collect()} == {"secrets.leaked-in-notebook-output"}
+
+
+def test_unreadable_inputs(spark):
+    from wardflow.operators.unreadable import unreadable
+    files = [("a.ipynb", "{"), ("b.ipynb", "[]"), ("c.py", "def (: load"), ("d.py", None), ("e.py", "x = 1"), ("requirements.txt", "a"),
+             ("f.ipynb", notebook("def (: fit")), ("g.ipynb", notebook("import joblib"))]
+    rows = unreadable(spark.createDataFrame(files, "path string, content string")).collect()
+    assert {r["path"]: r["reason"] for r in rows} == {
+        "a.ipynb": "not JSON", "b.ipynb": "no list of cells", "c.py": "source does not parse", "d.py": "not UTF-8", "f.ipynb": "source does not parse"}
+
+
+@pytest.mark.parametrize("source, expected", [
+    ("try:\n    import joblib\nexcept ImportError:\n    from sklearn.externals import joblib\njoblib.load('x')", ["joblib.load"]),
+    ("import pickle as pk\npk.load(f)\nimport json as pk", ["pickle.load"]),
+    ("import pickle\ndef f(pickle):\n    return pickle.load(1)", []),
+    ("def f():\n    import pickle\n    return pickle.load(1)\npickle.load(2)", ["pickle.load"]),
+    ("class A:\n    import torch as t\n    t.load(1)\n    def f(self):\n        t.load(2)", ["torch.load"]),
+    ("if x:\n    import pickle as p\nelse:\n    import joblib as p\np.load(1)", ["joblib.load, pickle.load"]),
+    ("import pickle\n[pickle.load(x) for pickle in y]\n(lambda pickle: pickle.load(1))", []),
+])
+def test_imports_by_scope(source, expected):
+    assert [f[1] for f in call_sites(source)] == expected
+
+
+def test_concatenated_strings_are_no_columns():
+    facts = call_sites("cols = ['difficulty' '_level', 'a', ('b'\n'c'), 'it\\'s']")
+    assert facts[0][8] == ["a", "it's"]
+
+
 def test_baseline_round_trip(spark, corpus):
     found = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "b")], "file string, rule_id string")
     fixtures = spark.createDataFrame([("a", "leakage"), ("e", "secrets")], "file string, check string")
@@ -182,11 +237,14 @@ def test_file_scan(spark, tmp_path):
     (tmp_path / "sub" / "a.ipynb").write_text(CORPUS["supply_chain/positive_unpinned.ipynb"][0])
     (tmp_path / "requirements-dev.txt").write_text("numpy==1\npandas\n# c\n-r x\n")
     (tmp_path / "b.py").write_text("import joblib\njoblib.load('x')\n")
+    (tmp_path / "latin.py").write_bytes("import joblib\njoblib.load('é')\n".encode("latin-1"))
     (tmp_path / "m.keras").write_text("x")
     (tmp_path / ".venv" / "n.h5").write_text("x")
     found, checks, unreadable = audit_path(spark, str(tmp_path), "r")
     ids = _ids(found)
     assert ids == ["deserialization.unsafe-joblib-load", "scenario.supply-chain-to-rce", "supply_chain.unpinned-pip-install",
                    "supply_chain.unpinned-requirement", "supply_chain.untrusted-wget-source"]
-    assert checks.count() == 5
+    assert {r["check"]: r["tool_status"] for r in checks.collect()} == {
+        "supply_chain": "ok", "deserialization": "ok", "secrets": "ok", "leakage": "ok", "adversarial": "not_run"}
+    assert [(r["path"].rsplit("/", 1)[1], r["reason"]) for r in unreadable.collect()] == [("latin.py", "not UTF-8")]
     assert [r["path"].rsplit("/", 1)[1] for r in find_model_files(spark, str(tmp_path)).collect()] == ["m.keras"]

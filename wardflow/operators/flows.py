@@ -66,10 +66,8 @@ def known_rows(flows: DataFrame) -> DataFrame:
 def counts_with_share(df: DataFrame, key: str) -> DataFrame:
     """Rows and share (%) per value; the share's total runs over the counted rows only."""
     counts = df.groupBy(key).agg(F.count("*").alias("rows"))
-    total = counts.agg(F.sum("rows").alias("_all"))
-    return counts.crossJoin(total).select(  # one row
-        key, "rows", F.round(F.col("rows") * 100.0 / F.col("_all"), 2).alias("share_pct")
-    )
+    total = F.sum("rows").over(Window.partitionBy())  # one row per value
+    return counts.select(key, "rows", F.round(F.col("rows") * 100.0 / total, 2).alias("share_pct"))
 
 
 def protocol_by_category(flows: DataFrame, rows: str = "protocol_type") -> DataFrame:
@@ -84,7 +82,7 @@ def class_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def class_shortfall(df: DataFrame, key: str) -> DataFrame:
     """Rows per class, the majority's size, and what each class lacks to reach it."""
     counts = df.groupBy(key).agg(F.count("*").alias("rows"))
-    return counts.crossJoin(counts.agg(F.max("rows").alias("majority"))).withColumn(
+    return counts.withColumn("majority", F.max("rows").over(Window.partitionBy())).withColumn(  # one row per class
         "shortfall", F.col("majority") - F.col("rows")
     )
 
@@ -124,7 +122,8 @@ def near_constant(df: DataFrame, columns: Sequence[str], threshold: float = 0.01
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation that is NULL, not an error, when one side is constant."""
+    """Correlation over the rows that have both sides; NULL, not an error, when one of them is constant."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
@@ -152,6 +151,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
+def strongest_matrix(df: DataFrame, columns: Sequence[str], label: str, k: int = 15) -> DataFrame:
+    """Correlations among the k columns most correlated with the label, and with the label itself."""
+    top = [r["column"] for r in top_correlated(label_correlations(df, columns, label), k).collect()]  # k rows
+    return correlation_matrix(df, [*top, label])
+
+
 # --- single rows --------------------------------------------------------------------------------
 
 def first_row(df: DataFrame, order: str, where: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -168,11 +173,13 @@ def most_confident(df: DataFrame, by: str, confidence: str, key: str) -> DataFra
     return df.groupBy(by).agg(best.alias("r")).select(by, "r.*")
 
 
-def representative_case(df: DataFrame, confidence: str, key: str, lo: float = 0.85, hi: float = 0.95) -> DataFrame:
-    """First row with confidence in [lo, hi); if there is none, the most confident row."""
+def representative_case(
+    df: DataFrame, confidence: str, key: str, lo: float = 0.85, hi: float = 0.95, by: Sequence[str] = ()
+) -> DataFrame:
+    """First row with confidence in [lo, hi), per group; if there is none, the most confident row."""
     inside = (F.col(confidence) >= lo) & (F.col(confidence) < hi)
     row = F.struct(*df.columns)
-    chosen = df.agg(
+    chosen = df.groupBy(*by).agg(
         F.min_by(row, F.when(inside, F.col(key))).alias("_in"),
         F.max_by(row, F.struct(F.col(confidence), -F.col(key))).alias("_top"),
     ).select(F.coalesce("_in", "_top").alias("r"))

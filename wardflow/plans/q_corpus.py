@@ -30,9 +30,14 @@ def _s2(spark, sf):
     return st.order_paths(spark, sf, "fixture").select("path", kind.alias("kind")).filter(F.col("kind").isin("notebook", "python"))
 
 
-@query("S2_scan_files")
+@query("S2_scan_files", sql("py", "SELECT path, md5(content) AS digest FROM py"))
 def _s2scan(spark, sf):
-    return fs.read_files(spark, sf, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length"))
+    """Every Python source, written as a line of its path and digest into text files, which the file scan reads back."""
+    folder = st.scratch(spark, "files")
+    sources = st.python_files(spark, sf).select(F.concat_ws(" ", "path", F.md5(F.col("content").cast("binary"))).alias("value"))
+    sources.write.text(folder)
+    lines = fs.as_text(fs.read_files(spark, folder, "*.txt")).select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
+    return lines.select(F.split("line", " ")[0].alias("path"), F.split("line", " ")[1].alias("digest"))
 
 
 @query("S3_install_inputs", """

@@ -106,11 +106,7 @@ def _p12(spark, sf):
       CASE WHEN confidence >= 0.85 AND confidence < 0.95 THEN id END, confidence DESC, id) AS r FROM cat) WHERE r = 1"""))
 def _p13(spark, sf):
     cat = fl.categorise(st.flows(spark, sf)).select("id", "category", "confidence")
-    parts = [fl.representative_case(cat.filter(F.col("category") == c), "confidence", "id") for c in CLASSES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("category", "id", "confidence")
+    return fl.representative_case(cat, "confidence", "id", by=("category",)).select("category", "id", "confidence")
 
 
 # --- A1-A7, W1, W5, W6, T1: exploration -----------------------------------------------------------
@@ -155,6 +151,18 @@ def _a5(spark, sf):
     return fl.correlation_matrix(st.table(spark, sf, "lineitem"), _WIDE).withColumn("correlation", F.round("correlation", 6))
 
 
+_STRONG = [*_NUM, "class_id"]
+
+
+@query("A5_strongest_matrix", sql("cat", "WITH m AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {_CORR.format(a=a, b=b)} AS r FROM cat" for a in _STRONG for b in _STRONG) + """),
+  top AS (SELECT a AS name FROM m WHERE b = 'class_id' AND a <> 'class_id' ORDER BY abs(r) DESC NULLS LAST, a LIMIT 15)
+  SELECT a, b, round(r, 6) AS correlation FROM m WHERE (a IN (FROM top) OR a = 'class_id') AND (b IN (FROM top) OR b = 'class_id')"""))
+def _a5_strongest(spark, sf):
+    cat = fl.encode_category(fl.categorise(st.flows(spark, sf)))
+    return fl.strongest_matrix(cat, _NUM, "class_id").withColumn("correlation", F.round("correlation", 6))
+
+
 @query("T1_top_correlated", sql("cat", "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", round({_CORR.format(a=c, b='class_id')}, 6) AS correlation FROM cat" for c in _NUM)
     + ") ORDER BY abs(correlation) DESC NULLS LAST, 1 LIMIT 3"))

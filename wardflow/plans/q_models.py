@@ -299,6 +299,27 @@ def _m8(spark, sf):
     return _one(spark, sf, "HistGBM")
 
 
+def _linear(spark, sf):
+    """Weights and bias of the fitted logistic regression, and all points."""
+    points = _clear(spark, sf)
+    model = md.logistic_regression(points.count()).fit(md.as_vectors(points))
+    return model.coefficientMatrix.toArray(), model.interceptVector.toArray(), points
+
+
+@query("M9_fitted_model", sql("pts", """
+  SELECT id, unnest([0.01, 0.05, 0.1, 0.2, 0.3])::DOUBLE AS eps, CAST(class_id % 5 AS INT) AS clean, CAST(class_id % 5 AS INT) AS adversarial FROM pts"""))
+def _m9_fitted(spark, sf):
+    weights, bias, points = _linear(spark, sf)
+    return xp.attacked(points, weights, bias, clip=None)  # the margin is wider than any step, so nothing flips
+
+
+@query("M10_fitted_model", "SELECT 'f' || j AS feature, CAST(j AS INT) AS j, 0.0::DOUBLE AS importance FROM range(64) t(j)")
+def _m10_fitted(spark, sf):
+    weights, bias, points = _linear(spark, sf)
+    score = linear_scores(weights, bias)
+    return xp.permutation_importance(points, lambda x: argmax(score(x)), [f"f{j}" for j in range(64)])  # every feature tells the class
+
+
 @query("M12_model_loop", "SELECT m AS model, 'test' AS split, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_macro, 1.0::DOUBLE AS f1_weighted FROM unnest(['HistGBM', 'LogReg', 'RF']) t(m)")
 def _m12(spark, sf):
     return mt.ranking(_fitted(spark, sf, _ESTIMATORS).scores()).drop("train_secs")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if configured:
             sc.setCheckpointDir(configured)
         elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="wardflow-ckpt-"))
+            folder = tempfile.mkdtemp(prefix="wardflow-ckpt-")  # one machine, so its folder is shared
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.setCheckpointDir(folder)
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return sc.getCheckpointDir()
