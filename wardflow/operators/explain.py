@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import DEFAULT_SEED, hash_hex
 from ..functions.vectors import argmax, gradient_sign, linear_scores
+from ..session import cut_lineage
 from .flows import sample_rows
 from .rules import fix_struct
 
@@ -87,7 +88,7 @@ def permutation_importance(
 
     `rows` is `(id, class_id, features)`; `predict_class` maps a features column to a class column.
     """
-    picked = sample_rows(rows, "id", sample, seed)
+    picked = cut_lineage(sample_rows(rows, "id", sample, seed))  # read three times below
     base = picked.agg(F.avg((predict_class(F.col("features")) == F.col("class_id")).cast("double")).alias("base"))
     mixed = permuted_rows(picked, repeats, seed).select(
         "repeat", "class_id", "features", F.posexplode("donor").alias("j", "value")

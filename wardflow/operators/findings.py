@@ -20,15 +20,16 @@ SNIPPET_LENGTH = 400
 
 
 def keep_first(findings: DataFrame, order: Column) -> DataFrame:
-    """One row per (run, rule, file, line): the first in `order`; rows without a line all stay."""
+    """One row per (run, rule, file, line): the first in `order`; rows without a line all stay.
+
+    `order` is a number that no two findings of a run share. Its minimum per group is a hash aggregate over the
+    keys alone; the rows themselves are only joined to it.
+    """
+    marked = findings.withColumn("_order", order)
     keys = ["run_id", "rule_id", "file", "line_start"]
-    own = F.when(F.col("line_start").isNull(), F.col("seq"))
-    rest = [c for c in findings.columns if c not in keys]
-    return (
-        findings.groupBy(*keys, own.alias("_own"))
-        .agg(F.min_by(F.struct(*rest), order).alias("_first"))
-        .select(*keys, "_first.*").select(*findings.columns)
-    )
+    first = marked.filter(F.col("line_start").isNotNull()).groupBy(*keys).agg(F.min("_order").alias("_order")).select("run_id", "_order")
+    with_line = marked.filter(F.col("line_start").isNotNull()).join(first, ["run_id", "_order"], "left_semi")
+    return with_line.unionByName(marked.filter(F.col("line_start").isNull())).select(*findings.columns)
 
 
 # --- summaries ----------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ run's files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import number_rows
@@ -64,11 +64,11 @@ def build_fixes(numbered: DataFrame, author: str = "deterministic") -> DataFrame
 
 def record_runs(root: str, findings: DataFrame, runs: DataFrame, check_runs: DataFrame, after: int = 0) -> None:
     """Append finished runs to the history below `root`."""
-    numbered = number_findings(findings, after)  # checkpointed, so both writes see the same keys
+    numbered = number_findings(findings, after)  # checkpointed: all four tables come from these rows
     build_findings(numbered).write.mode("append").partitionBy("run_id").parquet(f"{root}/findings")
     build_fixes(numbered).write.mode("append").partitionBy("run_id").parquet(f"{root}/fix_proposals")
-    build_check_results(findings, check_runs).write.mode("append").parquet(f"{root}/check_results")
-    build_runs(findings, runs).write.mode("append").parquet(f"{root}/runs")  # last: a run shows once complete
+    build_check_results(numbered, check_runs).write.mode("append").parquet(f"{root}/check_results")
+    build_runs(numbered, runs).write.mode("append").parquet(f"{root}/runs")  # last: a run shows once complete
 
 
 def read_history(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -111,7 +111,7 @@ def runs_by_rule(findings: DataFrame, runs: DataFrame, rule_id: str) -> DataFram
 def show_run(runs: DataFrame, prefix: str, newest: int = NEWEST_RUNS) -> DataFrame:
     """Newest runs whose id starts with prefix, each with the number of matches (1 is the good case)."""
     found = list_runs(runs, newest).filter(F.col("run_id").startswith(prefix))
-    return found.crossJoin(found.agg(F.count("*").alias("matches")))
+    return found.withColumn("matches", F.count("*").over(Window.partitionBy()))  # at most `newest` rows
 
 
 def append_decisions(decisions: DataFrame, path: str) -> None:

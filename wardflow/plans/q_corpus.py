@@ -411,11 +411,11 @@ def _r15(spark, sf):
     return rl.secret_findings(st.planted_documents(spark, sf)).select("file", "rule_id", "line_start", "evidence")
 
 
-@query("R15_secrets_in_pages", f"""
-  WITH l AS (SELECT CAST(page_id AS VARCHAR) AS path, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS line_no FROM pages),
-  t AS ({_SECRET_SQL}) SELECT path, rule_id, CAST(line_no AS INT) AS line_start, token FROM t""")
+@query("R15_secrets_in_pages", sql("pgs", f"""
+  WITH l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM pgs),
+  t AS ({_SECRET_SQL}) SELECT path, rule_id, CAST(line_no AS INT) AS line_start, token FROM t"""))
 def _r15p(spark, sf):
-    return rl.secret_lines(st.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))).select("path", "rule_id", "line_start", "token")
+    return rl.secret_lines(st.planted_pages(spark, sf)).select("path", "rule_id", "line_start", "token")
 
 
 @query("R16_secrets_in_outputs", sql("nb", """

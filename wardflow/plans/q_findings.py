@@ -263,9 +263,9 @@ def _a21(spark, sf):
     return ev.overall_recall(ev.check_scores(*_eval_inputs(spark, sf))).withColumn("overall_recall", F.round("overall_recall", 6))
 
 
-@query("A22_recall_gate", sql("fi", f'WITH {_EVAL} SELECT "check" FROM sc WHERE r < 0.72'))
+@query("A22_recall_gate", sql("fi", f'WITH {_EVAL} SELECT "check" FROM sc WHERE r < 0.91'))
 def _a22(spark, sf):
-    return ev.below_floor(ev.check_scores(*_eval_inputs(spark, sf)), 0.72).select("check")
+    return ev.below_floor(ev.check_scores(*_eval_inputs(spark, sf)), 0.91).select("check")
 
 
 @query("J9_missing_baseline", sql("fi", f"WITH {_EVAL} SELECT file, \"check\" FROM fx WHERE file NOT IN (SELECT file FROM e)"))

@@ -356,6 +356,17 @@ _PLANTED = f"""
 """
 
 
+# Whole pages, with a token behind the markup of every second one.
+_PAGE = """
+  html || chr(10) || CASE page_id % 4 WHEN 0 THEN '<b>ghp_' || md5(CAST(page_id AS VARCHAR(20))) || 'abcd</b>'
+    WHEN 2 THEN 'key: AKIA' || upper(substr(md5(CAST(page_id AS VARCHAR(20))), 1, 16)) || ';' ELSE '<p>plain</p>' END
+"""
+
+
+def planted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql_select(table(spark, sf_dir, "pages"), f"CAST(page_id AS STRING) AS path, {_PAGE.replace('VARCHAR(20)', 'STRING')} AS text")
+
+
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "documents", _render_documents)
 
@@ -415,6 +426,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "py": ((), f"SELECT *, 'src/' || o_orderkey || '.py' AS path, {_PYTHON} AS content FROM orders"),
     "rq": ((), f"SELECT *, 'p' || p_partkey || '/requirements.txt' AS path, {_REQUIREMENTS} AS content FROM part"),
     "docs": ((), f"SELECT CAST(doc_id AS VARCHAR) AS path, {_PLANTED} AS text FROM documents"),
+    "pgs": ((), f"SELECT CAST(page_id AS VARCHAR) AS path, {_PAGE} AS text FROM pages"),
     "pts": ((), "SELECT vec_id AS id, label AS class_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"),
     "hosts": ((), "SELECT * FROM " + _values(PROTECTED_HOSTS) + " t(ip, role)"),
     "scen": ((), "SELECT * FROM " + _values(
