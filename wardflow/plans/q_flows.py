@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..dims import CLASSES, FLOW_COLUMNS, PROTECTED_HOSTS
+from ..dims import CLASSES, DECISION_MATRIX, FLOW_COLUMNS, PROTECTED_HOSTS
 from ..functions.vectors import argmax
 from ..operators import decide as dc
 from ..operators import flows as fl
@@ -487,6 +487,33 @@ def _n5(spark, sf):
     return _alerts(spark, sf).select("id", "attack_type", "alert_severity", "confidence_pct", "status")
 
 
+_TOP = (("count", 0.12), ("dst_bytes", 0.05))
+_CASE_FEATURES = ",".join(f"""{{"name":"{n}","value":' || round(CAST({n} AS DOUBLE), 4) || ',"importance":{w}}}""" for n, w in _TOP)
+_MATRIX_JSON = ",".join(f'{{"lo":{lo},"hi":{hi},"severity":"{s}","action":"{a}"}}' for s, lo, hi, a in DECISION_MATRIX)
+
+
+@query("K3_case_document", sql("cat", """
+  WITH c AS (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY category ORDER BY (confidence >= 0.85 AND confidence < 0.95) DESC,
+      CASE WHEN confidence >= 0.85 AND confidence < 0.95 THEN id END, confidence DESC, id) AS r FROM cat WHERE category IN ('DoS', 'Probe')) WHERE r = 1)
+  SELECT '{"top_features":[""" + ",".join(f'{{"feature":"{n}","score":{w}}}' for n, w in _TOP) + """],"cases":[' || string_agg(
+    '{"category":"' || category || '","index":' || id || ',"confidence":' || confidence || ',"severity":"' ||
+    CASE WHEN confidence > 0.95 THEN 'CRITICAL' WHEN confidence > 0.85 THEN 'HIGH' WHEN confidence > 0.7 THEN 'MEDIUM' ELSE 'LOW' END ||
+    '","features":[""" + _CASE_FEATURES + """]}', ',' ORDER BY category) || '],"decision_matrix":[""" + _MATRIX_JSON + """]}' AS value FROM c"""))
+def _k3_document(spark, sf):
+    from ..dims import decision_matrix
+    from ..operators.explain import case_features
+    from ..sinks import case_document
+
+    cat = fl.categorise(st.flows(spark, sf)).filter(F.col("category").isin("DoS", "Probe"))
+    numbers = F.array(*[F.col(n).cast("double") for n, _ in _TOP])
+    known = cat.select("category", "id", "confidence", case_features(numbers, [(n, j, w) for j, (n, w) in enumerate(_TOP)]).alias("features"))
+    cases = fl.representative_case(known, "confidence", "id", by=("category",)).select(
+        "category", F.col("id").alias("index"), "confidence", dc.strict_severity(F.col("confidence")).alias("severity"), "features")
+    top = spark.createDataFrame(list(_TOP), "feature string, importance double")
+    return case_document(top, cases, decision_matrix(spark))
+
+
 @query("K3_decision_json", sql("scored hosts", f"""
   WITH {_DECIDE} SELECT id, '{{"destination_ip":"' || destination_ip || '","prediction":"' || prediction || '","confidence":' || confidence || ',"severity":"' ||
     severity || '","action":"' || action || '"}}' AS line FROM n1"""))

@@ -39,5 +39,23 @@ def case_json(cases: DataFrame, key: str) -> DataFrame:
     return cases.select(key, F.to_json(F.struct("*")).alias("line"))
 
 
+def case_document(top: DataFrame, cases: DataFrame, matrix: DataFrame) -> DataFrame:
+    """One JSON document of an explained run.
+
+    `top` `(feature, importance)` holds the few top features, `cases` `(category, index, confidence, severity, features)` one
+    case per category with `features` as a map, `matrix` the decision rows. All three are small by construction; the
+    decision log is not and stays in rows, see `decision_json`.
+    """
+    gathered = lambda df, name, first, *rest: df.agg(F.array_sort(F.collect_list(F.struct(first, *rest))).alias(name))
+    features = gathered(top.select((-F.col("importance")).alias("_order"), "feature", F.col("importance").alias("score")), "f", "_order", "feature", "score")
+    named = F.transform("f", lambda x: F.struct(x["feature"], x["score"]))
+    rows = cases.select("category", "index", "confidence", "severity", F.array_sort(F.transform(F.map_entries("features"), lambda e: F.struct(
+        e["key"].alias("name"), e["value"]["value"].alias("value"), e["value"]["importance"].alias("importance")))).alias("features"))
+    found = gathered(rows, "cases", "category", "index", "confidence", "severity", "features")
+    steps = gathered(matrix.select("lo", "hi", "severity", "action"), "decision_matrix", "lo", "hi", "severity", "action")
+    one = features.select(named.alias("top_features")).crossJoin(found).crossJoin(steps)  # one row each
+    return one.select(F.to_json(F.struct("top_features", "cases", "decision_matrix")).alias("value"))
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
