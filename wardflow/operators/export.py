@@ -77,17 +77,18 @@ def sarif_lines(findings: DataFrame, check_runs: DataFrame, root: str | None = N
         f'"semanticVersion":"{version}","rules":['
     ).alias("line"))
     described = rule_descriptors(findings, ("run_id",))
-    first_rule = described.groupBy("run_id").agg(F.min("rule_id").alias("_first"))
-    rules = described.join(first_rule, "run_id").select(
+    # Joined by run and rule (or run and position), not by run alone: a run may hold most of the rows.
+    first_rule = described.groupBy("run_id").agg(F.min("rule_id").alias("rule_id")).withColumn("_first", F.lit(True))
+    rules = described.join(first_rule, ["run_id", "rule_id"], "left").select(
         "run_id", F.lit(1).alias("part"),
         F.lit(0).cast("long").alias("ord"), F.col("rule_id").alias("key"),
-        F.concat(F.when(F.col("rule_id") == F.col("_first"), "").otherwise(","), descriptor_json()).alias("line"),
+        F.concat(F.when(F.col("_first"), "").otherwise(","), descriptor_json()).alias("line"),
     )
     middle = runs.select("run_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit("").alias("key"), F.lit(']}},"results":[').alias("line"))
-    first_seq = findings.groupBy("run_id").agg(F.min("seq").alias("_first"))
-    results = findings.join(first_seq, "run_id").select(
+    first_seq = findings.groupBy("run_id").agg(F.min("seq").alias("seq")).withColumn("_first", F.lit(True))
+    results = findings.join(first_seq, ["run_id", "seq"], "left").select(
         "run_id", F.lit(3).alias("part"), F.col("seq").cast("long").alias("ord"), F.lit("").alias("key"),
-        F.concat(F.when(F.col("seq") == F.col("_first"), "").otherwise(","), result_json(root)).alias("line"),
+        F.concat(F.when(F.col("_first"), "").otherwise(","), result_json(root)).alias("line"),
     )
     status = F.to_json(F.struct(
         F.struct(F.concat("check", F.lit(".status")).alias("id")).alias("descriptor"), F.lit("note").alias("level"),

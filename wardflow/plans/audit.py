@@ -144,6 +144,7 @@ def secrets(files: DataFrame) -> DataFrame:
 
 # The single dispatch table of file-based checks: `(path, content)` to findings. The adversarial
 # check works on a scored model instead of files, see operators.explain.
+# `deserialization` and `leakage` are two views of `call_sites`: run `call_sites` once where both are wanted.
 CHECK_RUNNERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "supply_chain": supply_chain,
     "deserialization": deserialization,
