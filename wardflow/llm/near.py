@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,39 @@ def band_keys(shingle_set: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+FILTER_BITS = 1 << 27  # largest filter: 16 MB, whatever the number of nodes
+FILTER_PARTS = 8
+
+
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    """Two places in a filter for each 16-byte id."""
+    return ids.view(np.uint64).reshape(-1, 2).astype(np.uint64) & np.uint64(size - 1)
+
+
+def filter_of(nodes: DataFrame) -> np.ndarray:
+    """A bit set that holds all nodes and few others: 16 bits for each node, but FILTER_BITS at most.
+
+    It spares later steps the rows of most other nodes; where it is full it spares none, and joins decide anyway.
+    """
+    size = min(FILTER_BITS, 1 << max(16, (16 * nodes.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, bool)
+        for batch in batches:
+            held[_bits(np.frombuffer(b"".join(batch.column("node").to_pylist()), np.uint8), size).reshape(-1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], names=["bits"])
+
+    total = np.zeros(size // 8, np.uint8)
+    for row in nodes.select("node").repartition(FILTER_PARTS, "node").mapInArrow(run, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row["bits"], np.uint8)
+    return total
+
+
+def may_hold(held: np.ndarray, ids: pa.Array) -> np.ndarray:
+    at = _bits(np.frombuffer(b"".join(ids.to_pylist()), np.uint8), 8 * len(held))
+    return ((held[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
+
+
 def similar(both: Column, n: Column, m: Column, percent: int) -> Column:
     return both * 100 >= (n + m - both) * percent
 

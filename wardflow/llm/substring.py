@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, powers, saved, text_bytes, text_slices, words
-from .near import link_groups, permuted
+from .near import filter_of, link_groups, may_hold, permuted
 
 BANDS, ROWS, WIDTH, PERCENT = 6, 2, 5, 75  # a pair at 0.75 shares a band with probability 0.993, one at 0.85 with 0.9996
 LINE_WORDS = 30  # shortest paragraph that is looked at
@@ -124,16 +124,17 @@ def units(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     )
 
 
-def paragraph_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Id and distinct shingles of each paragraph."""
+def paragraph_sets(docs: DataFrame, width: int, held: np.ndarray) -> DataFrame:
+    """Id and distinct shingles of each paragraph that the filter `held` lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 *_, hashes, _, a, b = _spans(part)
-                grams = _grams(hashes, width)
-                sets = [np.unique(grams[x:y]).view(np.int64) for x, y in zip(a, b - width + 1)]
-                yield pa.RecordBatch.from_arrays([_sequence_ids(hashes, a, b), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                grams, ids = _grams(hashes, width), _sequence_ids(hashes, a, b)
+                kept = may_hold(held, ids)
+                sets = [np.unique(grams[x:y]).view(np.int64) for x, y in zip(a[kept], b[kept] - width + 1)]
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(kept)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return docs.select("text").mapInArrow(run, "node binary, shingles array<bigint>")
 
@@ -158,7 +159,7 @@ def repeated_passages(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, wid
     per_node = saved(nodes.filter("paragraph OR least < most"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return paragraph_sets(docs, width).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return paragraph_sets(docs, width, filter_of(wanted)).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     groups = link_groups(per_node.filter("paragraph").select("node", "keys"), sets_of, percent)
     labelled = per_node.select("node", "least", "most").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
