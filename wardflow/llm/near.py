@@ -153,17 +153,24 @@ def _links_of_the_rest(with_hub: DataFrame, groups: DataFrame, sets: DataFrame,
 
 
 def _block_links(loose: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of a block that join groups: each loose node is held against all members, but two groups that are
+    joined already get no further link, so a block gives fewer links than it has groups."""
     found: list[tuple[bytes, bytes]] = []
     if len(loose) and len(members):
         sizes = members["shingles"].map(len).to_numpy()
         names, codes = np.unique(np.concatenate(members["shingles"].to_list()), return_inverse=True)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        labels, ids = members["label"].to_numpy(), members["node"].to_numpy()
-        for node, label, own in zip(loose["node"], loose["label"], loose["shingles"]):
+        ids = members["node"].to_numpy()
+        groups, group_of = np.unique(np.concatenate((members["label"].to_numpy(), loose["label"].to_numpy())), return_inverse=True)
+        joined = np.arange(len(groups))  # group -> the group it is joined to
+        group_of, own_groups = group_of[:len(members)], group_of[len(members):]
+        for node, own_group, own in zip(loose["node"], own_groups, loose["shingles"]):
             held = np.zeros(len(names), np.int64)
             at = np.minimum(np.searchsorted(names, own), len(names) - 1)
             held[at[names[at] == own]] = 1
             both = np.add.reduceat(held[codes], starts)
-            hits = (both * 100 >= (sizes + len(own) - both) * percent) & (labels != label)
-            found += [(node, other) for other in ids[hits]]
+            hits = np.flatnonzero((both * 100 >= (sizes + len(own) - both) * percent) & (joined[group_of] != joined[own_group]))
+            for other in hits[np.unique(joined[group_of[hits]], return_index=True)[1]]:
+                found.append((node, ids[other]))
+                joined[joined == joined[group_of[other]]] = joined[own_group]
     return pd.DataFrame(found, columns=["a", "b"])
