@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, powers, saved, text_bytes, text_slices, words
+from .common import mix64, powers, stored, text_bytes, text_slices, words
 from .near import filter_of, link_groups, may_hold, permuted
 
 BANDS, ROWS, WIDTH, PERCENT = 6, 2, 5, 75  # a pair at 0.75 shares a band with probability 0.993, one at 0.85 with 0.9996
@@ -153,10 +153,10 @@ def repeated_passages(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, wid
     doc_id count as one document; a null id is none. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    known = saved(units(docs, bands, rows, width))
+    known = stored(units(docs, bands, rows, width))
     paragraph = F.col("ordinal") < 0
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(paragraph).alias("paragraph"), F.max("keys").alias("keys"))
-    per_node = saved(nodes.filter("paragraph OR least < most"))
+    per_node = stored(nodes.filter("paragraph OR least < most"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         return paragraph_sets(docs, width, filter_of(wanted)).join(wanted, "node", "left_semi").dropDuplicates(["node"])
