@@ -85,6 +85,16 @@ def may_hold(held: np.ndarray, ids: pa.Array) -> np.ndarray:
     return ((held[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
 
 
+def sieve(rows: DataFrame, held: np.ndarray) -> DataFrame:
+    """The rows whose node the filter lets through, before they are shuffled to a join that decides exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(held, batch.column("node"))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def similar(both: Column, n: Column, m: Column, percent: int) -> Column:
     return both * 100 >= (n + m - both) * percent
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, powers, stored, text_bytes, text_slices, words
-from .near import filter_of, link_groups, may_hold, permuted
+from .near import filter_of, link_groups, may_hold, permuted, sieve
 
 BANDS, ROWS, WIDTH, PERCENT = 6, 2, 5, 75  # a pair at 0.75 shares a band with probability 0.993, one at 0.85 with 0.9996
 LINE_WORDS = 30  # shortest paragraph that is looked at
@@ -164,8 +164,8 @@ def repeated_passages(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, wid
     groups = link_groups(per_node.filter("paragraph").select("node", "keys"), sets_of, percent)
     labelled = per_node.select("node", "least", "most").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     shared = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.max("most").alias("most")).filter("component_id < most")
-    of_node = labelled.select("node", "label").join(shared.select("label", "component_id"), "label")
-    found = known.select("doc_id", "start", "end", "n_words", "ordinal", "node").join(of_node, "node")
+    of_node = stored(labelled.select("node", "label").join(shared.select("label", "component_id"), "label"))
+    found = sieve(known.select("doc_id", "start", "end", "n_words", "ordinal", "node"), filter_of(of_node)).join(of_node, "node")
     # Pieces in a row have consecutive ordinals, hence one difference from their number among the document's found pieces.
     place = F.row_number().over(Window.partitionBy("doc_id", paragraph).orderBy("ordinal", "start"))
     run = Window.partitionBy("doc_id", paragraph, "run")
