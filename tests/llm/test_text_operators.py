@@ -233,6 +233,34 @@ def test_repeated_passages(spark, odd, none):
     assert {r["doc_id"] for r in substring.repeated_passages(odd).collect()} == {1, 2, 3}
 
 
+def plain_runs(texts, least=51):
+    """Words (by document and number) of all runs of `least` words or more that another document has too."""
+    split = {d: [w.lower() for w in WORD.findall(t)] for d, t in texts.items()}
+    at = collections.defaultdict(set)
+    for d, w in split.items():
+        for i in range(len(w) - least + 1):
+            at[tuple(w[i:i + least])].add((d, i))
+    return {(d, i + k) for s in at.values() if len({d for d, _ in s}) > 1 for d, i in s for k in range(least)}
+
+
+def test_passages_just_over_fifty_words_inside_longer_lines(spark):
+    texts, plain, draw = {}, [], random.Random(77)
+    for k in range(400):
+        plain.append(prose(10_000 + k, 51 + k % 10))
+        for j in range(2):
+            before, after = prose(30_000 + 2 * k + j, draw.randrange(20, 60)), prose(60_000 + 2 * k + j, draw.randrange(20, 60))
+            texts[2 * k + j] = before + draw.choice(" \n") + plain[-1] + " " + after
+    texts[5000], texts[5001] = prose(1, 40) + " same" * 55 + " x", prose(2, 40) + " same" * 70 + " y"
+    rows = substring.repeated_passages(spark.createDataFrame([(d, t, "en", "a", 1) for d, t in texts.items()], SCHEMA).repartition(5)).collect()
+    got, where = set(), {d: [m.start() for m in WORD.finditer(t)] for d, t in texts.items()}
+    for r in rows:
+        i = where[r["doc_id"]].index(r["start"])
+        got |= {(r["doc_id"], i + k) for k in range(r["n_words"])}
+        words = WORD.findall(texts[r["doc_id"]][r["start"]:r["end"]])
+        assert len(words) == r["n_words"] and " ".join(words[:14] if r["doc_id"] >= 5000 else words).lower() in " ".join(WORD.findall(texts[r["component_id"]])).lower()
+    assert plain_runs(texts) <= got <= plain_runs(texts, 14)
+
+
 # -- shards ------------------------------------------------------------------------------------------------------
 
 

@@ -56,9 +56,14 @@ FILTER_BITS = 1 << 27  # largest filter: 16 MB, whatever the number of nodes
 FILTER_PARTS = 8
 
 
-def _bits(ids: np.ndarray, size: int) -> np.ndarray:
-    """Two places in a filter for each 16-byte id."""
-    return ids.view(np.uint64).reshape(-1, 2).astype(np.uint64) & np.uint64(size - 1)
+def _bits(ids: pa.Array, size: int) -> np.ndarray:
+    """Two places in a filter for each id, which is a name of 16 bytes or a 64-bit hash."""
+    if pa.types.is_integer(ids.type):
+        hashes = ids.to_numpy(zero_copy_only=False).view(np.uint64)
+        two = np.column_stack((hashes, mix64(hashes)))
+    else:
+        two = np.frombuffer(b"".join(ids.to_pylist()), np.uint8).view(np.uint64).reshape(-1, 2)
+    return two & np.uint64(size - 1)
 
 
 def filter_of(nodes: DataFrame) -> np.ndarray:
@@ -71,7 +76,7 @@ def filter_of(nodes: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size, bool)
         for batch in batches:
-            held[_bits(np.frombuffer(b"".join(batch.column("node").to_pylist()), np.uint8), size).reshape(-1)] = True
+            held[_bits(batch.column("node"), size).reshape(-1)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], names=["bits"])
 
     total = np.zeros(size // 8, np.uint8)
@@ -81,7 +86,7 @@ def filter_of(nodes: DataFrame) -> np.ndarray:
 
 
 def may_hold(held: np.ndarray, ids: pa.Array) -> np.ndarray:
-    at = _bits(np.frombuffer(b"".join(ids.to_pylist()), np.uint8), 8 * len(held))
+    at = _bits(ids, 8 * len(held))
     return ((held[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
 
 

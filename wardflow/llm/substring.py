@@ -1,12 +1,13 @@
-"""Repeated passages across documents: paragraph MinHash banding, exact Jaccard, components, removals."""
+"""Repeated passages across documents: paragraphs by MinHash banding and exact Jaccard, exact runs by winnowing, removals."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, powers, stored, text_bytes, text_slices, words
@@ -14,26 +15,40 @@ from .near import filter_of, link_groups, may_hold, permuted, sieve
 
 BANDS, ROWS, WIDTH, PERCENT = 6, 2, 5, 75  # a pair at 0.75 shares a band with probability 0.993, one at 0.85 with 0.9996
 LINE_WORDS = 30  # shortest paragraph that is looked at
-PIECE_WORDS, PIECE_REACH = 8, 8  # shortest piece; a cut has the least hash among so many neighbours on each side
-LONG_PIECE, FORCED_PIECE = 64, 32  # a piece of more words is cut every so many
-RUN_WORDS = 14  # pieces in a row that repeat count from so many words on
+RUN_WORDS, WINDOW = 14, 37  # words of a fingerprint, fingerprints in a window: a run of 50 words fills a window
+STUB_WORDS = 4  # as many words that only some of a passage's documents share beyond its end count as chance
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _cuts(hashes: np.ndarray) -> np.ndarray:
-    """Whether a piece ends after each word: where the hash of three words is a local minimum.
+def _sliding(best: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """The least or greatest of each `size` numbers in a row."""
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        x = best(x[:-step], x[step:])
+        done += step
+    return x
 
-    The choice depends on near words only, so a passage that is pasted into different texts is cut at the same
-    places in each.
+
+def _chosen(grams: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Which fingerprints are the least of some window. `a` and `b`: first fingerprint of each text and one past its last.
+
+    A choice depends on the window's words only, so two texts that share a whole window share a chosen fingerprint.
+    A text with fewer fingerprints than a window is one window.
     """
-    if len(hashes) < 3:
-        return np.zeros(len(hashes), bool)
-    three = mix64(hashes[:-2] * np.uint64(3) + mix64(hashes[1:-1] * np.uint64(5) + hashes[2:]))
-    least = np.ones(len(three), bool)
-    for k in range(1, min(PIECE_REACH, len(three) - 1) + 1):
-        least[k:] &= three[k:] < three[:-k]
-        least[:-k] &= three[:-k] <= three[k:]
-    return np.concatenate((np.zeros(2, bool), least))
+    order, out = mix64(grams), np.zeros(len(grams), bool)
+    whole = b - a >= window
+    if whole.any():
+        inside = np.zeros(len(grams) + 1, np.int64)
+        np.add.at(inside, a[whole], 1)
+        np.add.at(inside, b[whole] - window + 1, -1)
+        starts = np.flatnonzero(np.cumsum(inside))
+        least = np.zeros(len(grams) + window - 1, np.uint64)
+        least[starts + window - 1] = _sliding(np.minimum, order, window)[starts]
+        out = _sliding(np.maximum, least, window) == order  # the greatest of the windows' least that a fingerprint is in
+    for x, y in zip(a[~whole & (b > a)], b[~whole & (b > a)]):
+        out[x:y] = order[x:y] == order[x:y].min()
+    return out
 
 
 def _sequence_ids(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
@@ -71,11 +86,6 @@ def _spans(part: pa.RecordBatch) -> tuple:
     return data, starts, first, end, hashes, doc, a[long], b[long]
 
 
-def _ranges(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    to = np.flatnonzero(stop) + 1
-    return np.concatenate(([0], to[:-1]))[:len(to)].astype(np.int64), to
-
-
 def _grams(hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.full(max(0, len(hashes) - width + 1), width, np.uint64)
     for k in range(width):
@@ -83,44 +93,148 @@ def _grams(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _units(part: pa.RecordBatch, bands: int, rows: int, width: int) -> pa.RecordBatch:
+def _points(data: np.ndarray) -> np.ndarray:
+    """Code points before each byte."""
+    return np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+
+
+def _paragraphs(part: pa.RecordBatch, bands: int, rows: int, width: int) -> pa.RecordBatch:
     data, starts, first, end, hashes, doc, a, b = _spans(part)
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before a byte
-    stop = _cuts(hashes)
-    stop[np.flatnonzero(np.diff(doc, append=-1))] = True
-    piece_from, piece_to = _ranges(stop)
-    for k in np.flatnonzero(piece_to - piece_from > LONG_PIECE):  # one word over and over has no minima
-        x, y = piece_from[k], piece_to[k]
-        stop[x + FORCED_PIECE - 1:y - 1:FORCED_PIECE] = True
-    piece_from, piece_to = _ranges(stop)
-    ordinal = np.arange(len(piece_to))
-    whole = piece_to - piece_from >= PIECE_WORDS
-    piece_from, piece_to, ordinal = piece_from[whole], piece_to[whole], ordinal[whole]
+    points = _points(data)
     keys = _keys(_grams(hashes, width), a, b - width + 1, bands, rows) if len(a) else np.zeros((0, bands), np.int64)
-    from_, to = np.concatenate((a, piece_from)).astype(np.int64), np.concatenate((b, piece_to)).astype(np.int64)
-    origin = points[starts[doc[from_]]]
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.concatenate((np.arange(len(a) + 1) * bands, np.full(len(piece_to), len(a) * bands))), pa.int32()), pa.array(keys.reshape(-1))
-    )
+    origin = points[starts[doc[a]]]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
     return pa.RecordBatch.from_arrays(
         [
-            part.column("doc_id").take(pa.array(doc[from_], pa.int64())), pa.array(points[first[from_]] - origin), pa.array(points[end[to - 1]] - origin),
-            pa.array(to - from_), pa.array(np.concatenate((np.full(len(a), -1), ordinal)).astype(np.int64)), _sequence_ids(hashes, from_, to), lists,
+            part.column("doc_id").take(pa.array(doc[a], pa.int64())), pa.array(points[first[a]] - origin), pa.array(points[end[b - 1]] - origin),
+            pa.array((b - a).astype(np.int64)), _sequence_ids(hashes, a, b), lists,
         ],
-        names=["doc_id", "start", "end", "n_words", "ordinal", "node", "keys"],
+        names=["doc_id", "start", "end", "n_words", "node", "keys"],
     )
 
 
-def units(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """Paragraphs (lines of LINE_WORDS words or more, ordinal -1) with id and band keys, and all pieces with id and ordinal."""
+def paragraphs(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
+    """Paragraphs (lines of LINE_WORDS words or more) with id and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                yield _units(part, bands, rows, width)
+                yield _paragraphs(part, bands, rows, width)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, start bigint, end bigint, n_words bigint, ordinal bigint, node binary, keys array<bigint>"
+        run, "doc_id bigint, start bigint, end bigint, n_words bigint, node binary, keys array<bigint>"
+    )
+
+
+def _marked(part: pa.RecordBatch) -> tuple:
+    """Fingerprints of all texts of a slice: bytes, starts of the texts, first and end bytes of words, the text of each
+    fingerprint, fingerprints, first and one past the last of each text, and which are chosen."""
+    data, starts = text_bytes(part.column("text"))
+    first, end, hashes = words(data)
+    edges = np.searchsorted(first, starts)
+    a, b = edges[:-1], np.maximum(edges[:-1], edges[1:] - RUN_WORDS + 1)
+    grams = _grams(hashes, RUN_WORDS)
+    doc = np.searchsorted(starts, first[:len(grams)], side="right") - 1
+    return data, starts, first, end, doc, grams, a, b, _chosen(grams, a, b, WINDOW)
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """The chosen fingerprints of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                *_, doc, grams, _, _, chosen = _marked(part)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[chosen])), pa.array(grams[chosen].view(np.int64))], names=["doc_id", "node"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint")
+
+
+def _around(part: pa.RecordBatch, held: np.ndarray) -> pa.RecordBatch:
+    data, starts, first, end, doc, grams, a, b, chosen = _marked(part)
+    hits = np.flatnonzero(chosen)
+    hits = hits[may_hold(held, pa.array(grams[hits].view(np.int64)))]
+    edge = np.zeros(len(grams) + 1, np.int64)
+    np.add.at(edge, np.maximum(hits - WINDOW + 1, a[doc[hits]]), 1)
+    np.add.at(edge, np.minimum(hits + WINDOW, b[doc[hits]]), -1)
+    at = np.flatnonzero(np.cumsum(edge))
+    points = _points(data)
+    origin = points[starts[doc[at]]]
+    order = np.lexsort((at, grams[at], doc[at]))
+    once = np.ones(len(at), bool)
+    once[order[1:]] = (np.diff(doc[at][order]) != 0) | (grams[at][order][1:] != grams[at][order][:-1])
+    of_text = np.zeros(len(starts), np.int64)
+    for d in np.unique(doc[at]):
+        of_text[d] = int.from_bytes(hashlib.blake2b(data[starts[d]:starts[d + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column("doc_id").take(pa.array(doc[at])), pa.array(of_text[doc[at]]), pa.array((at - a[doc[at]]).astype(np.int64)),
+            pa.array(points[first[at]] - origin), pa.array(points[end[at + RUN_WORDS - 1]] - origin), pa.array(grams[at].view(np.int64)), pa.array(once),
+        ],
+        names=["doc_id", "text_id", "at", "start", "end", "node", "once"],
+    )
+
+
+def around(docs: DataFrame, held: np.ndarray) -> DataFrame:
+    """Every fingerprint less than a window away from a chosen one that the filter `held` lets through.
+
+    `at` is its place in the text; `once` holds for the first among a text's equal ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                yield _around(part, held)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text_id bigint, at bigint, start bigint, end bigint, node bigint, once boolean")
+
+
+def _repeated(rows: DataFrame, *more: Column) -> DataFrame:
+    """Nodes that occur in several documents, with the least one."""
+    return rows.groupBy("node").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most"), *more).filter("component_id < most").drop("most")
+
+
+def _without_stubs(found: DataFrame) -> DataFrame:
+    """Drop ends of STUB_WORDS words or fewer that not all texts share which share the words next to them.
+
+    Fingerprints with the largest `n` near an end always stay, so no stretch is lost as a whole.
+    """
+    place = Window.partitionBy("doc_id", "text_id").orderBy("at")
+    apart = F.coalesce(F.col("at") - F.lag("at").over(place) > 1, F.lit(True)).cast("int")
+    stretch = Window.partitionBy("doc_id", "text_id", "stretch")
+    near = lambda a, b, end: F.coalesce(F.max(F.when(end <= STUB_WORDS, F.col("n"))).over(stretch.orderBy("at").rangeBetween(a, b)), F.lit(0))
+    to_end, to_begin = F.col("last") - F.col("at"), F.col("at") - F.col("begin")
+    return (
+        found.withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(place))
+        .withColumn("begin", F.min("at").over(stretch)).withColumn("last", F.max("at").over(stretch))
+        .withColumn("inner_left", near(-STUB_WORDS, -1, to_end)).withColumn("inner_right", near(1, STUB_WORDS, to_begin))
+        .filter(~((to_end < STUB_WORDS) & (F.col("inner_left") > F.col("n"))) & ~((to_begin < STUB_WORDS) & (F.col("inner_right") > F.col("n"))))
+        .drop("apart", "stretch", "begin", "last", "inner_left", "inner_right")
+    )
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """Runs of words that occur in another document too, exact to the word but for stubs.
+
+    Two documents that share RUN_WORDS + WINDOW - 1 words in a row share a chosen fingerprint in each window of them
+    (winnowing). All fingerprints around the shared chosen ones are then looked up, and those that other documents
+    have, one after another with the same least document, make a run.
+    """
+    near = stored(around(docs, filter_of(stored(_repeated(fingerprints(docs)).select("node")))))
+    shared = stored(_repeated(near, F.sum(F.col("once").cast("int")).alias("n")))
+    found = _without_stubs(sieve(near.drop("once"), filter_of(shared)).join(shared, "node").repartition("doc_id"))
+    place = Window.partitionBy("doc_id", "text_id").orderBy("at")
+    before = lambda c: F.lag(c).over(place)
+    goes_on = (F.col("at") - before("at") <= 1) & (F.col("component_id") == before("component_id")) & (F.col("removed") == before("removed"))
+    return (
+        found.withColumn("first", F.min("start").over(Window.partitionBy("doc_id", "node")))
+        .withColumn("removed", (F.col("doc_id") != F.col("component_id")) | (F.col("start") != F.col("first"))).drop("first")
+        .withColumn("begins", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("run", F.sum("begins").over(place))
+        .groupBy("doc_id", "text_id", "run").agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + RUN_WORDS).alias("n_words"),
+            F.min("component_id").alias("component_id"), F.max("removed").alias("removed"),
+        )
+        .select("doc_id", "start", "end", "n_words", F.lit(False).alias("paragraph"), "component_id", "removed")
     )
 
 
@@ -142,39 +256,33 @@ def paragraph_sets(docs: DataFrame, width: int, held: np.ndarray) -> DataFrame:
 def repeated_passages(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row for every passage that occurs, alike or nearly so, in another document too.
 
-    Units are paragraphs (lines of LINE_WORDS words or more) and content-defined pieces of the text, so that a passage
-    pasted into a longer line, or over several lines, is found as well. Paragraphs are alike when their words are, or
-    when they share a band and have an exact Jaccard similarity of `percent` hundredths; pieces when their words are.
-    Likeness carries over (components). Repeated pieces count where those in a row have RUN_WORDS words or more.
-    Of the units of a component the one in the smallest doc_id, there the first, stays; the others are `removed`.
-    `component_id` is that smallest doc_id; `start` and `end` are code points.
+    Passages are paragraphs (lines of LINE_WORDS words or more) and exact runs of words wherever they stand, so that a
+    passage pasted into a longer line, or over several lines, is found as well. Paragraphs are alike when their words
+    are, or when they share a band and have an exact Jaccard similarity of `percent` hundredths; likeness carries over
+    (components). Every run of 50 words or more that two documents share is found, to its last word but for
+    up to STUB_WORDS that fewer documents share than the words before them; shorter ones, of
+    RUN_WORDS words or more, where both documents choose a fingerprint inside.
+    Of what is alike the one in the smallest doc_id, there the first, stays; the others are `removed`. `component_id`
+    is that smallest doc_id; a run ends where it changes, so runs may overlap. `start` and `end` are code points.
 
     Passages that repeat within one document only give no row, nor do null, empty or short texts. Rows of one
     doc_id count as one document; a null id is none. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    known = stored(units(docs, bands, rows, width))
-    paragraph = F.col("ordinal") < 0
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(paragraph).alias("paragraph"), F.max("keys").alias("keys"))
-    per_node = stored(nodes.filter("paragraph OR least < most"))
+    known = stored(paragraphs(docs, bands, rows, width))
+    per_node = stored(known.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("keys").alias("keys")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         return paragraph_sets(docs, width, filter_of(wanted)).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    groups = link_groups(per_node.filter("paragraph").select("node", "keys"), sets_of, percent)
+    groups = link_groups(per_node.select("node", "keys"), sets_of, percent)
     labelled = per_node.select("node", "least", "most").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     shared = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.max("most").alias("most")).filter("component_id < most")
     of_node = stored(labelled.select("node", "label").join(shared.select("label", "component_id"), "label"))
-    found = sieve(known.select("doc_id", "start", "end", "n_words", "ordinal", "node"), filter_of(of_node)).join(of_node, "node")
-    # Pieces in a row have consecutive ordinals, hence one difference from their number among the document's found pieces.
-    place = F.row_number().over(Window.partitionBy("doc_id", paragraph).orderBy("ordinal", "start"))
-    run = Window.partitionBy("doc_id", paragraph, "run")
-    found = (
-        found.withColumn("run", F.col("ordinal") - place).withColumn("in_row", F.sum("n_words").over(run))
-        .filter(paragraph | (F.col("in_row") >= RUN_WORDS)).drop("run", "in_row")
-    )
+    found = sieve(known.select("doc_id", "start", "end", "n_words", "node"), filter_of(of_node)).join(of_node, "node")
     stays = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("label").agg(F.min("start").alias("first"))
-    return found.join(stays, "label", "left").select(
-        "doc_id", "start", "end", "n_words", paragraph.alias("paragraph"), "component_id",
+    alike = found.join(stays, "label", "left").select(
+        "doc_id", "start", "end", "n_words", F.lit(True).alias("paragraph"), "component_id",
         ((F.col("doc_id") != F.col("component_id")) | (F.col("start") != F.col("first"))).alias("removed"),
     )
+    return alike.unionByName(repeated_runs(docs))
