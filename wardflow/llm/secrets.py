@@ -17,6 +17,18 @@ from .common import text_slices
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 _VALUE = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}\Z")
 _VALUE_OF = re.compile(rb"""[A-Za-z_]+["']?\x20*[:=]\x20*["']?(?P<value>.+)\Z""", re.S)
+# A private key from its header to its END line, or to its last body character where that line is missing. Line ends may
+# be written as \n or \r\n escapes, as in JSON; lines may be indented or quoted.
+_EOL = r"""(?:[\x20\t"',+>]*(?:\r|\n|\\r|\\n)[\x20\t"'>]*)"""
+_GAP = rf"(?:{_EOL}|[\x20\t])"
+_TOP = rf"{_GAP}+(?:[A-Za-z][A-Za-z0-9-]*:[\x20-\x5b\x5d-\x7e]*{_EOL}+)*"
+_KEY = (
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"(?:{_TOP}(?:[A-Za-z0-9+/=]+{_GAP}*)*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    # Without an END line, words behind spaces only count where they look like a line of a key, as prose may follow.
+    rf"|(?:(?:{_TOP}{_EOL}|{_EOL}+)[A-Za-z0-9+/=]+|{_GAP}+[A-Za-z0-9+/=]{{16,}})"
+    rf"(?:{_EOL}+[A-Za-z0-9+/=]+|[\x20\t]+(?:[A-Za-z0-9+/=]{{16,}}|[A-Za-z0-9+/]+={{1,2}}))*)?"
+)
 
 
 def _long_value(match: bytes) -> bool:
@@ -44,7 +56,7 @@ MORE = (
     Rule("hub", r"hf_[A-Za-z0-9]+", _at_least(24)),
     Rule("service", r"sk-[A-Za-z0-9_-]+", _at_least(24)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", _at_least(40)),
-    Rule("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("key_block", _KEY),
 )
 
 SCHEMA = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>"
