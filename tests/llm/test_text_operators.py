@@ -190,6 +190,19 @@ def test_pii_base_spans(spark, odd, none):
     assert pii.find(odd).count() == odd.count() and pii.find(none).count() == 0
 
 
+def test_pii_adds_what_the_base_has_no_form_for(spark):
+    draw, texts = random.Random(12), []
+    for i in range(600):
+        n = f"{draw.randrange(200, 999)} {draw.randrange(200, 999)} {draw.randrange(1000, 9999)}"
+        texts.append([f"write to u{i}@site{i}.org today", f"call +1 {n} now", f"order {n} shipped", f"we look at item{i}.{i} here", f"phone: {n} now"][i % 5])
+    at = len(texts)
+    texts += ["reach joe [at] site [dot] org today", "please call 030 555 12345 now", "stock of 4040404040 parts", "room 212 555 1234 is free"]
+    rows = {r["doc_id"]: r for r in pii.find(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert not any(rows[at + k]["base"] for k in range(4))
+    assert [[(s["kind"], texts[at + k][s["start"]:s["end"]]) for s in rows[at + k]["spans"]] for k in range(4)] == [
+        [("email", "joe [at] site [dot] org")], [("phone", "030 555 12345")], [], []]
+
+
 # -- near duplicates ---------------------------------------------------------------------------------------------
 
 

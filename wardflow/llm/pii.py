@@ -32,10 +32,12 @@ CONTEXT = 32  # code points before and after a span that the trees see
 CUES = {  # fixed values: words near a span
     "cue_phone": "phone|tel|call|mobile|fax|whatsapp", "cue_mail": "mail|contact|write", "cue_card": "card|visa|credit|payment|account", "cue_host": "ip|host|server|addr",
 }
+# No feature tells the base forms (a plus sign, an @, four octets), so the trees carry over to the forms that the base leaves out.
 FEATURES = (
-    "length", "digits", "letters", "spaces", "dots", "hyphens", "brackets", "plus", "at", "groups", "longest_group", "luhn", "octets", "glued_before",
-    "glued_after", *CUES,
+    "length", "digits", "letters", "spaces", "dots", "hyphens", "brackets", "groups", "longest_group", "luhn", "glued_before", "glued_after", "mailbox",
+    "called_before", "charged_before", *CUES,
 )
+BEFORE = r"\b(?:%s)[a-z]*[^0-9a-z]{0,4}(?:(?:is|me|us|no|number|at|on|under)\b[^0-9a-z]{0,4}){0,3}\z"  # a cue that leads up to a span
 SAMPLE = 20_000  # candidates the trees are fitted on, and as many that calibrate the threshold
 
 
@@ -143,38 +145,54 @@ def proposals(rows: DataFrame, text: str) -> DataFrame:
 
 
 def features(candidates: DataFrame) -> DataFrame:
-    """Format and context of each candidate as one vector."""
-    m, near = F.col("match"), F.lower(F.concat_ws(" ", "left", "right"))
+    """Format and context of each candidate as one vector, and its weak label.
+
+    The label does not ask for a base span. An email counts when it joins with @, a bracketed at, or both of the
+    words at and dot, and ends in two letters or more; a number of 7 to 12 digits when a phone cue leads up to it,
+    one of 13 to 19 when a card cue does and its check sum holds.
+    """
+    whole, near, left = F.col("match"), F.lower(F.concat_ws(" ", "left", "right")), F.lower("left")
+    # Formats are those of the plain form, however at and dot are written.
+    plain = F.regexp_replace(F.regexp_replace(whole, r"\x20?[\[(]at[\])]\x20?|\x20at\x20", "@"), r"\x20?[\[(]dot[\])]\x20?|\x20dot\x20", ".")
+    m = F.when(F.col("by") == "email", plain).otherwise(whole)
     number = digits(m)
     groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
+    mailbox = whole.rlike(r"(?:@|[\[(]at[\])]|\x20at\x20.*(?:[\[(]dot[\])]|\x20dot\x20))") & plain.rlike(r"\.[A-Za-z]{2,}\z")
     values = {
         "length": F.char_length(m), "digits": F.length(number), "letters": F.regexp_count(m, F.lit("[A-Za-z]")), "spaces": F.regexp_count(m, F.lit(" ")),
         "dots": F.regexp_count(m, F.lit("[.]")), "hyphens": F.regexp_count(m, F.lit("-")), "brackets": F.regexp_count(m, F.lit(r"[\[\]()]")),
-        "plus": F.contains(m, F.lit("+")), "at": F.contains(m, F.lit("@")), "groups": F.size(groups),
-        "longest_group": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "luhn": luhn(number),
-        "octets": F.when(m.rlike(r"\A[0-9]+(\.[0-9]+){3}\z"), octets(m)).otherwise(False),
-        "glued_before": F.col("left").rlike(r"[A-Za-z0-9]\z"), "glued_after": F.col("right").rlike(r"\A[A-Za-z0-9]"),
+        "groups": F.size(groups), "longest_group": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "luhn": luhn(number),
+        "glued_before": F.col("left").rlike(r"[A-Za-z0-9]\z"), "glued_after": F.col("right").rlike(r"\A[A-Za-z0-9]"), "mailbox": mailbox,
+        "called_before": left.rlike(BEFORE % CUES["cue_phone"]), "charged_before": left.rlike(BEFORE % CUES["cue_card"]),
         **{cue: near.rlike(rf"\b(?:{words})") for cue, words in CUES.items()},
     }
     table = candidates.select("*", *[values[f].cast("double").alias(f) for f in FEATURES])
+    called = (F.col("called_before") == 1) & F.col("digits").between(7, 12)
+    charged = (F.col("charged_before") == 1) & (F.col("luhn") == 1)
+    label = F.when(F.col("by") == "email", F.col("mailbox") == 1).otherwise((called | charged) & (F.col("glued_before") == 0) & (F.col("glued_after") == 0))
+    table = table.withColumn("label", label.cast("double"))
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).drop(*FEATURES)
 
 
+def score() -> Column:
+    """The trees' score in thousandths, for the threshold and for what it selects."""
+    return F.round(vector_to_array("probability")[1], 3)
+
+
 def fit(candidates: DataFrame, precision: float):
     """Trees and a threshold, or None where candidates of one sort only are found.
 
-    A candidate that a base span overlaps counts as personal data. Two samples of at most SAMPLE candidates,
-    chosen by hash, fit the trees and set the threshold: the least score from which on the share of known ones
-    is at least `precision`.
+    Two samples of at most SAMPLE candidates, chosen by hash, fit the trees and set the threshold: the least score
+    from which on the share of those labelled as personal data is at least `precision`.
     """
     order = F.xxhash64("row", "start", "by")
     sample = lambda part: candidates.filter(F.pmod(order, F.lit(2)) == part).orderBy(order, "row", "start", "by").limit(SAMPLE)
-    train = saved(features(sample(0)).select("features", F.col("known").cast("double").alias("label")))
+    train = saved(features(sample(0)).select("features", "label"))
     if train.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxDepth=3, maxIter=8, stepSize=0.3, seed=7).fit(train)
-    scored = model.transform(features(sample(1))).select(F.round(vector_to_array("probability")[1], 3).alias("score"), F.col("known").cast("int").alias("known"))
-    steps = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("known").alias("k")).orderBy(F.desc("score")).collect()  # 1001 rows at most
+    scored = model.transform(features(sample(1))).select(score().alias("score"), F.col("label").cast("int").alias("hit"))
+    steps = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("hit").alias("k")).orderBy(F.desc("score")).collect()  # 1001 rows at most
     best, n, k = None, 0, 0
     for step in steps:
         n, k = n + step["n"], k + step["k"]
@@ -186,8 +204,8 @@ def fit(candidates: DataFrame, precision: float):
 def find(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     """One row per document: `base` and `spans`, arrays of (kind, start, end) by kind as listed, then start.
 
-    `base` holds the contract's matches. `spans` also holds proposals that no base span overlaps and that the
-    trees score at or above the calibrated threshold: emails by the email generator, numbers of 13 digits or
+    `base` holds the contract's matches. `spans` also holds proposals that no base span overlaps, that have the evidence
+    of the weak label and that the trees score at or above the calibrated threshold: emails by the email generator, numbers of 13 digits or
     more as cards, shorter ones as phones. A null or empty text has no spans. Repeated rows and null ids give
     one row each; other columns are ignored.
     """
@@ -201,7 +219,7 @@ def find(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     model, threshold = fitted
     kind = F.when(F.col("by") == "email", "email").when(F.length(digits(F.col("match"))) >= 13, "card").otherwise("phone")
     extra = (
-        model.transform(features(candidates.filter(~F.col("known")))).filter(vector_to_array("probability")[1] >= threshold)
+        model.transform(features(candidates.filter(~F.col("known")))).filter((F.col("label") == 1) & (score() >= threshold))
         .groupBy("row").agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).alias("extra"))  # the spans of one text
     )
     places = F.array(*map(F.lit, BASE))
