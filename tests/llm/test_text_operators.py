@@ -203,6 +203,14 @@ def test_pii_adds_what_the_base_has_no_form_for(spark):
         [("email", "joe [at] site [dot] org")], [("phone", "030 555 12345")], [], []]
 
 
+def test_pii_threshold_is_set_by_all_of_the_other_half(spark, monkeypatch):
+    """One limit bounds the fit only: the candidates that are scored do not shrink with it."""
+    texts, seen, plain = [["call 212 555 1234 now", "order 212 555 1234 now"][i % 2] for i in range(400)], [], pii.features
+    monkeypatch.setattr(pii, "features", lambda c: seen.append(c.count()) or plain(c))
+    pii.find(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA), sample=60)
+    assert seen[0] == 60 and 120 < seen[1] < 280
+
+
 # -- near duplicates ---------------------------------------------------------------------------------------------
 
 

@@ -38,7 +38,7 @@ FEATURES = (
     "called_before", "charged_before", *CUES,
 )
 BEFORE = r"\b(?:%s)[a-z]*[^0-9a-z]{0,4}(?:(?:is|me|us|no|number|at|on|under)\b[^0-9a-z]{0,4}){0,3}\z"  # a cue that leads up to a span
-SAMPLE = 20_000  # candidates the trees are fitted on, and as many that calibrate the threshold
+SAMPLE = 20_000  # candidates the trees are fitted on at most
 
 
 def _totals(lengths: Column) -> Column:
@@ -179,19 +179,19 @@ def score() -> Column:
     return F.round(vector_to_array("probability")[1], 3)
 
 
-def fit(candidates: DataFrame, precision: float):
+def fit(candidates: DataFrame, precision: float, sample: int = SAMPLE):
     """Trees and a threshold, or None where candidates of one sort only are found.
 
-    Two samples of at most SAMPLE candidates, chosen by hash, fit the trees and set the threshold: the least score
-    from which on the share of those labelled as personal data is at least `precision`.
+    Of one half of the candidates by hash, at most `sample` fit the trees. All of the other half set the threshold: the
+    least score from which on the share of those labelled as personal data is at least `precision`.
     """
     order = F.xxhash64("row", "start", "by")
-    sample = lambda part: candidates.filter(F.pmod(order, F.lit(2)) == part).orderBy(order, "row", "start", "by").limit(SAMPLE)
-    train = saved(features(sample(0)).select("features", "label"))
+    half = lambda part: candidates.filter(F.pmod(order, F.lit(2)) == part)
+    train = saved(features(half(0).orderBy(order, "row", "start", "by").limit(sample)).select("features", "label"))
     if train.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxDepth=3, maxIter=8, stepSize=0.3, seed=7).fit(train)
-    scored = model.transform(features(sample(1))).select(score().alias("score"), F.col("label").cast("int").alias("hit"))
+    scored = model.transform(features(half(1))).select(score().alias("score"), F.col("label").cast("int").alias("hit"))
     steps = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("hit").alias("k")).orderBy(F.desc("score")).collect()  # 1001 rows at most
     best, n, k = None, 0, 0
     for step in steps:
@@ -201,7 +201,7 @@ def fit(candidates: DataFrame, precision: float):
     return None if best is None else (model, max(best, 0.5))
 
 
-def find(docs: DataFrame, precision: float = 0.98) -> DataFrame:
+def find(docs: DataFrame, precision: float = 0.98, sample: int = SAMPLE) -> DataFrame:
     """One row per document: `base` and `spans`, arrays of (kind, start, end) by kind as listed, then start.
 
     `base` holds the contract's matches. `spans` also holds proposals that no base span overlaps, that have the evidence
@@ -213,7 +213,7 @@ def find(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     known = saved(proposals(base_spans(rows, "_text"), "_text").select("doc_id", "base", "loose"))
     known = known.withColumn("row", F.monotonically_increasing_id())  # of the written rows, so the same in every read
     candidates = known.select("row", F.explode("loose").alias("c")).select("row", "c.*")
-    fitted = fit(candidates, precision)
+    fitted = fit(candidates, precision, sample)
     if fitted is None:
         return known.select("doc_id", "base", F.col("base").alias("spans"))
     model, threshold = fitted
