@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, mixing, neardup, pii, projected, quality, secrets, sharding, substring
+from . import backtrack, bpe, covertree, mixing, neardup, pii, projected, quality, secrets, sharding, substring
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -85,6 +86,13 @@ def op10_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = backtrack.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return encoded.select("doc_id", "n_tokens", F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 SQL["op6_minhash_near_dedup"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
