@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backtrack, bpe, covertree, mixing, neardup, pii, projected, quality, secrets, sharding, substring
+from . import backtrack, bpe, covertree, mixing, neardup, periods, pii, projected, quality, secrets, sharding, substring
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,57 @@ def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def plant_periods(docs: DataFrame) -> DataFrame:
+    """The contract's change to one document in ten: from word a on, its words a to a+p-1 over and over."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    listed = docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).withColumn("n", F.size("w"))
+    placed = listed.withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
+    placed = placed.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (F.lit(3) + g % 8)) + 1).cast("int"))
+    rest = F.col("n") - F.col("a")
+    cycle = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(cycle, F.lit(1), rest)), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(plant_periods(table(spark, sf_dir, "documents")))
+    runs = F.col("runs")  # by start, then period, so the first of equals stays
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate(runs, none, lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a))
+    lines = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select("doc_id", F.size(runs).cast("bigint").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed").select(
+        "doc_id", "n_runs", "best.*", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("lines", lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# CRC-32 of the decimal id; DuckDB has no function for it.
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::UBIGINT),
+  lambda c, x: list_reduce(range(8)::UBIGINT[], lambda r, _: xor(r >> 1, 3988292384::UBIGINT * (r & 1)), xor(c, x)), 4294967295::UBIGINT))::BIGINT"""
+
+SQL["op12_periodic_runs"] = rf"""
+WITH RECURSIVE o AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+g AS (SELECT doc_id, h, w, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM o),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM p),
+v AS (SELECT doc_id, n, 1::BIGINT AS m, w AS f FROM d WHERE n >= 24
+  UNION ALL SELECT doc_id, n, 2 * m, list_transform(range(1, len(f) - m + 1), lambda i: md5(f[i] || ' ' || f[i + m])) FROM v WHERE 3 * (m + 1) <= n),
+e AS (SELECT doc_id, m, unnest(range(len(f))) AS i, unnest(f) AS f FROM v),
+s AS (SELECT doc_id, m, i, lead(i) OVER (PARTITION BY doc_id, m, f ORDER BY i) - i AS p FROM e),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, m, p ORDER BY i) AS island FROM s WHERE 2 * p > m AND p <= m),
+r AS (SELECT doc_id, min(i) AS start, count(*) + m - 1 + p AS length, p AS period FROM k GROUP BY doc_id, m, p, island HAVING count(*) + m - 1 + p >= greatest(24, 3 * p)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS best FROM r),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT z.doc_id, string_agg(z.f, ' ' ORDER BY z.i) AS t FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS f FROM d) z ANTI JOIN x USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, coalesce(t.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+  sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN b ON b.doc_id = d.doc_id AND b.best = 1 LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
 SQL["op6_minhash_near_dedup"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
