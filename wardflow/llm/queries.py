@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backtrack, bpe, covertree, mixing, neardup, periods, pii, projected, quality, secrets, sharding, substring
+from . import backtrack, bpe, covertree, manifest, mixing, neardup, periods, pii, projected, quality, secrets, sharding, substring
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,12 +120,27 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    row = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaf = manifest.leaf_digest([*row, F.col("text")])
+    claim = F.when(tampered, manifest.leaf_digest([*row, lowered]))
+    paths = manifest.build(docs, leaf, F.coalesce(claim, leaf)).paths()
+    proof = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    folded = paths.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), manifest.fold(F.col("claim"), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 # CRC-32 of the decimal id; DuckDB has no function for it.
 _CRC = """xor(4294967295::UBIGINT, list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::UBIGINT),
   lambda c, x: list_reduce(range(8)::UBIGINT[], lambda r, _: xor(r >> 1, 3988292384::UBIGINT * (r & 1)), xor(c, x)), 4294967295::UBIGINT))::BIGINT"""
 
 SQL["op12_periodic_runs"] = rf"""
-WITH RECURSIVE o AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE o AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT doc_id, h, w, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM o),
 p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g),
 d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM p),
@@ -144,6 +159,32 @@ SELECT d.doc_id, coalesce(t.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN b ON b.doc_id = d.doc_id AND b.best = 1 LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
+SQL["op13_merkle_manifest"] = rf"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, source, n_chars, text, coalesce({_CRC} % 3 = 0, false) AS t FROM documents),
+b AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+  || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM f),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  sha256(head || coalesce(strlen(text) || ':' || CASE WHEN t THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS claim FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+v AS (SELECT lang, 0 AS level, list(leaf ORDER BY i) AS d FROM n GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range((len(d) + 7) // 8), lambda j: sha256(array_to_string(d[8 * j + 1:8 * j + 8], ''))) FROM v WHERE len(d) > 1),
+s AS (SELECT lang, d[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM v WHERE len(d) = 1),
+w AS (SELECT 0 AS level, list(subroot ORDER BY i) AS d FROM s
+  UNION ALL SELECT level + 1, list_transform(range((len(d) + 7) // 8), lambda j: sha256(array_to_string(d[8 * j + 1:8 * j + 8], ''))) FROM w WHERE len(d) > 1),
+r AS (SELECT d[1] AS root FROM w WHERE len(d) = 1),
+u AS (SELECT 0 AS part, lang, level, d FROM v WHERE len(d) > 1 UNION ALL SELECT 1, s.lang, w.level, w.d FROM w CROSS JOIN s WHERE len(w.d) > 1),
+o AS (SELECT u.part, u.lang, u.level, u.d, s.i FROM u JOIN s ON u.lang IS NOT DISTINCT FROM s.lang),
+a AS (SELECT n.doc_id, n.leaf, n.claim, o.part, o.level, o.d, CASE WHEN o.part = 0 THEN n.i ELSE o.i END // CAST(pow(8, o.level) AS BIGINT) AS k, n.i AS seat, n.lang
+  FROM n JOIN o ON n.lang IS NOT DISTINCT FROM o.lang),
+e AS (SELECT doc_id, leaf, claim, lang, seat, list(struct_pack(a := array_to_string(d[k // 8 * 8 + 1:k], ''), b := array_to_string(d[k + 2:k // 8 * 8 + 8], '')) ORDER BY part, level) AS path
+  FROM a GROUP BY ALL),
+p AS (SELECT n.doc_id, n.leaf, n.claim, n.lang, coalesce(e.path, []) AS path FROM n LEFT JOIN e ON e.lang IS NOT DISTINCT FROM n.lang AND e.seat = n.i),
+q AS (SELECT doc_id, leaf, lang, sha256(array_to_string(list_transform(path, lambda x: x.a || x.b), '')) AS proof_sha256, claim AS node, path, 0 AS step FROM p
+  UNION ALL SELECT doc_id, leaf, lang, proof_sha256, sha256(path[step + 1].a || node || path[step + 1].b), path, step + 1 FROM q WHERE step < len(path))
+SELECT q.doc_id, q.leaf, s.subroot, r.root, q.proof_sha256, q.node AS folded_root, q.node = r.root AS verified
+FROM q JOIN s ON q.lang IS NOT DISTINCT FROM s.lang CROSS JOIN r WHERE q.step = len(q.path)
+"""
+
 SQL["op6_minhash_near_dedup"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
