@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -150,8 +152,23 @@ def _segment(rows: list[bytes], node: ast.AST) -> str:
     return b"\n".join(part).decode("utf-8", "replace")
 
 
-def call_sites(source: str) -> list[tuple] | None:
-    """Facts in source order; None for a text that does not parse."""
+def _args(node: ast.Call, rows: list[bytes]) -> list[tuple[str | None, str]]:
+    """Arguments in order as (keyword, `*`, `**` or None, text in normal form)."""
+    def text(value: ast.expr) -> str:
+        try:
+            return ast.unparse(value)
+        except (RecursionError, ValueError):
+            return _segment(rows, value)
+
+    placed = [("*", text(a.value)) if isinstance(a, ast.Starred) else (None, text(a)) for a in node.args]
+    return placed + [(k.arg or "**", text(k.value)) for k in node.keywords]
+
+
+def call_sites(source: str, wanted: frozenset[str] = frozenset()) -> list[tuple] | None:
+    """Facts in source order; None for a text that does not parse.
+
+    Calls of the names in `wanted` (`*`: of all) carry their object and arguments, for declared rules.
+    """
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -164,7 +181,7 @@ def call_sites(source: str) -> list[tuple] | None:
             if texts:
                 facts.append((
                     "annotated" if isinstance(node, ast.AnnAssign) else "assign", None, None, None, None, None,
-                    None, {}, texts, node.lineno, node.end_lineno, _segment(rows, node.value),
+                    None, {}, texts, node.lineno, node.end_lineno, _segment(rows, node.value), None, [],
                 ))
         elif isinstance(node, ast.Call):
             attr = node.func.attr if isinstance(node.func, ast.Attribute) else None
@@ -173,7 +190,8 @@ def call_sites(source: str) -> list[tuple] | None:
             if bare and any(name.endswith("." + SPLIT) for name in names):
                 bare = SPLIT  # imported under another name
             loaders = sorted(names.intersection(LOADERS))
-            if not (loaders or attr in FIT_METHODS or SPLIT in (attr, bare) or attr == DROP):
+            asked = "*" in wanted or (attr or bare) in wanted or any(name.rpartition(".")[2] in wanted for name in names)
+            if not (asked or loaders or attr in FIT_METHODS or SPLIT in (attr, bare) or attr == DROP):
                 continue
             full = ORIGINS.join(loaders or sorted(names)) or None
             first = node.args[0] if node.args else None
@@ -186,28 +204,38 @@ def call_sites(source: str) -> list[tuple] | None:
                 None if first is None or isinstance(first, ast.Starred) else _segment(rows, first),
                 isinstance(first, (ast.List, ast.Tuple, ast.Set)), kwargs, dropped,
                 node.lineno, node.end_lineno, _segment(rows, node),
+                _segment(rows, node.func.value) if asked and attr else None, _args(node, rows) if asked else [],
             ))
     return facts
 
 
-@F.arrow_udf(T.ArrayType(CALL_SITE))
-def _call_sites(sources: pa.Array) -> pa.Array:
-    facts = []
-    for text in sources.to_pylist():
-        found = call_sites(text) if text else []
-        facts.append(None if found is None else [dict(zip(_FIELDS, fact)) | {"kwargs": list(fact[7].items())} for fact in found])
-    return pa.array(facts, type=_ARROW_FACTS)
+@lru_cache(maxsize=None)
+def _call_sites_udf(wanted: frozenset[str]):
+    @F.arrow_udf(T.ArrayType(CALL_SITE))
+    def parse(sources: pa.Array) -> pa.Array:
+        facts = []
+        for text in sources.to_pylist():
+            found = call_sites(text, wanted) if text else []
+            facts.append(None if found is None else [
+                dict(zip(_FIELDS, fact)) | {"kwargs": list(fact[7].items()), "args": [dict(zip(("name", "text"), a)) for a in fact[13]]} for fact in found
+            ])
+        return pa.array(facts, type=_ARROW_FACTS)
+
+    # Optimizer rules that copy an expression (such as a filter put in front of an explode) would parse
+    # every file twice; they leave a non-deterministic one where it is.
+    return parse.asNondeterministic()
 
 
-# Optimizer rules that copy an expression (such as a filter put in front of an explode) would parse
-# every file twice; they leave a non-deterministic one where it is.
-_call_sites_once = _call_sites.asNondeterministic()
+def worth_parsing(text: Column, wanted: frozenset[str] = frozenset()) -> Column:
+    """Whether a text has a word that some rule could use; an imported name is spelled out where it is imported."""
+    if "*" in wanted:
+        return text.isNotNull()
+    return text.rlike("|".join([WORTH_PARSING, *sorted(map(re.escape, wanted))]))
 
 
-def with_call_sites(sources, text: str = "module"):
+def with_call_sites(sources, text: str = "module", wanted: frozenset[str] = frozenset()):
     """Add `facts`, the array of call sites of a text column; one parse serves every rule."""
-    worth = F.when(F.col(text).rlike(WORTH_PARSING), F.col(text))
-    return sources.withColumn("facts", _call_sites_once(worth))
+    return sources.withColumn("facts", _call_sites_udf(wanted)(F.when(worth_parsing(F.col(text), wanted), F.col(text))))
 
 
 def split_line(facts: Column) -> Column:

@@ -7,6 +7,7 @@ a join or a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from ..sources import notebooks as nb
 from ..sources.requirements import names_requirement, requirement_lines
 from ..sources.tool_json import read_advisories, read_pattern_results
 from . import callsites as cs
+from . import pattern_rules as pr
 
 _CHECK = {r[0]: r[1] for r in RULES}
 _SEVERITY = {r[0]: r[2] for r in RULES}
@@ -37,18 +39,24 @@ def fix_struct(summary: Column, confidence: Column, replacement: Column | None =
     )
 
 
+SHIPPED = tuple(pr.shipped_rules())  # the rules of the library that are data
+
+
 def as_findings(
-    hits: DataFrame, file: str = "path", fix_summary: Column | None = None, severity: Column | None = None
+    hits: DataFrame, file: str = "path", fix_summary: Column | None = None, severity: Column | None = None,
+    declared: Sequence[pr.Rule] = SHIPPED,
 ) -> DataFrame:
-    """Complete `(rule_id, line_start, line_end, message, evidence)` rows from the rule table."""
+    """Complete `(rule_id, line_start, line_end, message, evidence)` rows from the rule table and the declared rules."""
     rule = F.col("rule_id")
+    severities, categories = _SEVERITY | {r.id: r.severity for r in declared}, _CATEGORY | {r.id: r.category for r in declared}
+    fixes = _FIX | {r.id: r.fix for r in declared if r.fix}
     return hits.select(
         "rule_id", lookup(_CHECK, rule, "leakage").alias("check"),
-        (lookup(_SEVERITY, rule) if severity is None else severity).alias("severity"),
-        lookup(_CATEGORY, rule, "data-leakage").alias("category"), F.col(file).alias("file"),
+        (lookup(severities, rule) if severity is None else severity).alias("severity"),
+        lookup(categories, rule, "data-leakage").alias("category"), F.col(file).alias("file"),
         F.col("line_start").cast("int"), F.col("line_end").cast("int"), "message", "evidence",
         fix_struct(
-            lookup(_FIX, rule, REVIEW_HINT) if fix_summary is None else fix_summary, lookup(_CONFIDENCE, rule, "medium")
+            lookup(fixes, rule, REVIEW_HINT) if fix_summary is None else fix_summary, lookup(_CONFIDENCE, rule, "medium")
         ).alias("fix"),
     )
 
@@ -155,6 +163,9 @@ def pattern_findings(reports: DataFrame) -> DataFrame:
 
 # --- call sites ---------------------------------------------------------------------------------
 
+WANTED = pr.wanted_calls(SHIPPED)
+
+
 def notebook_facts(notebooks: DataFrame) -> DataFrame:
     """`(path, kind, cell_starts, facts)` of notebooks; cells are joined so imports carry over."""
     return cs.with_call_sites(nb.with_module(notebooks)).select(
@@ -164,19 +175,20 @@ def notebook_facts(notebooks: DataFrame) -> DataFrame:
 
 def python_facts(files: DataFrame) -> DataFrame:
     """The same of plain Python files, which have no cells."""
-    return cs.with_call_sites(files, "content").select(
+    return cs.with_call_sites(files, "content", WANTED).select(
         "path", F.lit("python").alias("source_kind"), F.lit(None).cast("array<int>").alias("cell_starts"), "facts"
     )
 
 
-def corpus_facts(files: DataFrame) -> DataFrame:
+def corpus_facts(files: DataFrame, declared: Sequence[pr.Rule] = SHIPPED) -> DataFrame:
     """Facts of a mixed corpus `(path, content, source_kind)` in one pass and one parse per file."""
     is_notebook = F.col("source_kind") == "notebook"
     code = nb.code_cells(F.when(is_notebook, F.col("content")))
     joined = files.withColumn("code", code)
     text = F.when(is_notebook, nb.module_text(F.col("code")))
     return cs.with_call_sites(
-        joined.withColumn("cell_starts", nb.cell_starts(F.col("code"))).withColumn("module", F.when(is_notebook, text).otherwise(F.col("content")))
+        joined.withColumn("cell_starts", nb.cell_starts(F.col("code"))).withColumn("module", F.when(is_notebook, text).otherwise(F.col("content"))),
+        wanted=pr.wanted_calls(declared),
     ).select("path", "source_kind", "cell_starts", "facts")
 
 
@@ -195,8 +207,10 @@ def _is_true(fact: Column, keyword: str) -> Column:
     return F.coalesce(F.try_element_at(fact["kwargs"], F.lit(keyword)) == "True", F.lit(False))
 
 
-def call_site_hits(f: Column, source_kind: Column, starts: Column, split: Column, dropped: Column) -> Column:
-    """Loader, leakage and hygiene hits of one fact.
+def call_site_hits(
+    f: Column, source_kind: Column, starts: Column, split: Column, dropped: Column, declared: Sequence[pr.Rule] = SHIPPED
+) -> Column:
+    """Loader and leakage hits of one fact, and those of the declared rules.
 
     Three line systems meet here: loader rules count lines of the joined cells, leakage rules count
     lines within a code cell (and name it), plain files count their own lines.
@@ -220,8 +234,6 @@ def call_site_hits(f: Column, source_kind: Column, starts: Column, split: Column
         return F.when(condition, hit(rule, cell_first, cell_last, F.concat(prefix, message), f["evidence"], order))
 
     fits = attr.isin(*cs.FIT_METHODS) & ~f["first_arg_is_literal"]
-    plain, shown = source_kind == "python", f["first_arg_text"]
-    no_shuffle = F.try_element_at(f["kwargs"], F.lit("shuffle")) == "False"
     of_call = F.array_compact(F.array(
         loads("deserialization.unsafe-joblib-load", F.array_contains(may_be, "joblib.load"),
               F.lit("`joblib.load` unpickles the file and runs whatever code it carries")),
@@ -235,14 +247,10 @@ def call_site_hits(f: Column, source_kind: Column, starts: Column, split: Column
               F.format_string("`%s(%s, ...)` is fitted on test data", attr, arg)),
         leaks("leakage.preprocessing-before-split", 3, fits & (first_line < split),
               F.format_string("fitted on the full data (line %d) before the split (line %d)", seen_at, split_at)),
-        leaks("ml-hygiene.fit-on-test-arg", 4, plain & (attr == "fit") & tx.has_test_prefix(shown),
-              F.format_string("`fit(%s, ...)` is fitted on a test variable", shown)),
-        leaks("ml-hygiene.fit-transform-on-test-arg", 4, plain & (attr == "fit_transform") & tx.has_test_prefix(shown),
-              F.format_string("`fit_transform(%s, ...)` is fitted on a test variable", shown)),
-        leaks("ml-hygiene.train-test-split-with-shuffle-false", 4,
-              plain & (f["bare_name"] == cs.SPLIT) & no_shuffle & ~F.map_contains_key(f["kwargs"], "stratify"),
-              F.lit("the split neither shuffles nor stratifies")),
     ))
+    by_data = pr.declared_hits(declared, f, source_kind, lambda rule, condition, message: leaks(rule.id, 4, condition, message))
+    if by_data is not None:
+        of_call = F.concat(of_call, by_data)
     context = F.when(f["kind"] == "annotated", "an annotated assignment").otherwise("an assignment")
     proxies = F.filter(f["strings"], lambda s: tx.is_label_proxy(s) & ~F.array_contains(dropped, s))
     of_assignment = F.transform(proxies, lambda s: hit(
@@ -253,12 +261,18 @@ def call_site_hits(f: Column, source_kind: Column, starts: Column, split: Column
     return F.when(is_call, of_call).otherwise(of_assignment)
 
 
-def call_site_findings(facts: DataFrame) -> DataFrame:
-    """Loader, leakage and hygiene findings from `notebook_facts` / `python_facts`."""
+def call_site_findings(facts: DataFrame, declared: Sequence[pr.Rule] = SHIPPED) -> DataFrame:
+    """Loader, leakage and declared findings from `notebook_facts` / `python_facts` / `corpus_facts`."""
     hits = fact_rows(facts).select("path", "ord", F.posexplode_outer(call_site_hits(
-        F.col("f"), F.col("source_kind"), F.col("cell_starts"), F.col("split_line"), F.col("dropped")
+        F.col("f"), F.col("source_kind"), F.col("cell_starts"), F.col("split_line"), F.col("dropped"), declared
     )).alias("pos", "hit")).filter(F.col("hit").isNotNull())
-    return as_findings(dedupe_hits(hits.select("path", F.struct("ord", "pos").alias("place"), "hit.*")))
+    return as_findings(dedupe_hits(hits.select("path", F.struct("ord", "pos").alias("place"), "hit.*")), declared=declared)
+
+
+def declared_findings(files: DataFrame, declared: Sequence[pr.Rule]) -> DataFrame:
+    """Findings of declared rules alone on `(path, content, source_kind)`: one parse for all of them."""
+    ids = [r.id for r in declared]
+    return call_site_findings(corpus_facts(files, declared), declared).filter(F.col("rule_id").isin(*ids))
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions.ordering import number_rows
 from ..operators import callsites as cs
 from ..operators import rules
+from ..operators.pattern_rules import Rule, wanted_calls
 from ..operators.findings import check_rank, default_check_runs, synthesise_scenarios
 from ..sources import notebooks as nb
 from ..operators.unreadable import unreadable
@@ -52,12 +53,13 @@ def _line_hits(line: Column, line_no: Column) -> Column:
     return F.concat(install, requirement, secret)
 
 
-def corpus_hits(files: DataFrame) -> DataFrame:
-    """Hits of all file-based checks on `(path, content)`, in one scan without a shuffle.
+def corpus_hits(files: DataFrame, declared: Sequence[Rule] = rules.SHIPPED) -> DataFrame:
+    """Hits of all file-based checks and of the declared rules on `(path, content)`, in one scan without a shuffle.
 
     Files become units by a projection; line rules and the parser (which sees only the units worth
     parsing) run on the same rows.
     """
+    asked = wanted_calls(declared)
     kind = file_kind(F.col("path"))
     opened = (
         files.select("path", "content", kind.alias("source_kind")).filter(F.col("source_kind").isNotNull())
@@ -69,38 +71,42 @@ def corpus_hits(files: DataFrame) -> DataFrame:
         F.posexplode_outer(_units(F.col("source_kind"))).alias("unit_no", "u"),
     ).select("path", "source_kind", "verified", "cell_starts", "unit_no", "u.*")
     is_module = F.col("unit") == "module"
-    wanted = F.when(is_module, F.col("text").rlike(cs.WORTH_PARSING)).when(
+    wanted = F.when(is_module, cs.worth_parsing(F.col("text"), asked)).when(
         F.col("unit") == "requirements", F.lit(True)
     ).otherwise(F.col("text").rlike(_MAYBE))
     facts = cs.with_call_sites(
-        units.filter(wanted).withColumn("module", F.when(is_module, F.col("text")))
+        units.filter(wanted).withColumn("module", F.when(is_module, F.col("text"))), wanted=asked,
     ).withColumn("split_line", cs.split_line(F.col("facts"))).withColumn("dropped", cs.dropped_columns(F.col("facts")))
     rows = F.when(F.col("unit") == "requirements", numbered_lines(F.col("text"))).otherwise(tx.lines(F.col("text")))
     by_line = F.flatten(F.transform(rows, lambda line, i: _line_hits(line, i + 1)))
     by_fact = F.flatten(F.transform("facts", lambda f: rules.call_site_hits(
-        f, F.col("source_kind"), F.col("cell_starts"), F.col("split_line"), F.col("dropped")
+        f, F.col("source_kind"), F.col("cell_starts"), F.col("split_line"), F.col("dropped"), declared
     )))
     found = facts.select("path", "unit_no", F.posexplode_outer(F.when(is_module, by_fact).otherwise(by_line)).alias("pos", "hit"))
     return found.filter(F.col("hit").isNotNull()).select("path", F.struct("unit_no", "pos").alias("place"), "hit.*")
 
 
-def audit_findings(files: DataFrame, run_id: str, *others: DataFrame) -> DataFrame:
+def audit_findings(files: DataFrame, run_id: str, *others: DataFrame, declared: Sequence[Rule] = rules.SHIPPED) -> DataFrame:
     """All findings of a run with their list position `seq`; `others` are findings of tool reports."""
-    hits = rules.dedupe_hits(corpus_hits(files))
-    parts = [rules.as_findings(hits)] + list(others)
+    hits = rules.dedupe_hits(corpus_hits(files, declared))
+    parts = [rules.as_findings(hits, declared=declared)] + list(others)
     found = rules.union_findings(*parts).withColumn("run_id", F.lit(run_id))
     order = [check_rank(F.col("check")), F.col("file"), F.coalesce("line_start", F.lit(0)), F.col("rule_id"), F.col("message"), F.col("evidence")]
     numbered = number_rows(found, order, "seq")
     return numbered.withColumn("seq", F.col("seq") - 1)
 
 
-def audit_path(spark: SparkSession, path: str, run_id: str, *others: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def audit_path(
+    spark: SparkSession, path: str, run_id: str, *others: DataFrame, declared: Sequence[Rule] = rules.SHIPPED
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Findings (scenarios included, after the others), check rows and unreadable inputs of everything below a path.
 
+    `declared` are the rules given as data (`operators.pattern_rules.read_rules`); by default those of the library.
+
     The adversarial check works on a scored model, so it counts as run only when `others` hold findings of it;
     otherwise its row says `not_run`.
     """
-    found = audit_findings(read_corpus(spark, path), run_id, *others)
+    found = audit_findings(read_corpus(spark, path), run_id, *others, declared=declared)
     chained = synthesise_scenarios(found).withColumn("seq", F.lit(None).cast("bigint"))
     scored = found.filter(F.col("check") == "adversarial").select(F.lit(run_id).alias("run_id"), "check").distinct()
     checks = default_check_runs(found, run_id).join(scored.withColumn("scored", F.lit(True)), ["run_id", "check"], "left").withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..dims import SECRET_PATTERNS
@@ -9,6 +11,7 @@ from ..functions import severity as sev
 from ..functions import text as tx
 from ..operators import callsites as cs
 from ..operators import integrity as ig
+from ..operators import pattern_rules as pr
 from ..operators import rules as rl
 from ..sources import baseline as bl
 from ..sources import files as fs
@@ -430,6 +433,41 @@ def _u2(spark, sf):
     return rl.pattern_findings(st.pattern_reports(spark, sf)).select("rule_id", "check", "severity", "file", "line_start", "message")
 
 
+# Rules of a user, as they would stand in a file: the three that the library ships, and others of every kind of clause.
+_OWN_RULES = [
+    {"id": "own.split", "severity": "INFO", "kinds": ["python", "notebook"], "message": "`$X` is split", "pattern": "train_test_split($X, ...)"},
+    {"id": "own.loader", "severity": "ERROR", "kinds": ["notebook"], "message": "loads $FILE", "pattern-either": ["pickle.load($FILE)", "joblib.load($FILE)"]},
+    {"id": "own.pair", "severity": "WARNING", "message": "$OBJ takes $A and $B", "patterns": [{"pattern": "$OBJ.fit_transform($A, $B)"}]},
+    {"id": "own.label-argument", "severity": "WARNING", "message": "$OBJ.$HOW", "patterns": [
+        {"pattern": "$OBJ.$HOW(..., y, ...)"}, {"metavariable-regex": {"metavariable": "$HOW", "regex": "fit$"}}, {"pattern-not": "$OBJ.fit(X, ...)"}]},
+    {"id": "own.broken", "severity": "ERROR", "message": "", "pattern": "$X = load()"},
+]
+
+
+def _own_rules(spark):
+    with open(pr.SHIPPED, encoding="utf-8") as text:
+        document = {"rules": [*json.load(text)["rules"], *_OWN_RULES]}
+    folder = st.scratch(spark, "rules")
+    spark.createDataFrame([(json.dumps(document),)], "value string").write.text(folder)
+    return pr.read_rules(spark, folder)
+
+
+@query("U2_declared_rules", sql("nbok py", """
+  SELECT path AS file, 'ml-hygiene.fit-on-test-arg' AS rule_id, 'high' AS severity, 3 AS line_start, '`fit(X_test, ...)` is fitted on a test variable' AS message FROM py WHERE o_custkey % 5 = 0
+  UNION ALL SELECT path, 'ml-hygiene.fit-transform-on-test-arg', 'high', 3, '`fit_transform(X_test_scaled, ...)` is fitted on a test variable' FROM py WHERE o_custkey % 5 = 1
+  UNION ALL SELECT path, 'ml-hygiene.train-test-split-with-shuffle-false', 'medium', 2, 'the split neither shuffles nor stratifies' FROM py WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT path, 'own.split', 'low', 2, '`X` is split' FROM py WHERE o_orderkey % 4 < 3
+  UNION ALL SELECT path, 'own.split', 'low', 4, '`X` is split' FROM nbok WHERE k % 8 <> 2
+  UNION ALL SELECT path, 'own.loader', 'high', 6, replace('loads ' || CASE et WHEN 'click' THEN '~m.pkl~' ELSE 'open(~m.pkl~, ~rb~)' END, '~', chr(39)) FROM nbok WHERE et IN ('click', 'view')
+  UNION ALL SELECT path, 'own.pair', 'medium', 3, 's takes X_test_scaled and y' FROM py WHERE o_custkey % 5 = 1
+  UNION ALL SELECT path, 'own.label-argument', 'medium', 3, 's.fit' FROM py WHERE o_custkey % 5 = 4"""))
+def _u2_declared(spark, sf):
+    rules, _ = _own_rules(spark)
+    files = st.notebooks(spark, sf).unionByName(st.python_files(spark, sf)).withColumn("source_kind", fs.file_kind(F.col("path")))
+    found = rl.declared_findings(files, rules)
+    return found.select("file", "rule_id", "severity", "line_start", F.regexp_replace("message", r"^\[cell \d+\] ", "").alias("message"))
+
+
 # --- U1, L1: whole audits -------------------------------------------------------------------------
 
 _AUDIT = """

@@ -154,10 +154,12 @@ def _a5(spark, sf):
 _STRONG = [*_NUM, "class_id"]
 
 
-@query("A5_strongest_matrix", sql("cat", "WITH m AS (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, {_CORR.format(a=a, b=b)} AS r FROM cat" for a in _STRONG for b in _STRONG) + """),
-  top AS (SELECT a AS name FROM m WHERE b = 'class_id' AND a <> 'class_id' ORDER BY abs(r) DESC NULLS LAST, a LIMIT 15)
-  SELECT a, b, round(r, 6) AS correlation FROM m WHERE (a IN (FROM top) OR a = 'class_id') AND (b IN (FROM top) OR b = 'class_id')"""))
+@query("A5_strongest_matrix", sql("cat", f"""
+  WITH l AS (SELECT unnest([{', '.join(f"'{c}'" for c in _NUM)}]) AS name, unnest([{', '.join(_CORR.format(a=c, b='class_id') for c in _NUM)}]) AS r FROM cat),
+  top AS (SELECT name FROM (FROM l ORDER BY abs(r) DESC NULLS LAST, name LIMIT 15) UNION ALL SELECT 'class_id'),
+  u AS (SELECT id, unnest([{', '.join(f"'{c}'" for c in _STRONG)}]) AS name, unnest([{', '.join(f'{c}::DOUBLE' for c in _STRONG)}]) AS v FROM cat),
+  t AS (FROM u SEMI JOIN top USING (name))
+  SELECT x.name AS a, y.name AS b, round({_CORR.format(a='x.v', b='y.v')}, 6) AS correlation FROM t x JOIN t y USING (id) GROUP BY 1, 2"""))
 def _a5_strongest(spark, sf):
     cat = fl.encode_category(fl.categorise(st.flows(spark, sf)))
     return fl.strongest_matrix(cat, _NUM, "class_id").withColumn("correlation", F.round("correlation", 6))
@@ -419,7 +421,7 @@ def _n2(spark, sf):
 
 @query("N3_safety_filter", sql("flows hosts", f"""
   SELECT id, destination_ip, role IS NOT NULL AS blocked,
-    CASE WHEN role IS NOT NULL THEN 'SAFETY FILTER: ' || destination_ip || ' is critical infrastructure' ELSE 'IP not in protected range' END AS reason,
+    CASE WHEN role IS NOT NULL THEN 'SAFETY FILTER: ' || destination_ip || ' is critical infrastructure' ELSE '{dc.NOT_PROTECTED}' END AS reason,
     CASE WHEN role IS NOT NULL THEN {_ACTION.format(s='(' + _BUCKET.format(c='confidence') + ')')} END AS original,
     CASE WHEN role IS NOT NULL THEN 'HUMAN_REVIEW_REQUIRED' ELSE {_ACTION.format(s='(' + _BUCKET.format(c='confidence') + ')')} END AS action
   FROM flows LEFT JOIN hosts ON ip = destination_ip"""))

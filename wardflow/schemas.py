@@ -36,7 +36,7 @@ FINDING = _struct(
 CALL_SITE = _struct(
     kind=_STRING, qualified_name=_STRING, attr=_STRING, bare_name=_STRING, first_arg_name=_STRING,
     first_arg_text=_STRING, first_arg_is_literal=_BOOL, kwargs=T.MapType(_STRING, _STRING), strings=_STRINGS,
-    line_start=_INT, line_end=_INT, evidence=_STRING,
+    line_start=_INT, line_end=_INT, evidence=_STRING, object=_STRING, args=T.ArrayType(_struct(name=_STRING, text=_STRING)),
 )
 
 NOTEBOOK = _struct(problem=_STRING, code=T.ArrayType(_struct(cell_idx=_INT, source=_STRING, outputs=_STRINGS)))
