@@ -304,6 +304,19 @@ def _k1(spark, sf):
     return _history(spark, sf)["findings"].select("finding_pk", "run_id", "rule_id", "check_name", "severity", "file", "line_start")
 
 
+@query("K1_retried_write", sql("fi rr", """
+  SELECT run_id, count(seq) AS findings, count(DISTINCT seq) AS keys FROM rr LEFT JOIN fi USING (run_id) GROUP BY 1"""))
+def _k1r(spark, sf):
+    """Half of the runs written first, then all of them twice: each counts once, with keys of its own."""
+    root, found, runs, checks = st.scratch(spark, "history"), st.findings(spark, sf), st.run_rows(spark, sf), st.check_runs(spark, sf)
+    half = F.crc32("run_id") % 2 == 0
+    hs.record_runs(root, found.filter(half), runs.filter(half), checks.filter(half))
+    for _ in range(2):
+        hs.record_runs(root, found, runs, checks)
+    h = hs.read_history(spark, root)
+    return h["runs"].join(h["findings"], "run_id", "left").groupBy("run_id").agg(F.count("finding_pk").alias("findings"), F.countDistinct("finding_pk").alias("keys"))
+
+
 @query("K1_record_checks", sql("cr fi", 'SELECT run_id, "check" AS check_name, duration_ms, tool_status, count(seq) AS findings_count FROM cr LEFT JOIN fi USING (run_id, "check") GROUP BY 1, 2, 3, 4'))
 def _k1c(spark, sf):
     return hs.build_check_results(st.findings(spark, sf), st.check_runs(spark, sf))
@@ -354,7 +367,7 @@ _H4 = "SELECT run_id, target, started_at, severity, file, line_start FROM fi JOI
 @query("H4_runs_by_rule", sql("fi rr", _H4))
 def _h4(spark, sf):
     h = _history(spark, sf)
-    return hs.runs_by_rule(h["findings"], h["runs"], "secrets.slack-token")
+    return hs.runs_by_rule(h["findings"], h["runs"], "secrets.slack-token", h["rule_runs"])
 
 
 @query("J2_findings_join_runs", sql("fi rr", _H4))
