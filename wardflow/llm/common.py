@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -38,7 +39,24 @@ def stored(df: DataFrame) -> DataFrame:
     """The same as a table: compressed, and read by columns, for many rows that are read several times."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, as soon as what was made of them is stored itself.
+
+    The shuffle files of the jobs behind them go when the driver collects its garbage, which a small heap may not do
+    for long, so it is asked to.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop, stored
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -17,11 +17,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every node hands its neighbours to the smallest one it knows; after few rounds (about the logarithm of
     the longest path) each group is a star around its smallest node. No group is gathered: a round is two
-    minima per node and joins on them. Each round's links are written to shared storage. Links to oneself and
+    minima per node and joins on them. Each round's links are written to shared storage, those of the round before deleted. Links to oneself and
     repeated links do no harm; nulls are not links.
     """
     x, y = F.col(a), F.col(b)
-    edges = saved(links.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
+    edges = stored(links.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
     before = _print_of(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,11 +32,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         )
-        edges = saved(small)
+        older, edges = edges, stored(small)
+        drop(older)
         after = _print_of(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
+    labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
+    labels.stored_at = edges.stored_at
+    return labels

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved
+from .common import drop, mix64, stored
 from .components import components
 
 LOOSE_SHINGLES, MEMBER_SHINGLES = 100_000, 400_000  # a block of the second check holds about so many
@@ -118,24 +118,28 @@ def link_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
     """
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = saved(keyed.join(shared, "key"))
+    members = stored(keyed.join(shared, "key"))
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     ranked = members.join(weight, "node")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
     with_hub = members.join(hubs, "key")
-    sets = saved(sets_of(members.select("node").distinct()).select("node", "shingles", F.size("shingles").alias("n")))
+    sets = stored(sets_of(members.select("node").distinct()).select("node", "shingles", F.size("shingles").alias("n")))
     pairs = with_hub.filter("node <> hub").select("node", "hub").distinct()
-    links = saved(
+    links = stored(
         pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other"), F.col("n").alias("m")), "hub")
         .filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
         .filter(similar(F.size(F.array_intersect("shingles", "other")), F.col("n"), F.col("m"), percent))
         .select(F.col("node").alias("a"), F.col("hub").alias("b"))
     )
     first = components(links)
-    more = saved(_links_of_the_rest(with_hub.filter("n > 2"), first, sets, percent))
+    drop(links)
+    more = _links_of_the_rest(with_hub.filter("n > 2"), first, sets, percent)
+    drop(members, sets)
     if more.isEmpty():
         return first
-    return components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    joined = components(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    drop(first, more)
+    return joined
 
 
 def _links_of_the_rest(with_hub: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +157,7 @@ def _links_of_the_rest(with_hub: DataFrame, groups: DataFrame, sets: DataFrame,
             F.ceil((F.col("all") - F.col("top.shingles")) / LOOSE_SHINGLES).cast("int").alias("loose_parts"),
         )
     )
-    rows = saved(members.join(open_, "key").select("key", "node", "label", "main", "member_parts", "loose_parts"))
+    rows = stored(members.join(open_, "key").select("key", "node", "label", "main", "member_parts", "loose_parts"))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     loose = rows.filter("label <> main").withColumn("loose_part", part("loose_parts")).withColumn("member_part", every("member_parts"))
@@ -164,7 +168,9 @@ def _links_of_the_rest(with_hub: DataFrame, groups: DataFrame, sets: DataFrame,
     def check(rows: pd.DataFrame) -> pd.DataFrame:
         return _block_links(rows[rows["loose"]], rows[~rows["loose"]], percent)
 
-    return dealt.join(sets.select("node", "shingles"), "node").groupBy("key", "loose_part", "member_part").applyInPandas(check, "a binary, b binary").distinct()
+    found = stored(dealt.join(sets.select("node", "shingles"), "node").groupBy("key", "loose_part", "member_part").applyInPandas(check, "a binary, b binary").distinct())
+    drop(rows)
+    return found
 
 
 def _block_links(loose: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shingles, text_bytes, text_slices, words
+from .common import shingles, stored, text_bytes, text_slices, words
 from .near import band_keys, link_groups, set_id
 
 BANDS, ROWS, WIDTH, PERCENT = 32, 4, 5, 75  # a pair at 0.75 shares a band but for 5 in a million
@@ -63,7 +63,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width
     are kept. Rows with a null id are linked like others but cannot name a group; a group of such rows alone has
     a null component and is kept. Repeated rows of one id are all kept if the id is. Other columns are ignored.
     """
-    known = saved(signatures(docs, bands, rows, width))
+    known = stored(signatures(docs, bands, rows, width))
     nodes = known.filter("n_shingles > 0").groupBy("node").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
