@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import fractions
 import random
 import re
 import zlib
@@ -60,6 +61,33 @@ def check_mix(rows, docs):
         assert abs(taken[s] - target[s]) <= 1
 
 
+def plain_mix(docs, budget, weights=(5, 2, 1), repeats=3):
+    """Words taken per source: all words of all copies sorted by virtual time, then source, cut at the budget."""
+    sizes = collections.Counter()
+    for r in docs:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    times = sorted((fractions.Fraction(2 * k - 1, weight[s]), names.index(s)) for s in names for k in range(1, repeats * sizes[s] + 1))
+    return collections.Counter(names[i] for _, i in times[:budget])
+
+
+@pytest.mark.parametrize("budget", [None, 0, 1, 2, 7, 50, 333, 4000, 10**9])
+def test_mix_budget_alone_decides(spark, budget):
+    """Every budget cuts the same order of words; at the default one the cut binds and targets come out of it."""
+    docs = [(i, prose(i, 1 + i % 9), "en", ["a", "b", "c", "d", None][min(i % 11, 4)], 1) for i in range(120)] + [(200, prose(5, 300), "en", "b", 1)]
+    rows = mixing.mix(spark.createDataFrame(docs, SCHEMA), budget=budget).collect()
+    source, taken, total = {d[0]: d[3] for d in docs}, collections.Counter(), sum(r["size"] for r in rows)
+    for r in rows:
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert +taken == +plain_mix(docs, total if budget is None else budget)
+    if budget is None:
+        slim = mixing.sized(spark.createDataFrame(docs, SCHEMA), ())
+        assert mixing.cut_point(mixing.queued(slim, mixing.targets(slim, (5, 2, 1), 3)), 3, total) is not None
+        check_mix(rows, docs)
+
+
 def test_mix_odd_rows(odd, odd_rows, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(odd_rows)
