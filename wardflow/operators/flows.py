@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import CLASSES, DEFAULT_CATEGORY, class_ids, taxonomy
+from .comoments import comoments
 
 
 def drop_label_proxy(flows: DataFrame) -> DataFrame:
@@ -121,16 +122,9 @@ def near_constant(df: DataFrame, columns: Sequence[str], threshold: float = 0.01
     return column_variances(df, columns, population=True).withColumn("kept", F.col("variance") > threshold)
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation over the rows that have both sides; NULL, not an error, when one of them is constant."""
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def label_correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    target = F.col(label).cast("double")
-    aggs = [pearson(F.col(c).cast("double"), target).alias(c) for c in columns]
-    return _melt(df.agg(*aggs), columns, "correlation")
+    """Correlation of each column with the label, over the rows that have both; NULL when a side is constant."""
+    return comoments(df, columns, [label]).select(F.col("a").alias("column"), "correlation")
 
 
 def top_correlated(correlations: DataFrame, k: int) -> DataFrame:
@@ -141,14 +135,8 @@ def top_correlated(correlations: DataFrame, k: int) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairs of the given columns, from one aggregate over half of them."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    aggs = [pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"r{i}").alias("correlation")))
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    """All pairs of the given columns, from one pass whose plan does not grow with their number."""
+    return comoments(df, columns).select("a", "b", "correlation")
 
 
 def strongest_matrix(df: DataFrame, columns: Sequence[str], label: str, k: int = 15) -> DataFrame:
