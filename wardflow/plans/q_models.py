@@ -9,6 +9,7 @@ from ..dims import CLASSES
 from ..functions.vectors import argmax, linear_scores
 from ..operators import explain as xp
 from ..operators import flows as fl
+from ..operators import forest as fo
 from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import neighbours as kn
@@ -96,6 +97,16 @@ def _j14(spark, sf):
     return kn.nearest_neighbours(st.points(spark, sf), 3).withColumn("distance", F.round("distance", 6))
 
 
+@query("J14_forest_recall", sql("pts", f"WITH {_KNN} SELECT class_id, count(*) AS places, true AS recalled FROM kn JOIN pts USING (id) GROUP BY 1"))
+def _j14_forest(spark, sf):
+    """Places filled by the forest in each class, and whether nine in ten hold as near a neighbour as the exact search's."""
+    points = st.points(spark, sf)
+    exact = kn.nearest_neighbours(points, 3).select("id", "place", F.col("distance").alias("nearest"))
+    found = fo.forest_neighbours(points, 3, recall=0.95, leaf_rows=64).neighbours.join(points.select("id", "class_id"), "id")
+    hit = (F.col("distance") <= F.col("nearest") * (1 + 1e-12)).cast("double")
+    return found.join(exact, ["id", "place"]).groupBy("class_id").agg(F.count("*").alias("places"), (F.avg(hit) >= 0.9).alias("recalled"))
+
+
 _SMOTE = f"""{_KNN},
   c AS (SELECT class_id, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM pts GROUP BY 1),
   b AS (SELECT p.*, need // n + CASE WHEN row_number() OVER (PARTITION BY p.class_id ORDER BY md5('42-extra|' || id), id) <= need % n THEN 1 ELSE 0 END AS copies FROM pts p JOIN c USING (class_id) WHERE need > 0),
