@@ -31,11 +31,13 @@ LOOSE = {
 CONTEXT = 32  # code points before and after a span that the trees see
 CUES = {  # fixed values: words near a span
     "cue_phone": "phone|tel|call|mobile|fax|whatsapp", "cue_mail": "mail|contact|write", "cue_card": "card|visa|credit|payment|account", "cue_host": "ip|host|server|addr",
+    "cue_item": "order|invoice|item|part|stock|serial|room|ref|version|page|isbn",
 }
-# No feature tells the base forms (a plus sign, an @, four octets), so the trees carry over to the forms that the base leaves out.
+# No feature tells the base forms (a plus sign with its country code, an @) or the cue that leads up to a span, which
+# make the weak label: the trees carry over from those to the forms and places that neither covers.
 FEATURES = (
-    "length", "digits", "letters", "spaces", "dots", "hyphens", "brackets", "groups", "longest_group", "luhn", "glued_before", "glued_after", "mailbox",
-    "called_before", "charged_before", *CUES,
+    "length", "digits", "letters", "spaces", "dots", "hyphens", "brackets", "groups", "longest_group", "luhn", "glued_before", "glued_after", "lettered",
+    "ending", "mixed", *CUES,
 )
 BEFORE = r"\b(?:%s)[a-z]*[^0-9a-z]{0,4}(?:(?:is|me|us|no|number|at|on|under)\b[^0-9a-z]{0,4}){0,3}\z"  # a cue that leads up to a span
 SAMPLE = 20_000  # candidates the trees are fitted on at most
@@ -132,45 +134,51 @@ def base_spans(rows: DataFrame, text: str) -> DataFrame:
 
 
 def proposals(rows: DataFrame, text: str) -> DataFrame:
-    """Add `loose`: the generators' spans with the text around them and whether a base span overlaps."""
+    """Add `loose`: the generators' spans with the text around them, whether a base span overlaps, and whether one of their own sort does."""
     rows = with_matches(rows, text, LOOSE, {}, "_l_")
     spans = [_proposed(f"_l_{g}", g) for g in LOOSE]
+    overlaps = lambda b, s: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    of_sort = lambda b, s: F.when(s["by"] == "email", b["kind"] == "email").otherwise(b["kind"].isin("card", "phone"))
     around = lambda s: F.struct(
         s["by"], s["start"], s["end"], s["match"],
         F.substring(F.col(text), F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT)).cast("int")).alias("left"),
         F.substring(F.col(text), s["end"].cast("int") + 1, F.lit(CONTEXT)).alias("right"),
-        F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("known"),
+        F.exists("base", lambda b: overlaps(b, s)).alias("known"), F.exists("base", lambda b: overlaps(b, s) & of_sort(b, s)).alias("sure"),
     )
     return rows.withColumn("_spans", F.flatten(F.array(*spans))).withColumn("loose", F.transform("_spans", around)).drop("_spans", *[f"_l_{g}" for g in LOOSE])
 
 
 def features(candidates: DataFrame) -> DataFrame:
-    """Format and context of each candidate as one vector, and its weak label.
+    """Format and context of each candidate as one vector, its weak label, and whether there is evidence against it.
 
-    The label does not ask for a base span. An email counts when it joins with @, a bracketed at, or both of the
-    words at and dot, and ends in two letters or more; a number of 7 to 12 digits when a phone cue leads up to it,
-    one of 13 to 19 when a card cue does and its check sum holds.
+    The label is evidence that no feature holds: a base span of the same sort overlaps, or a cue leads right up to the
+    span (a mail cue to an email that ends in letters, a phone cue to 7 to 12 digits, a card cue to a number whose check
+    sum holds). Against a candidate without a label speak a base span of another sort, the word for an item that leads up
+    to it, letters or digits glued to it, a failed check sum or an ending that is no name. Formats are those of the plain form, however at and dot are written and without a country code.
     """
     whole, near, left = F.col("match"), F.lower(F.concat_ws(" ", "left", "right")), F.lower("left")
-    # Formats are those of the plain form, however at and dot are written.
     plain = F.regexp_replace(F.regexp_replace(whole, r"\x20?[\[(]at[\])]\x20?|\x20at\x20", "@"), r"\x20?[\[(]dot[\])]\x20?|\x20dot\x20", ".")
-    m = F.when(F.col("by") == "email", plain).otherwise(whole)
+    m = F.when(F.col("by") == "email", plain).otherwise(F.regexp_replace(whole, r"\A\+[0-9]{1,3}[\x20.-]", ""))
     number = digits(m)
     groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
-    mailbox = whole.rlike(r"(?:@|[\[(]at[\])]|\x20at\x20.*(?:[\[(]dot[\])]|\x20dot\x20))") & plain.rlike(r"\.[A-Za-z]{2,}\z")
+    ending = plain.rlike(r"\.[A-Za-z]{2,}\z")
     values = {
         "length": F.char_length(m), "digits": F.length(number), "letters": F.regexp_count(m, F.lit("[A-Za-z]")), "spaces": F.regexp_count(m, F.lit(" ")),
-        "dots": F.regexp_count(m, F.lit("[.]")), "hyphens": F.regexp_count(m, F.lit("-")), "brackets": F.regexp_count(m, F.lit(r"[\[\]()]")),
+        "dots": F.regexp_count(m, F.lit("[.]")), "hyphens": F.regexp_count(m, F.lit("-")), "brackets": F.regexp_count(m, F.lit(r"[()]")),
         "groups": F.size(groups), "longest_group": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "luhn": luhn(number),
-        "glued_before": F.col("left").rlike(r"[A-Za-z0-9]\z"), "glued_after": F.col("right").rlike(r"\A[A-Za-z0-9]"), "mailbox": mailbox,
-        "called_before": left.rlike(BEFORE % CUES["cue_phone"]), "charged_before": left.rlike(BEFORE % CUES["cue_card"]),
+        "glued_before": F.col("left").rlike(r"[A-Za-z0-9]\z"), "glued_after": F.col("right").rlike(r"\A[A-Za-z0-9]"),
+        "lettered": F.col("by") == "email", "ending": ending, "mixed": whole.rlike(r"\x20at\x20[A-Za-z0-9-]+\."),
         **{cue: near.rlike(rf"\b(?:{words})") for cue, words in CUES.items()},
     }
     table = candidates.select("*", *[values[f].cast("double").alias(f) for f in FEATURES])
-    called = (F.col("called_before") == 1) & F.col("digits").between(7, 12)
-    charged = (F.col("charged_before") == 1) & (F.col("luhn") == 1)
-    label = F.when(F.col("by") == "email", F.col("mailbox") == 1).otherwise((called | charged) & (F.col("glued_before") == 0) & (F.col("glued_after") == 0))
-    table = table.withColumn("label", label.cast("double"))
+    loose_ends = (F.col("glued_before") == 0) & (F.col("glued_after") == 0)
+    called = left.rlike(BEFORE % CUES["cue_phone"]) & F.length(digits(whole)).between(7, 12) & loose_ends
+    charged = left.rlike(BEFORE % CUES["cue_card"]) & luhn(digits(whole)) & loose_ends
+    written = left.rlike(BEFORE % CUES["cue_mail"]) & (F.col("ending") == 1)
+    label = F.col("sure") | F.when(F.col("by") == "email", written).otherwise(called | charged)
+    refused = F.when(F.col("by") == "email", F.col("ending") == 0).otherwise(
+        left.rlike(BEFORE % CUES["cue_item"]) | ~loose_ends | (F.length(digits(whole)) >= 13) & ~luhn(digits(whole)))
+    table = table.withColumn("label", label.cast("double")).withColumn("against", ~label & (F.col("known") | refused))
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).drop(*FEATURES)
 
 
@@ -183,7 +191,9 @@ def fit(candidates: DataFrame, precision: float, sample: int = SAMPLE):
     """Trees and a threshold, or None where candidates of one sort only are found.
 
     Of one half of the candidates by hash, at most `sample` fit the trees. All of the other half set the threshold: the
-    least score from which on the share of those labelled as personal data is at least `precision`.
+    least score, 0.5 or more, from which on the labelled are at least the share `precision` of those that the evidence
+    speaks for or against. The label is made of what the trees do not see, so the share says how often their choice is
+    confirmed; spans with no evidence either way, which the trees are there to find, have no say in it.
     """
     order = F.xxhash64("row", "start", "by")
     half = lambda part: candidates.filter(F.pmod(order, F.lit(2)) == part)
@@ -191,7 +201,7 @@ def fit(candidates: DataFrame, precision: float, sample: int = SAMPLE):
     if train.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxDepth=3, maxIter=8, stepSize=0.3, seed=7).fit(train)
-    scored = model.transform(features(half(1))).select(score().alias("score"), F.col("label").cast("int").alias("hit"))
+    scored = model.transform(features(half(1))).filter((F.col("label") == 1) | F.col("against")).select(score().alias("score"), F.col("label").cast("int").alias("hit"))
     steps = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("hit").alias("k")).orderBy(F.desc("score")).collect()  # 1001 rows at most
     best, n, k = None, 0, 0
     for step in steps:
@@ -204,9 +214,9 @@ def fit(candidates: DataFrame, precision: float, sample: int = SAMPLE):
 def find(docs: DataFrame, precision: float = 0.98, sample: int = SAMPLE) -> DataFrame:
     """One row per document: `base` and `spans`, arrays of (kind, start, end) by kind as listed, then start.
 
-    `base` holds the contract's matches. `spans` also holds proposals that no base span overlaps, that have the evidence
-    of the weak label and that the trees score at or above the calibrated threshold: emails by the email generator, numbers of 13 digits or
-    more as cards, shorter ones as phones. A null or empty text has no spans. Repeated rows and null ids give
+    `base` holds the contract's matches. `spans` also holds proposals that no base span overlaps and that the trees
+    score at or above the calibrated threshold; nothing else selects them. Those of the email generator are emails, numbers of 13 digits
+    or more cards, shorter ones phones. A null or empty text has no spans. Repeated rows and null ids give
     one row each; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("_text"))
@@ -219,7 +229,7 @@ def find(docs: DataFrame, precision: float = 0.98, sample: int = SAMPLE) -> Data
     model, threshold = fitted
     kind = F.when(F.col("by") == "email", "email").when(F.length(digits(F.col("match"))) >= 13, "card").otherwise("phone")
     extra = (
-        model.transform(features(candidates.filter(~F.col("known")))).filter((F.col("label") == 1) & (score() >= threshold))
+        model.transform(features(candidates.filter(~F.col("known")))).filter(score() >= threshold)
         .groupBy("row").agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).alias("extra"))  # the spans of one text
     )
     places = F.array(*map(F.lit, BASE))
