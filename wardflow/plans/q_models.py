@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..dims import CLASSES
@@ -14,6 +14,7 @@ from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import neighbours as kn
 from ..operators import prep as pp
+from ..operators import sparse as sr
 from . import standins as st
 from . import training as tr
 from .registry import query
@@ -38,6 +39,26 @@ def _m1(spark, sf):
     return matrix.select("id", F.size("features").alias("width"), F.array_join(hot, ",").alias("hot"))
 
 
+@query("M1_sparse_rows", sql("flows", """
+  WITH t AS (SELECT * FROM flows WHERE split = 'train'),
+  p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS j FROM (SELECT DISTINCT protocol_type AS v FROM t)),
+  s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS j FROM (SELECT DISTINCT service AS v FROM t)),
+  f AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS j FROM (SELECT DISTINCT flag AS v FROM t))
+  SELECT id, CAST(8 + (SELECT count(*) FROM p) + (SELECT count(*) FROM s) + (SELECT count(*) FROM f) AS INT) AS width,
+    p.j AS protocol_type_position, s.j AS service_position, f.j AS flag_position
+  FROM flows LEFT JOIN p ON protocol_type = p.v LEFT JOIN s ON service = s.v LEFT JOIN f ON flag = f.v"""))
+def _m1_sparse(spark, sf):
+    """Width of every sparse row and where its categories stand, from the vectors themselves."""
+    flows = st.flows(spark, sf).select("id", "split", *_CAT, *NUMERIC_FLOW)
+    encoder = sr.fit_sparse(flows.filter("split = 'train'"), _CAT, NUMERIC_FLOW)
+    vector, places, first = vector_to_array("vector"), [], len(encoder.numeric)
+    for name, size in encoder.sizes.items():
+        at = F.array_position(F.slice("_dense", first + 1, size), F.lit(1.0)) - 1
+        places.append(F.when(at >= 0, at).alias(f"{name}_position"))
+        first += size
+    return encoder.apply(flows, ("id",)).withColumn("_dense", vector).select("id", F.size("_dense").alias("width"), *places)
+
+
 @query("M2_stratified_split", sql("cat", """
   WITH c AS (SELECT category, count(*) AS n, sum(count(*)) OVER () AS total FROM cat GROUP BY 1),
   t AS (SELECT *, total - CAST(ceil(total * 2 / 10::DOUBLE) AS BIGINT) AS want FROM c),
