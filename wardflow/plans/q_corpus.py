@@ -127,6 +127,18 @@ def _k9v(spark, sf):
     return ig.verify(ig.manifest(files.filter("doc_id % 10 <> 1")), ig.manifest(changed.filter("doc_id % 10 <> 0")))
 
 
+@query("K9_streamed", """
+  SELECT doc_id % 64 AS part, sha256(string_agg(sha256(coalesce(text, '')) || chr(10), '' ORDER BY doc_id)) AS sha256, CAST(65 * count(*) AS BIGINT) AS size
+  FROM documents GROUP BY 1""")
+def _k9s(spark, sf):
+    """All documents' digests written as lines of files in folders, then listed and hashed as files."""
+    path = st.scratch(spark, "digests")
+    lines = st.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 64).alias("part"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("line"))
+    lines.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "line").write.partitionBy("part").text(path)
+    files = ig.manifest_of(spark, path, "*.txt")
+    return files.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("bigint").alias("part"), "sha256", "size")
+
+
 # --- C1-C8, C24, P14, W2, W3: lines and names -----------------------------------------------------
 
 @query("C1_line_of_match", """
