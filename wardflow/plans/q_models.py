@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import CLASSES
@@ -10,11 +13,13 @@ from ..functions.vectors import argmax, linear_scores
 from ..operators import explain as xp
 from ..operators import flows as fl
 from ..operators import forest as fo
+from ..operators import importance as im
 from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import neighbours as kn
 from ..operators import prep as pp
 from ..operators import sparse as sr
+from ..session import cut_lineage
 from . import standins as st
 from . import training as tr
 from .registry import query
@@ -345,11 +350,20 @@ def _m9_fitted(spark, sf):
     return xp.attacked(points, weights, bias, clip=None)  # the margin is wider than any step, so nothing flips
 
 
-@query("M10_fitted_model", "SELECT 'f' || j AS feature, CAST(j AS INT) AS j, 0.0::DOUBLE AS importance FROM range(64) t(j)")
+# Two 0/1 features tell four classes, so a permuted feature breaks just the rows whose donor has another value.
+@query("M10_fitted_model", sql("pts", """
+  WITH pick AS (SELECT id, class_id % 2 AS a, class_id // 2 % 2 AS b FROM pts ORDER BY md5('42|' || id), id LIMIT 2000),
+  o AS (SELECT r, id, a, b, row_number() OVER (PARTITION BY r ORDER BY id) AS own, row_number() OVER (PARTITION BY r ORDER BY md5('42|' || r || '|' || id), id) AS other FROM pick, range(5) t(r)),
+  d AS (SELECT avg(CASE WHEN o.a <> q.a THEN 1.0::DOUBLE ELSE 0 END) AS f0, avg(CASE WHEN o.b <> q.b THEN 1.0::DOUBLE ELSE 0 END) AS f1 FROM o JOIN o q ON q.r = o.r AND q.other = o.own),
+  i AS (SELECT 'f0' AS feature, CAST(0 AS INT) AS j, f0 AS v FROM d UNION ALL SELECT 'f1', 1, f1 FROM d)
+  SELECT model, feature, j, round(v, 6) AS importance FROM i, unnest(['HistGBM', 'LogReg', 'RF']) m(model)"""))
 def _m10_fitted(spark, sf):
-    weights, bias, points = _linear(spark, sf)
-    score = linear_scores(weights, bias)
-    return xp.permutation_importance(points, lambda x: argmax(score(x)), [f"f{j}" for j in range(64)])  # every feature tells the class
+    bits = [F.col("class_id") % 2, F.floor(F.col("class_id") / 2) % 2]
+    points = st.points(spark, sf).select("id", (bits[0] + 2 * bits[1]).cast("int").alias("class_id"), F.array(*[b.cast("double") for b in bits]).alias("features"))
+    points = cut_lineage(points)
+    vectors, rows = md.as_vectors(points), points.count()
+    found = [im.model_importance(make(rows).fit(vectors), points, ["f0", "f1"]).withColumn("model", F.lit(name)) for name, make in _ESTIMATORS.items()]
+    return reduce(DataFrame.unionByName, found).withColumn("importance", F.round("importance", 6))
 
 
 @query("M12_model_loop", "SELECT m AS model, 'test' AS split, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_macro, 1.0::DOUBLE AS f1_weighted FROM unnest(['HistGBM', 'LogReg', 'RF']) t(m)")
