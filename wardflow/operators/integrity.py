@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from fnmatch import fnmatch
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..sources.files import list_files, opened
 
 CHUNK = 8 * 1024 * 1024
 
@@ -24,48 +22,21 @@ def manifest(files: DataFrame) -> DataFrame:
 def manifest_of(spark: SparkSession, path: str, glob: str = "*", chunk: int = CHUNK) -> DataFrame:
     """`(path, sha256, size)` of the files under `path` whose name matches, of any size, empty ones too, in any depth of folders.
 
-    Executors list the folders, one level of all of them at a time, and then stream each file in pieces of `chunk`
-    bytes, so memory does not grow with a file. Any file system that Arrow can open will do. A file that
-    changes its size between the two is refused.
+    Executors list the folders (`sources.files.list_files`) and then stream each file in pieces of `chunk` bytes, so
+    memory does not grow with a file. A file that changes its size between the two is refused.
     """
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for folder in batch.column("path").to_pylist():
-                system, inside, prefix = _opened(folder)
-                found = [i for i in system.get_file_info(fs.FileSelector(inside)) if i.type != fs.FileType.File or fnmatch(i.base_name, glob)]
-                rows = [{"path": prefix + i.path, "length": i.size or 0, "folder": i.type == fs.FileType.Directory} for i in found]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_())]))
-
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
                 yield pa.RecordBatch.from_pylist([
                     {"path": file["path"], "sha256": _stream_digest(file["path"], file["length"], chunk), "size": file["length"]}])
 
-    width = spark.sparkContext.defaultParallelism * 4
-    folders, files = spark.createDataFrame([(path,)], "path string"), None
-    while not folders.isEmpty():
-        entries = cut_lineage(folders.repartition(width, "path").mapInArrow(listed, "path string, length bigint, folder boolean"))
-        here = entries.filter("NOT folder").select("path", "length")
-        files = here if files is None else files.unionByName(here)
-        folders = entries.filter("folder").select("path")
-    return files.repartition(width, "path").mapInArrow(hashed, "path string, sha256 string, size bigint")
-
-
-def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
-    """The file system of a path, the path inside it, and what to put before such a path to get the whole one."""
-    scheme, split, rest = path.partition(":")
-    if not split or "/" in scheme or scheme == "file":
-        inside = path if not split or "/" in scheme else "/" + rest.lstrip("/")
-        return fs.LocalFileSystem(), inside, "file:"
-    authority, _, inside = rest.lstrip("/").partition("/")
-    system, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
-    root = root.rstrip("/")  # the bucket, on file systems whose paths begin with it
-    return system, f"{root}/{inside}", f"{scheme}://" if root else f"{scheme}://{authority}"
+    files = list_files(spark, path, (glob,))
+    return files.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(hashed, "path string, sha256 string, size bigint")
 
 
 def _stream_digest(path: str, length: int, chunk: int) -> str:
-    system, inside, _ = _opened(path)
+    system, inside, _ = opened(path)
     digest, seen = hashlib.sha256(), 0
     with system.open_input_stream(inside, compression=None, buffer_size=0) as stream:
         while piece := stream.read(chunk):

@@ -39,7 +39,7 @@ def _s2scan(spark, sf):
     folder = st.scratch(spark, "files")
     sources = st.python_files(spark, sf).select(F.concat_ws(" ", "path", F.md5(F.col("content").cast("binary"))).alias("value"))
     sources.write.text(folder)
-    lines = fs.as_text(fs.read_files(spark, folder, "*.txt")).select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
+    lines = fs.as_text(fs.read_files(spark, folder, ("*.txt",))).select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
     return lines.select(F.split("line", " ")[0].alias("path"), F.split("line", " ")[1].alias("digest"))
 
 
@@ -110,6 +110,33 @@ def _s10(spark, sf):
     return fs.with_fixture_check(st.order_paths(spark, sf, "fixture"), "/data/fx").select("path", "file", "check")
 
 
+# Files of a project per supplier, written into nested folders; hidden, dependency and unrelated ones among them.
+def _below(path):
+    return F.regexp_extract(path, "/projects/(.*)$", 1)
+
+
+@query("S2_scan_folder", sql("prj", "SELECT path, md5(content) AS digest FROM prj WHERE suffix(path, '.py') OR suffix(path, '.ipynb')"))
+def _s2_folder(spark, sf):
+    return fs.read_sources(spark, st.projects(spark, sf)).select(_below("path").alias("path"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("S3_scan_folder", sql("prj", "SELECT path, md5(content) AS digest FROM prj WHERE suffix(path, '.ipynb') OR regexp_full_match(path, '.*/requirements[^/]*[.]txt')"))
+def _s3_folder(spark, sf):
+    return fs.read_install_inputs(spark, st.projects(spark, sf)).select(_below("path").alias("path"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("S4_scan_folder", sql("prj", "SELECT path FROM prj WHERE regexp_full_match(path, '.*/models/net[.](h5|keras)')"))
+def _s4_folder(spark, sf):
+    return fs.find_model_files(spark, st.projects(spark, sf)).select(_below("path").alias("path"))
+
+
+@query("S10_scan_folder", sql("prj", """
+  SELECT path AS file, split_part(path, '/', 1) AS "check" FROM prj WHERE (suffix(path, '.py') OR suffix(path, '.ipynb')) AND split_part(path, '/', 1) <> 'docs'"""))
+def _s10_folder(spark, sf):
+    root = st.projects(spark, sf)
+    return fs.with_fixture_check(fs.list_files(spark, root).select("path"), fs.whole_path(root)).select("file", "check")
+
+
 @query("K9_manifest", "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents")
 def _k9(spark, sf):
     return ig.manifest(_artifacts(spark, sf))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..dims import CHECKS, CLASSES, PROTECTED_HOSTS, RULES, SCENARIOS, SEVERITY_LADDER, TAXONOMY
 from ..session import ensure_checkpoint_dir
+from ..sources.files import opened
 
 NL, QUOTE = "chr(10)", "chr(39)"
 _LABELS = [label for labels in TAXONOMY.values() for label in labels] + [f"zeroday_{c}" for c in "abcd"]
@@ -341,6 +342,39 @@ def order_paths(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return _sql_select(table(spark, sf_dir, "orders"), f"{_MODEL_PATH if kind == 'model' else _FIXTURE_PATH} AS path")
 
 
+# A project per supplier: path and content of each of its files.
+_PROJECT = """CASE s_nationkey % 6 WHEN 0 THEN 'leakage' WHEN 1 THEN 'deserialization' WHEN 2 THEN 'secrets' WHEN 3 THEN 'supply_chain'
+  WHEN 4 THEN 'adversarial' ELSE 'docs' END || '/s' || s_suppkey"""
+_PROJECT_FILES = (
+    ("'/main.py'", "'x = ' || s_suppkey"), ("'/pkg/__init__.py'", "'y = ' || s_suppkey"), ("'/pkg/.hidden.py'", "s_name"), ("'/pkg/empty.py'", "''"),
+    ("'/notes/deep/run.ipynb'", "s_name || s_nationkey"), ("'/.venv/lib/run.ipynb'", "'run ' || s_suppkey"), ("'/notes/run.ipynb.bak'", "s_name"),
+    ("CASE s_suppkey % 3 WHEN 0 THEN '/requirements.txt' WHEN 1 THEN '/requirements-dev.txt' ELSE '/reqs.txt' END", "'lib==1.' || s_suppkey"),
+    ("CASE s_suppkey % 3 WHEN 0 THEN '/models/net.h5' WHEN 1 THEN '/models/net.keras' ELSE '/models/net.onnx' END", "s_name"),
+    ("'/node_modules/net.h5'", "s_name"),
+)
+
+
+def projects(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of all projects, their files written by the executors once per session."""
+    at = (spark.sparkContext.applicationId, sf_dir, "projects")
+    if at not in _STORED:
+        root = scratch(spark, "projects")
+
+        def write(batches):
+            for batch in batches:
+                for file in batch.to_pylist():
+                    system, inside, _ = opened(f"{root}/{file['path']}")
+                    system.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+                    with system.open_output_stream(inside, compression=None) as out:
+                        out.write(file["content"].encode())
+                yield batch.select(["path"])
+
+        files = F.array(*[F.struct(F.expr(f"{_PROJECT} || {p}").alias("path"), F.expr(c).alias("content")) for p, c in _PROJECT_FILES])
+        spread(table(spark, sf_dir, "supplier")).select(F.inline(files)).mapInArrow(write, "path string").count()
+        _STORED[at] = root
+    return _STORED[at]
+
+
 # Whole document texts, with a token of each format put behind those whose number asks for it.
 _PLANTED = f"""
   text || {NL} || CASE doc_id % 9
@@ -434,6 +468,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         + [(s[0], r, 0, len(s[1]), s[3], s[4], s[6]) for s in SCENARIOS for r in s[2]]
     ) + " t(scenario_id, rule_id, needed, n_required, baseline, name, narrative)"),
     "fxp": ((), f"SELECT {_FIXTURE_PATH} AS path FROM orders"),
+    "prj": ((), " UNION ALL ".join(f"SELECT {_PROJECT} || {p} AS path, {c} AS content FROM supplier" for p, c in _PROJECT_FILES)),
     "mdp": ((), f"SELECT {_MODEL_PATH} AS path FROM orders"),
 }
 
