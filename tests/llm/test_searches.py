@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from wardflow.llm import covertree, projected
+from wardflow.llm import blocks, covertree, projected
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, node int, v int, q int"
 
@@ -102,3 +102,36 @@ def test_chi_square():
     assert projected.chi_square(projected.chi_square_at(0.98)) == pytest.approx(0.98)
     draw = np.random.default_rng(1).normal(size=(200_000, projected.DIMENSIONS))
     assert abs(((draw**2).sum(1) < 8).mean() - projected.chi_square(8.0)) < 0.01
+
+
+def test_more_nodes_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr("wardflow.llm.blocks.BLOCK_ROWS", 10)
+    monkeypatch.setattr("wardflow.llm.blocks.LEAST_NODES", 4)
+    assert blocks.node_count(spark.range(1000)) == 200 and blocks.node_count(spark.range(3)) == 4
+    monkeypatch.setattr("wardflow.llm.blocks.MOST_NODES", 50)
+    assert blocks.node_count(spark.range(1000)) == 50
+    monkeypatch.setattr("wardflow.llm.blocks.ROUTES", 7)
+    x = vectors("clusters", 500)
+    assert collected(covertree.top_products(table(spark, x))) == products(x, np.arange(500), 50, 5)
+    got = collected(projected.nearest(table(spark, x)))
+    assert set(got) == {0, 100, 200, 300, 400} and all(len(found) == 10 for found in got.values())
+
+
+def test_meetings_lose_no_pair_that_matters():
+    draw = np.random.default_rng(3)
+    q, x = (vectors("clusters", n, seed=s).astype(np.float64) for n, s in ((300, 1), (2000, 2)))
+    middle = x[draw.choice(len(x), 40, replace=False)]
+    node = ((x[:, None] - middle) ** 2).sum(2).argmin(1)
+    radius = np.array([np.linalg.norm(x[node == n] - middle[n], axis=1).max() for n in range(40)])
+    bound = np.sort(q @ x.T, axis=1)[:, -5]
+    pairs = [pair for who, where in covertree.meetings(covertree.cover_tree(q), q, bound, middle, radius) for pair in zip(who.tolist(), where.tolist())]
+    must = {(int(a), int(node[b])) for a, b in zip(*np.nonzero(q @ x.T >= bound[:, None]))}
+    assert must <= set(pairs) and len(pairs) == len(set(pairs)) < 300 * 40 / 2
+
+
+def test_shared_ids_and_vectors_of_other_lengths(spark):
+    """Rows with the query's id are its own, one of them asks (whose bytes are least); missing components count as 0."""
+    rows = [(0, [2.0, 1.0]), (0, [1.0]), (1, [3.0]), (2, [0.5, 0.5, 9.0]), (3, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 0, 1, 1, 1) for r in rows], SCHEMA)
+    assert collected(covertree.top_products(df)) == {0: [(1, 1, 3 << 16), (2, 3, 1 << 16), (3, 2, 1 << 15)]}
+    assert [(r, v) for r, v, _ in collected(projected.nearest(df))[0]] == [(1, 1), (2, 3), (3, 2)]  # (2, 1) asks; a tie

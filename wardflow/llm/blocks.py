@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 BLOCK_ROWS = 8192  # rows of a block, and queries of a group that meets a block, on average at most
+LEAST_NODES, MOST_NODES = 64, 4096  # nodes above the blocks: about two a block, so that blocks lie close together in space
+ROUTES = 16_384  # routes of queries to blocks that a task holds at once
 
 
 def usable(rows: DataFrame, zero: bool) -> DataFrame:
@@ -49,6 +51,11 @@ def fitted_width(x: np.ndarray, width: int) -> np.ndarray:
     return x[:, :width] if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
+def node_count(rows: DataFrame) -> int:
+    """Nodes for a table of so many rows; beyond MOST_NODES blocks of rows a node falls into several blocks."""
+    return min(MOST_NODES, max(LEAST_NODES, -(-2 * rows.count() // BLOCK_ROWS)))
+
+
 def sample(rows: DataFrame, n: int) -> np.ndarray:
     """At most `n` vectors, chosen by a hash of the id, on the driver."""
     order = F.xxhash64("vec_id")
@@ -78,16 +85,28 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(size), "node").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))  # one row per node
 
 
-def search(data: DataFrame, routed: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def routed(asked: pd.DataFrame, who: np.ndarray, where: np.ndarray, names: np.ndarray, subs: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows that send query `who[i]` of `asked` to all blocks of node `names[where[i]]` but the one it has searched."""
+    step = max(1, ROUTES // max(1, int(subs.max(initial=1))))
+    for at in range(0, len(who), step):
+        w, n = who[at:at + step], where[at:at + step]
+        count = subs[n]
+        w, node = np.repeat(w, count), np.repeat(names[n], count)
+        sub = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
+        new = (node != asked["node"].to_numpy()[w]) | (sub != asked["sub"].to_numpy()[w])
+        yield asked.iloc[w[new]].assign(node=node[new].astype(np.int32), sub=sub[new].astype(np.int32))
+
+
+def search(data: DataFrame, routes: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Run a search in every block with the queries routed to it (query_id, q, bound, node, sub).
 
     A block that more than BLOCK_ROWS queries visit is copied for each group of so many; blocks without visitors
     are not moved.
     """
-    groups = routed.groupBy("node", "sub").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("groups"))
+    groups = routes.groupBy("node", "sub").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("groups"))
     keys = ["node", "sub", "group"]
     left = data.join(groups, ["node", "sub"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(*keys, "vec_id", "v", "numbers")
-    right = routed.join(groups, ["node", "sub"]).withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).select(*keys, "query_id", "q", "bound")
+    right = routes.join(groups, ["node", "sub"]).withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).select(*keys, "query_id", "q", "bound")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 

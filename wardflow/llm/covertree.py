@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,11 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best, fitted_width, in_blocks, matrix, merge, placed, sample, search, usable
+from .blocks import best, fitted_width, in_blocks, matrix, merge, node_count, placed, routed, sample, search, usable
 from .common import saved
 
-NODES = 64  # nodes of the level above the blocks, around a sample of so many vectors
 LEAF = 64
+ROWS = 1024  # rows whose distances to all centres are held at once
 SCALE = 256
 LOW = -np.inf
 EXACT = 2.0**53
@@ -117,27 +118,55 @@ class Search:
         })
 
 
-def top_products(rows: DataFrame, every: int = 50, k: int = 5, nodes: int = NODES) -> DataFrame:
+def meetings(
+    queries: Node, q: np.ndarray, bound: np.ndarray, middle: np.ndarray, radius: np.ndarray, nodes: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries and nodes of rows that have to meet, as pairs of indices: the upper part of the dual-tree search.
+
+    A pair of a query group and a node is left out if no product of theirs reaches the group's worst kth score, `bound`;
+    what is left goes on to the groups below, and to the single queries of the last ones.
+    """
+    nodes = np.arange(len(middle)) if nodes is None else nodes
+    size, far, own = np.linalg.norm(middle[nodes], axis=1), radius[nodes], np.linalg.norm(queries.centre)
+    most = middle[nodes] @ queries.centre + queries.radius * size + far * own + far * queries.radius
+    most += 1e-9 * (own + queries.radius) * (size + far)
+    kept = most >= bound[queries.points].min()
+    nodes, size, far = nodes[kept], size[kept], far[kept]
+    if not len(nodes):
+        return
+    for child in queries.children:
+        yield from meetings(child, q, bound, middle, radius, nodes)
+    if not queries.children:
+        one = q[queries.points]
+        length = np.linalg.norm(one, axis=1)[:, None]
+        who, where = np.nonzero(one @ middle[nodes].T + far * length + 1e-9 * length * (size + far) >= bound[queries.points][:, None])
+        yield queries.points[who], nodes[where]
+
+
+def top_products(rows: DataFrame, every: int = 50, k: int = 5, nodes: int | None = None) -> DataFrame:
     """For each row whose id is divisible by `every`, the k highest inner products with other rows, exactly.
 
     Components count as floor(256 * x). Rows are dealt to the nearest of a sample of vectors (a node with its
-    covering radius), nodes to blocks of bounded size. Every query first searches one block of the node whose
-    centre promises most; then each other node is left out if no product with a point of it can reach the
-    query's kth score. In a block the queries and the rows are both put into cover trees and searched together.
+    covering radius; more nodes for more rows, by `node_count`, unless told), nodes to blocks of bounded size. Every query
+    first searches one block of the node whose centre promises most. Then the queries are put into cover trees, and a
+    group of them and a node are kept apart if no product of theirs can reach the group's worst kth score. In a block
+    the queries sent to it and the rows are both put into cover trees and searched together.
 
     Null ids and vectors, and vectors with null or non-finite components, take no part. Rows that share the
-    query's id are its own and no candidates; of query rows with one id the smallest vector counts. Shorter
+    query's id are its own and no candidates; of query rows with one id that with the least packed bytes counts. Shorter
     vectors count as filled up with zeros. Scores beyond 64 bits are cut to the range. Ties go to the smaller id.
     """
     kept = usable(rows, zero=True)
-    centres = np.floor(SCALE * sample(kept, nodes))
+    centres = np.floor(SCALE * sample(kept, nodes or node_count(rows)))
     width = centres.shape[1]
 
     def nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat = fitted_width(x, max(width, x.shape[1]))
         middle = fitted_width(centres, flat.shape[1])
-        away = (flat**2).sum(1)[:, None] + (middle**2).sum(1) - 2 * flat @ middle.T
-        node = away.argmin(axis=1)
+        node = np.zeros(len(flat), np.int64)
+        for at in range(0, len(flat), ROWS):
+            part = flat[at:at + ROWS]
+            node[at:at + ROWS] = ((middle**2).sum(1) - 2 * part @ middle.T).argmin(axis=1)
         return node, np.linalg.norm(flat - middle[node], axis=1)[:, None]
 
     if not len(centres):
@@ -145,8 +174,9 @@ def top_products(rows: DataFrame, every: int = 50, k: int = 5, nodes: int = NODE
     known = in_blocks(placed(kept, nearest, lambda x: np.floor(SCALE * x)))
     radii = {r["node"]: (r["radius"], r["subs"]) for r in known.groupBy("node").agg(F.max(F.col("numbers")[0]).alias("radius"), F.first("subs").alias("subs")).collect()}
     names = np.array(sorted(radii))
-    middle, radius = centres[names], np.array([radii[n][0] for n in names.tolist()])
-    queries = known.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    middle, radius, subs = centres[names], np.array([radii[n][0] for n in names.tolist()]), np.array([radii[n][1] for n in names.tolist()])
+    own = known.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("v", "node")).alias("o"))
+    queries = own.select("query_id", F.col("o.v").alias("q"), F.col("o.node").alias("home"))
 
     def promising(frames):
         for f in frames:
@@ -157,18 +187,13 @@ def top_products(rows: DataFrame, every: int = 50, k: int = 5, nodes: int = NODE
 
     def reachable(frames):
         for f in frames:
-            out = []
-            for r in f.itertuples():
-                q = fitted_width(np.frombuffer(r.q)[None], max(width, len(r.q) // 8))
-                flat = fitted_width(middle, q.shape[1])
-                size = np.linalg.norm(q)
-                most = (flat @ q[0]) + radius * size
-                most += 1e-9 * size * (np.linalg.norm(flat, axis=1) + radius)
-                for n in names[most >= r.bound].tolist():
-                    out += [(r.query_id, r.q, n, s, r.bound) for s in range(radii[n][1]) if (n, s) != (r.node, r.sub)]
-            yield pd.DataFrame(out, columns=["query_id", "q", "node", "sub", "bound"])
-
-    schema = "query_id bigint, q binary, node int, sub int, bound double"
+            if len(f):
+                q = matrix(f["q"])
+                q = fitted_width(q, max(width, q.shape[1]))
+                for who, where in meetings(cover_tree(q), q, f["bound"].to_numpy(float), fitted_width(middle, q.shape[1]), radius):
+                    yield from routed(f, who, where, names, subs)
+
+    schema = "query_id bigint, q binary, home int, node int, sub int, bound double"
     first_routes = saved(queries.mapInPandas(promising, schema))
 
     def block(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -180,5 +205,6 @@ def top_products(rows: DataFrame, every: int = 50, k: int = 5, nodes: int = NODE
     first = saved(search(known, first_routes, block, result))
     reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     bounds = first_routes.drop("bound").join(reached, "query_id", "left").withColumn("bound", F.when(F.col("n") >= k, F.col("least").cast("double")).otherwise(F.lit(LOW)))
-    second = search(known, bounds.select("query_id", "q", "node", "sub", "bound").mapInPandas(reachable, schema), block, result)
+    near = bounds.select("query_id", "q", "home", "node", "sub", "bound").repartitionByRange("home", "query_id")  # a batch holds queries that lie close
+    second = search(known, near.sortWithinPartitions("home").mapInPandas(reachable, schema), block, result)
     return best(first.unionByName(second).distinct(), k, [F.desc("score")]).select("query_id", "rank", "vec_id", "score")

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best, fitted_width, in_blocks, matrix, merge, placed, sample, search, usable
+from .blocks import best, fitted_width, in_blocks, matrix, merge, node_count, placed, routed, sample, search, usable
 from .common import saved
 
 DIMENSIONS = 8  # of the projection; even, so that the chi-square distribution is a finite sum
-DEPTH, SAMPLE = 6, 4096  # levels of the tree above the blocks, and the vectors they are fitted on
+SAMPLE = 4  # vectors, for each cell of the tree above the blocks, that this tree is fitted on
 LEAF = 32
+ASKED = 256  # queries whose distances to all cells are held at once
 SURE = 0.98
 
 
@@ -116,23 +117,24 @@ def nearest_in_block(
 def nearest(rows: DataFrame, every: int = 100, k: int = 10, sure: float = SURE, seed: int = 8) -> DataFrame:
     """For each row whose id is divisible by `every`, the k nearest other rows found, by Euclidean distance.
 
-    All rows are projected on DIMENSIONS random Gaussian directions. The upper levels of a kd-tree, fitted on
-    at most SAMPLE projected vectors, deal them to cells, cells to blocks of bounded size; each block has a
+    All rows are projected on DIMENSIONS random Gaussian directions. The upper levels of a kd-tree, more for more rows
+    (`node_count`) and fitted on SAMPLE projected vectors a cell, deal them to cells, cells to blocks of bounded size; each block has a
     kd-tree of its own. Every query first searches its own block, which gives an upper bound for its kth
     distance. Then it visits the other blocks that the chi-square test does not rule out. Projected neighbours
     are verified with exact distances of the whole vectors until the test stops.
 
     Null ids and vectors, zero vectors, and vectors with null or non-finite components take no part. Rows that
-    share the query's id are its own and no candidates; of query rows with one id the smallest vector counts.
+    share the query's id are its own and no candidates; of query rows with one id that with the least packed bytes counts.
     Shorter vectors count as filled up with zeros. Ties go to the smaller id.
     """
     kept = usable(rows, zero=False)
-    drawn = sample(kept, SAMPLE)
+    depth = (node_count(rows) - 1).bit_length()
+    drawn = sample(kept, max(4096, SAMPLE << depth))
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(drawn):
         return rows.sparkSession.createDataFrame([], empty)
     directions = np.random.default_rng(seed).normal(size=(drawn.shape[1], DIMENSIONS))
-    splits, reach = kd_splits(drawn @ directions, DEPTH), chi_square_at(sure)
+    splits, reach = kd_splits(drawn @ directions, depth), chi_square_at(sure)
 
     def project(x: np.ndarray) -> np.ndarray:
         if x.shape[1] <= len(directions):
@@ -142,7 +144,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, sure: float = SURE,
 
     def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = project(x)
-        return cell_of(low, splits, DEPTH), low
+        return cell_of(low, splits, depth), low
 
     known = in_blocks(placed(kept, cells, lambda x: x))
     axes = range(DIMENSIONS)
@@ -150,7 +152,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, sure: float = SURE,
         F.first("subs").alias("subs"), *[F.min(F.col("numbers")[i]).alias(f"a{i}") for i in axes], *[F.max(F.col("numbers")[i]).alias(f"b{i}") for i in axes]
     ).collect()  # one row per cell
     names = np.array([r["node"] for r in boxes])
-    subs = {r["node"]: r["subs"] for r in boxes}
+    subs = np.array([r["subs"] for r in boxes])
     low, high = (np.array([[r[f"{side}{i}"] for i in axes] for r in boxes]) for side in "ab")
     own = known.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("v", "node", "sub")).alias("o"))
     queries = own.select("query_id", F.col("o.v").alias("q"), F.lit(float("inf")).alias("bound"), F.col("o.node").alias("node"), F.col("o.sub").alias("sub"))
@@ -169,17 +171,15 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, sure: float = SURE,
 
     def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            if len(f):
-                away = box_distances(project(matrix(f["q"])), low, high)
-                for r, row in zip(f.itertuples(), away):
-                    for n in names[~(row > reach * r.bound**2)].tolist():
-                        out += [(r.query_id, r.q, r.bound, n, s) for s in range(subs[n]) if (n, s) != (r.node, r.sub)]
-            yield pd.DataFrame(out, columns=["query_id", "q", "bound", "node", "sub"])
+            for at in range(0, len(f), ASKED):
+                part = f.iloc[at:at + ASKED]
+                away = box_distances(project(matrix(part["q"])), low, high)
+                who, where = np.nonzero(~(away > reach * part["bound"].to_numpy(float)[:, None] ** 2))
+                yield from routed(part, who, where, names, subs)
 
     result = "query_id bigint, vec_id bigint, score double"
     first = saved(search(known, queries, block, result))
     reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("most"))
     bounds = queries.drop("bound").join(reached, "query_id", "left").withColumn("bound", F.when(F.col("n") >= k, F.col("most")).otherwise(F.lit(float("inf"))))
-    routed = bounds.select("query_id", "q", "bound", "node", "sub").mapInPandas(others, "query_id bigint, q binary, bound double, node int, sub int")
-    return best(first.unionByName(search(known, routed, block, result)).distinct(), k, [F.col("score")]).select("query_id", "rank", "vec_id", "score")
+    routes = bounds.select("query_id", "q", "bound", "node", "sub").mapInPandas(others, "query_id bigint, q binary, bound double, node int, sub int")
+    return best(first.unionByName(search(known, routes, block, result)).distinct(), k, [F.col("score")]).select("query_id", "rank", "vec_id", "score")
