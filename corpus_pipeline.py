@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _only(docs: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
-    """The documents whose id is decided to stay; a null id is an id like others."""
+    """The documents whose id is decided to stay, all rows of an id if any of them is; a null id is an id like others."""
     ids = decided.filter(keep).select("doc_id").distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(*COLUMNS)
 
