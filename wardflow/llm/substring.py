@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, powers, stored, text_bytes, text_slices, words
+from .common import drop, mix64, powers, stored, text_bytes, text_slices, words
 from .near import filter_of, link_groups, may_hold, permuted, sieve
 
 BANDS, ROWS, WIDTH, PERCENT = 6, 2, 5, 75  # a pair at 0.75 shares a band with probability 0.993, one at 0.85 with 0.9996
@@ -150,43 +150,59 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint")
 
 
-def _around(part: pa.RecordBatch, held: np.ndarray) -> pa.RecordBatch:
-    data, starts, first, end, doc, grams, a, b, chosen = _marked(part)
+def _around(part: pa.RecordBatch, held: np.ndarray) -> tuple:
+    """What `_marked` gives, and which fingerprints lie less than a window away from a chosen one that `held` lets through."""
+    marked = _marked(part)
+    *_, doc, grams, a, b, chosen = marked
     hits = np.flatnonzero(chosen)
     hits = hits[may_hold(held, pa.array(grams[hits].view(np.int64)))]
     edge = np.zeros(len(grams) + 1, np.int64)
     np.add.at(edge, np.maximum(hits - WINDOW + 1, a[doc[hits]]), 1)
     np.add.at(edge, np.minimum(hits + WINDOW, b[doc[hits]]), -1)
-    at = np.flatnonzero(np.cumsum(edge))
-    points = _points(data)
-    origin = points[starts[doc[at]]]
-    order = np.lexsort((at, grams[at], doc[at]))
-    once = np.ones(len(at), bool)
-    once[order[1:]] = (np.diff(doc[at][order]) != 0) | (grams[at][order][1:] != grams[at][order][:-1])
-    of_text = np.zeros(len(starts), np.int64)
-    for d in np.unique(doc[at]):
-        of_text[d] = int.from_bytes(hashlib.blake2b(data[starts[d]:starts[d + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
-    return pa.RecordBatch.from_arrays(
-        [
-            part.column("doc_id").take(pa.array(doc[at])), pa.array(of_text[doc[at]]), pa.array((at - a[doc[at]]).astype(np.int64)),
-            pa.array(points[first[at]] - origin), pa.array(points[end[at + RUN_WORDS - 1]] - origin), pa.array(grams[at].view(np.int64)), pa.array(once),
-        ],
-        names=["doc_id", "text_id", "at", "start", "end", "node", "once"],
-    )
+    return marked, np.flatnonzero(np.cumsum(edge))
+
+
+def nodes_around(docs: DataFrame, held: np.ndarray) -> DataFrame:
+    """The distinct fingerprints of each text that lie around a chosen one that the filter `held` lets through."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                (*_, doc, grams, _, _, _), at = _around(part, held)
+                at = at[np.lexsort((grams[at], doc[at]))]
+                once = np.ones(len(at), bool)
+                once[1:] = (np.diff(doc[at]) != 0) | (grams[at][1:] != grams[at][:-1])
+                at = at[once]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[at])), pa.array(grams[at].view(np.int64))], names=["doc_id", "node"])
 
-def around(docs: DataFrame, held: np.ndarray) -> DataFrame:
-    """Every fingerprint less than a window away from a chosen one that the filter `held` lets through.
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint")
 
-    `at` is its place in the text; `once` holds for the first among a text's equal ones.
+
+def around(docs: DataFrame, held: np.ndarray, shared: np.ndarray) -> DataFrame:
+    """The fingerprints that `nodes_around` finds and the filter `shared` lets through, wherever they stand.
+
+    `at` is the place in the text; texts are looked at anew, since that costs less than to keep every place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                yield _around(part, held)
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text_id bigint, at bigint, start bigint, end bigint, node bigint, once boolean")
+                (data, starts, first, end, doc, grams, a, _, _), at = _around(part, held)
+                at = at[may_hold(shared, pa.array(grams[at].view(np.int64)))]
+                points = _points(data)
+                origin = points[starts[doc[at]]]
+                of_text = np.zeros(len(starts), np.int64)
+                for d in np.unique(doc[at]):
+                    of_text[d] = int.from_bytes(hashlib.blake2b(data[starts[d]:starts[d + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").take(pa.array(doc[at])), pa.array(of_text[doc[at]]), pa.array((at - a[doc[at]]).astype(np.int64)),
+                        pa.array(points[first[at]] - origin), pa.array(points[end[at + RUN_WORDS - 1]] - origin), pa.array(grams[at].view(np.int64)),
+                    ],
+                    names=["doc_id", "text_id", "at", "start", "end", "node"],
+                )
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text_id bigint, at bigint, start bigint, end bigint, node bigint")
 
 
 def _repeated(rows: DataFrame, *more: Column) -> DataFrame:
@@ -217,12 +233,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """Runs of words that occur in another document too, exact to the word but for stubs.
 
     Two documents that share RUN_WORDS + WINDOW - 1 words in a row share a chosen fingerprint in each window of them
-    (winnowing). All fingerprints around the shared chosen ones are then looked up, and those that other documents
-    have, one after another with the same least document, make a run.
+    (winnowing). All fingerprints around the shared chosen ones are then counted, without their places, and those that
+    other documents have, one after another with the same least document, make a run.
     """
-    near = stored(around(docs, filter_of(stored(_repeated(fingerprints(docs)).select("node")))))
-    shared = stored(_repeated(near, F.sum(F.col("once").cast("int")).alias("n")))
-    found = _without_stubs(sieve(near.drop("once"), filter_of(shared)).join(shared, "node").repartition("doc_id"))
+    chosen = stored(_repeated(fingerprints(docs)).select("node"))
+    held = filter_of(chosen)
+    shared = stored(_repeated(nodes_around(docs, held), F.count("*").alias("n")))
+    drop(chosen)
+    found = _without_stubs(around(docs, held, filter_of(shared)).join(shared, "node").repartition("doc_id"))
     place = Window.partitionBy("doc_id", "text_id").orderBy("at")
     before = lambda c: F.lag(c).over(place)
     goes_on = (F.col("at") - before("at") <= 1) & (F.col("component_id") == before("component_id")) & (F.col("removed") == before("removed"))
@@ -285,4 +303,6 @@ def repeated_passages(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, wid
         "doc_id", "start", "end", "n_words", F.lit(True).alias("paragraph"), "component_id",
         ((F.col("doc_id") != F.col("component_id")) | (F.col("start") != F.col("first"))).alias("removed"),
     )
+    alike = stored(alike)
+    drop(known, per_node, of_node)
     return alike.unionByName(repeated_runs(docs))
