@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import CLASSES
-from ..functions.vectors import argmax, linear_scores
 from ..operators import explain as xp
 from ..operators import flows as fl
 from ..operators import forest as fo
@@ -259,8 +258,7 @@ _IMPORTANCE = f"""{_UNNEST},
 def _importance(spark, sf):
     points = st.points(spark, sf)
     weights, bias = centroid_model(points)
-    score = linear_scores(weights, bias, softmax=False)
-    found = xp.permutation_importance(points, lambda x: argmax(score(x)), [f"f{j}" for j in range(len(weights[0]))])
+    found = im.linear_importance(points, weights, bias, [f"f{j}" for j in range(len(weights[0]))])
     return found.withColumn("importance", F.round("importance", 6))
 
 
