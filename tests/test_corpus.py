@@ -248,3 +248,22 @@ def test_file_scan(spark, tmp_path):
         "supply_chain": "ok", "deserialization": "ok", "secrets": "ok", "leakage": "ok", "adversarial": "not_run"}
     assert [(r["path"].rsplit("/", 1)[1], r["reason"]) for r in unreadable.collect()] == [("latin.py", "not UTF-8")]
     assert [r["path"].rsplit("/", 1)[1] for r in find_model_files(spark, str(tmp_path)).collect()] == ["m.keras"]
+
+
+def test_copies_of_a_text_are_parsed_once(monkeypatch):
+    import pyarrow as pa
+
+    from wardflow.operators import callsites as cs
+
+    seen = []
+    monkeypatch.setattr(cs, "call_sites", lambda text, wanted: seen.append(text) or call_sites(text, wanted))
+    fit, load, broken, long = "s.fit(X_test)", "import joblib as j\nj.load(f)", "def (:  # fit", "s.fit(X)  #" + "x" * cs.REMEMBERED_LENGTH
+    texts = [fit, load, fit, None, broken, "", fit, long, long, broken]
+    for wanted in (frozenset(), frozenset({"*"})):
+        seen.clear()
+        got = cs.facts_of(pa.array(texts), wanted).to_pylist()
+        assert sorted(seen) == sorted([fit, load, broken, long])
+        assert got == [None if t == broken else [] if not t else cs.facts_of(pa.array([t]), wanted).to_pylist()[0] for t in texts]
+        assert [f["qualified_name"] for f in got[1]] == ["joblib.load"] and got[0][0]["first_arg_name"] == "X_test"
+        cs.facts_of(pa.array([load, fit]), wanted)
+        assert load not in seen[-2:]  # remembered from the batch before
