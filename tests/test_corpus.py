@@ -267,3 +267,28 @@ def test_copies_of_a_text_are_parsed_once(monkeypatch):
         assert [f["qualified_name"] for f in got[1]] == ["joblib.load"] and got[0][0]["first_arg_name"] == "X_test"
         cs.facts_of(pa.array([load, fit]), wanted)
         assert load not in seen[-2:]  # remembered from the batch before
+
+
+def test_all_checks_together_parse_once(spark):
+    from wardflow.plans.audit import run_checks
+
+    files = spark.createDataFrame([(f, c) for f, (c, _) in CORPUS.items()], "path string, content string")
+    found = run_checks(files)
+    each = rules.union_findings(*[run(files) for run in CHECK_RUNNERS.values()])
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(found) == key(each) and key(run_checks(files, ["leakage"])) == key(CHECK_RUNNERS["leakage"](files))
+    assert found._jdf.queryExecution().analyzed().toString().count("parse(") == 1
+
+
+def test_fixtures_are_scanned_for_their_own_check_only(spark):
+    from wardflow.plans.audit import corpus_hits
+
+    rows = [(check, f"{check}.ipynb", notebook("!pip install a\nimport joblib\nm = joblib.load('f')\ns.fit(X_test)\nt = '" + GH + "'"), check)
+            for check in ("supply_chain", "deserialization", "secrets", "leakage", "adversarial")]
+    files = spark.createDataFrame(rows, "name string, path string, content string, check string")
+    hits = {}
+    for r in corpus_hits(files, check="check").collect():
+        hits.setdefault(r["path"].split(".")[0], set()).add(r["rule_id"].split(".")[0])
+    by_line, parsed = {"supply_chain", "secrets"}, {"deserialization", "leakage", "ml-hygiene"}
+    assert hits["supply_chain"] == hits["secrets"] == by_line and "adversarial" not in hits
+    assert hits["leakage"] == hits["deserialization"] <= parsed and {"deserialization", "leakage"} <= hits["leakage"]

@@ -12,7 +12,7 @@ from .audit import corpus_hits
 
 def fixture_findings(fixtures: DataFrame) -> DataFrame:
     """`(file, check, rule_id)` of fixtures `(file, check, content)`: each runs its own check only."""
-    hits = rules.as_findings(rules.dedupe_hits(corpus_hits(fixtures.select(F.col("file").alias("path"), "content"))))
+    hits = rules.as_findings(rules.dedupe_hits(corpus_hits(fixtures.select(F.col("file").alias("path"), "content", "check"), check="check")))
     own = fixtures.select("file", "check")
     return hits.select("file", "check", "rule_id").join(own, ["file", "check"], "left_semi")
 

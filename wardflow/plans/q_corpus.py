@@ -542,8 +542,7 @@ def _l1(spark, sf):
 @query("U1_check_registry", sql("nb nbok py", f"""
   WITH a AS ({_AUDIT}) SELECT CASE WHEN starts_with(rule_id, 'ml-hygiene') THEN 'leakage' ELSE split_part(rule_id, '.', 1) END AS "check", rule_id, count(*) AS findings FROM a GROUP BY 1, 2"""))
 def _u1(spark, sf):
-    files = _corpus(spark, sf)
-    found = rl.union_findings(*[run(files).select("check", "rule_id") for run in au.CHECK_RUNNERS.values()])
+    found = au.run_checks(_corpus(spark, sf))
     return found.groupBy("check", "rule_id").agg(F.count("*").alias("findings"))
 
 
