@@ -102,3 +102,15 @@ def test_oversampling_over_the_forest(spark, wide):
         _table(spark, x, labels), 3, search=lambda p, k, **a: fo.forest_neighbours(p, k, recall=0.9, leaf_rows=128, **a).neighbours)
     counts = {(r["class_id"]): r["count"] for r in made.groupBy("class_id").count().collect()}
     assert counts[0] == counts[1] == max((labels == 0).sum(), (labels == 1).sum())
+
+
+def test_recall_is_reached_where_the_trees_do_not_suffice(spark, monkeypatch):
+    """Without structure, small leaves miss neighbours: leaves double, and after the last tree the exact search answers."""
+    monkeypatch.setattr(fo, "MAX_TREES", 8)
+    x, labels = np.random.default_rng(3).normal(size=(1200, 64)), np.zeros(1200, int)
+    result = fo.forest_neighbours(_table(spark, x, labels), 3, recall=0.99, leaf_rows=16, probes=50)
+    rows = result.neighbours.collect()
+    assert result.recall >= 0.99 and result.trees == 8 and len(rows) == 3600 and _true_recall(x, labels, rows, 3) == 1.0
+    monkeypatch.setattr(fo, "MAX_TREES", 64)
+    result = fo.forest_neighbours(_table(spark, x, labels), 3, recall=0.99, leaf_rows=16, probes=50)
+    assert 8 < result.trees < 64 and result.recall >= 0.99 and _true_recall(x, labels, result.neighbours.collect(), 3) >= 0.95

@@ -20,7 +20,7 @@ from ..schemas import NEIGHBOUR
 from ..session import cut_lineage
 from .neighbours import _nearest_in_block, nearest_neighbours
 
-LEAF_ROWS = 1024
+LEAF_ROWS, LARGEST_LEAF = 1024, 8192
 BITS = 4  # cuts of a node in one round, each by a projection of its own
 PROBES = 256  # rows whose exact neighbours the recall is measured on
 BATCH, MAX_TREES = 4, 64
@@ -127,14 +127,17 @@ def measured_recall(found: DataFrame, exact: DataFrame) -> float:
 
 def forest_neighbours(
     points: DataFrame, k: int, recall: float = 0.9, visitors: DataFrame | None = None, leaf_rows: int = LEAF_ROWS,
-    probes: int = PROBES, max_trees: int = MAX_TREES, seed: int = DEFAULT_SEED,
+    probes: int = PROBES, max_trees: int | None = None, seed: int = DEFAULT_SEED,
 ) -> ForestResult:
     """`(id, neighbour_id, place, distance)` with the recall asked for, for `(id, class_id, features)` of finite numbers.
 
     Trees are added in batches until `probes` visitors, picked by hash, find `recall` of their exact neighbours; their
     exact search costs (probes x rows). Distances are exact, ids are unique, ties go to the smaller id among those
-    found, rows of a class with fewer than k others have fewer neighbours. Where `max_trees` do not reach the recall,
-    this raises instead of giving a worse result: ask for more trees, larger leaves or the exact search.
+    found, rows of a class with fewer than k others have fewer neighbours.
+
+    After each batch that falls short, leaves double up to LARGEST_LEAF, so what a tree finds keeps up with classes that
+    grow. Where `max_trees` do not reach the recall, the exact search answers (visitors x class members, in bounded
+    blocks). A `max_trees` of the caller's choice is a limit of the cost: there this raises instead.
     """
     if leaf_rows < 2 * (k + 1):
         raise ValueError(f"leaves of {leaf_rows} rows are too small for {k} neighbours")
@@ -146,11 +149,11 @@ def forest_neighbours(
     picked = cut_lineage(asked.orderBy(hash_hex(f"{seed}-probe", F.col("id")), "id").limit(probes))
     exact = cut_lineage(nearest_neighbours(points, k, visitors=picked, seed=seed))
     largest = points.groupBy("class_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    rounds = ceil(max(1.0, log2(max(2.0, largest / leaf_rows))) / BITS) + 1  # one more for uneven cuts
     found: DataFrame | None = None
-    reached, trees = 0.0, 0
-    while trees < max_trees:
-        batch = range(trees, min(trees + BATCH, max_trees))
+    reached, trees, most = 0.0, 0, MAX_TREES if max_trees is None else max_trees
+    while trees < most:
+        batch = range(trees, min(trees + BATCH, most))
+        rounds = ceil(max(1.0, log2(max(2.0, largest / leaf_rows))) / BITS) + 1  # one more for uneven cuts
         leaves = _leaves(_projected(points, batch, rounds * BITS, first["width"], seed), rounds, leaf_rows, seed)
         met = _met(points, None if visitors is None else asked, leaves, k)
         found = cut_lineage(_best(met if found is None else met.unionByName(found.select("id", "neighbour_id", "distance")), k))
@@ -158,4 +161,8 @@ def forest_neighbours(
         reached = measured_recall(found.join(picked.select("id"), "id", "left_semi"), exact)
         if reached >= recall:
             return ForestResult(found, reached, trees)
+        leaf_rows = max(leaf_rows, min(2 * leaf_rows, LARGEST_LEAF))
+    if max_trees is None:
+        near = nearest_neighbours(points, k, visitors=None if visitors is None else asked, seed=seed)
+        return ForestResult(cut_lineage(near), 1.0, trees)
     raise ValueError(f"{trees} trees reach a recall of {reached:.3f}, not {recall}; raise max_trees or leaf_rows, or search exactly")
