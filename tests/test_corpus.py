@@ -292,3 +292,34 @@ def test_fixtures_are_scanned_for_their_own_check_only(spark):
     by_line, parsed = {"supply_chain", "secrets"}, {"deserialization", "leakage", "ml-hygiene"}
     assert hits["supply_chain"] == hits["secrets"] == by_line and "adversarial" not in hits
     assert hits["leakage"] == hits["deserialization"] <= parsed and {"deserialization", "leakage"} <= hits["leakage"]
+
+
+def test_no_search_for_cycles_while_a_batch_is_read(monkeypatch):
+    """Documents and syntax trees hold none; the search is on again afterwards, whatever happened."""
+    import gc
+
+    import pyarrow as pa
+
+    from wardflow.operators import callsites as cs
+    from wardflow.sources import notebooks as nb
+
+    def looked(text, wanted):
+        seen.append(gc.isenabled())
+        if "broken" in text:
+            raise RuntimeError(text)
+        return call_sites(text, wanted)
+
+    seen, source = [], "import joblib\nm = joblib.load('never seen by another test')\n"
+    monkeypatch.setattr(cs, "call_sites", looked)
+    assert cs.facts_of(pa.array([source, None, source])).to_pylist()[0][0]["qualified_name"] == "joblib.load"
+    assert seen == [False] and gc.isenabled()
+    with pytest.raises(RuntimeError):
+        cs.facts_of(pa.array([source + "broken"]))
+    assert gc.isenabled()
+    gc.disable()
+    try:
+        with nb.without_cycle_search():
+            pass
+        assert not gc.isenabled()  # what the caller switched off stays off
+    finally:
+        gc.enable()

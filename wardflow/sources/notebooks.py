@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,22 @@ from ..schemas import NOTEBOOK
 _ARROW_NOTEBOOK = to_arrow_type(NOTEBOOK)
 
 
+@contextmanager
+def without_cycle_search() -> Iterator[None]:
+    """Python's search for reference cycles is off inside, for work on one batch that makes many objects and no cycles.
+
+    Documents and syntax trees are freed by their reference counts. The search would go through everything a worker
+    keeps, once for every few thousand objects made.
+    """
+    searched = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if searched:
+            gc.enable()
+
+
 def _valid(text: str) -> str:
     """Escapes may spell halves of surrogate pairs, which no UTF-8 text can hold."""
     try:
@@ -63,7 +82,8 @@ def read_notebook(content: str) -> dict:
 
 @F.arrow_udf(NOTEBOOK)
 def _read(contents: pa.Array) -> pa.Array:
-    return pa.array([None if c is None else read_notebook(c) for c in contents.to_pylist()], type=_ARROW_NOTEBOOK)
+    with without_cycle_search():
+        return pa.array([None if c is None else read_notebook(c) for c in contents.to_pylist()], type=_ARROW_NOTEBOOK)
 
 
 # The optimizer copies deterministic expressions into filters; a document is to be read once.
