@@ -323,3 +323,45 @@ def test_no_search_for_cycles_while_a_batch_is_read(monkeypatch):
         assert not gc.isenabled()  # what the caller switched off stays off
     finally:
         gc.enable()
+
+
+def test_reading_and_parsing_in_one_step_gives_the_facts_of_two(spark):
+    from wardflow.operators import callsites as cs
+    from wardflow.sources import notebooks as nb
+
+    def cells(*sources):
+        return json.dumps({"cells": [{"cell_type": "code", "source": s, "outputs": [{"text": "s.fit(X_test)"}]} for s in sources]})
+
+    contents = [
+        None, "", "{", "[]", "{}", '{"cells": 7}', cells(), cells("!pip install a\n  %time x\nimport joblib as j\r\nm = j.load('f')\n", ["y = [\n", 3, " 'a_label']"]),
+        cells("x = '\\ud800 fit'\ns.fit(X_test)"), cells("def (:  # fit"), cells("def (:"), cells("FİT = 'KOAD_'", "def ("), cells("s.FIT(", "!)"),
+        '{"cells": [{"cell_type": "markdown", "source": "s.fit(X)"}, {"cell_type": "code", "source": "s.fit(X)\\n%x"}, {"cell_type": "code", "source": 1}]}',
+    ]
+    files = spark.createDataFrame([(f"{i}.ipynb", c) for i, c in enumerate(contents)], "path string, content string")
+    key = lambda df: sorted((r["path"], str(r["cell_starts"]), str(r["facts"])) for r in df.collect())
+    apart = cs.with_call_sites(nb.with_module(files))
+    assert key(rules.notebook_facts(files)) == key(apart) and any(r["facts"] for r in apart.collect())
+    plain = files.withColumn("source_kind", F.lit("python"))
+    assert key(rules.corpus_facts(plain, [])) == key(cs.with_call_sites(plain, "content").withColumn("cell_starts", F.lit(None)))
+    assert rules.notebook_facts(files)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_a_fact_is_not_kept_with_all_facts_of_its_file(spark):
+    files = spark.createDataFrame([("a.ipynb", notebook("s.fit(X)\nX_train, X_test = train_test_split(X)"))], "path string, content string")
+    rows = rules.fact_rows(rules.notebook_facts(files))
+    assert [(r["ord"], r["split_line"]) for r in rows.collect()] == [(0, 2), (1, 2)]
+    exploded = [line for line in rows._jdf.queryExecution().executedPlan().toString().split("\n") if "Generate posexplode" in line]
+    assert len(exploded) == 1 and exploded[0].count("facts#") == 1
+
+
+def test_asking_for_one_rule_gives_its_findings(spark):
+    files = spark.createDataFrame([(f, c) for f, (c, _) in CORPUS.items()], "path string, content string")
+    typed = files.withColumn("source_kind", F.when(F.col("path").endswith(".ipynb"), "notebook").otherwise("python"))
+    facts = rules.corpus_facts(typed).cache()
+    everything = rules.call_site_findings(facts).collect()
+    known = sorted({r["rule_id"] for r in everything})
+    assert len(known) > 5
+    for rule in known:
+        alone = rules.call_site_findings(facts, only=[rule])
+        assert sorted(map(str, alone.collect())) == sorted(str(r) for r in everything if r["rule_id"] == rule)
+    assert not rules.call_site_findings(facts, only=[]).collect()

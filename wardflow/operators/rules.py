@@ -7,7 +7,7 @@ a join or a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -168,9 +168,8 @@ WANTED = pr.wanted_calls(SHIPPED)
 
 def notebook_facts(notebooks: DataFrame) -> DataFrame:
     """`(path, kind, cell_starts, facts)` of notebooks; cells are joined so imports carry over."""
-    return cs.with_call_sites(nb.with_module(notebooks)).select(
-        "path", F.lit("notebook").alias("source_kind"), "cell_starts", "facts"
-    )
+    read = notebooks.select("path", F.lit("notebook").alias("source_kind"), cs.document_facts(F.col("content"), F.lit(True)).alias("read"))
+    return read.select("path", "source_kind", "read.cell_starts", "read.facts")
 
 
 def python_facts(files: DataFrame) -> DataFrame:
@@ -182,24 +181,25 @@ def python_facts(files: DataFrame) -> DataFrame:
 
 def corpus_facts(files: DataFrame, declared: Sequence[pr.Rule] = SHIPPED) -> DataFrame:
     """Facts of a mixed corpus `(path, content, source_kind)` in one pass and one parse per file."""
-    is_notebook = F.col("source_kind") == "notebook"
-    code = nb.code_cells(F.when(is_notebook, F.col("content")))
-    joined = files.withColumn("code", code)
-    text = F.when(is_notebook, nb.module_text(F.col("code")))
-    return cs.with_call_sites(
-        joined.withColumn("cell_starts", nb.cell_starts(F.col("code"))).withColumn("module", F.when(is_notebook, text).otherwise(F.col("content"))),
-        wanted=pr.wanted_calls(declared),
-    ).select("path", "source_kind", "cell_starts", "facts")
+    read = cs.document_facts(F.col("content"), F.col("source_kind") == "notebook", pr.wanted_calls(declared))
+    return files.select("path", "source_kind", read.alias("read")).select("path", "source_kind", "read.cell_starts", "read.facts")
 
 
 def fact_rows(facts: DataFrame) -> DataFrame:
-    """One row per fact, with the file's earliest split line and dropped columns beside it."""
-    return facts.select(
+    """One row per fact, with the file's earliest split line and dropped columns beside it.
+
+    Both are found before the explode: beside it, Spark would keep all facts of the file in the row of each fact and
+    look through them for every one.
+    """
+    of_file = facts.select(
         "path", "source_kind", "cell_starts", cs.split_line(F.col("facts")).alias("split_line"),
-        cs.dropped_columns(F.col("facts")).alias("dropped"), F.posexplode_outer("facts").alias("ord", "f"),
-    ).filter(F.col("f").isNotNull())
+        cs.dropped_columns(F.col("facts")).alias("dropped"), "facts",
+    )
+    context = ("path", "source_kind", "cell_starts", "split_line", "dropped")
+    return of_file.select(*context, F.posexplode_outer("facts").alias("ord", "f")).filter(F.col("f").isNotNull())
 
 
+FIT_ON_TEST, FIT_BEFORE_SPLIT, LABEL_PROXY = "leakage.fit-on-test", "leakage.preprocessing-before-split", "leakage.label-proxy-feature"
 PICKLE_LOADERS = ("cPickle.load", "pickle.load", "pickle.loads")  # fixed values, sorted
 
 
@@ -207,10 +207,44 @@ def _is_true(fact: Column, keyword: str) -> Column:
     return F.coalesce(F.try_element_at(fact["kwargs"], F.lit(keyword)) == "True", F.lit(False))
 
 
+def _may_be(f: Column) -> Column:
+    """Names a callee may have; every import counts."""
+    return F.coalesce(F.split(f["qualified_name"], cs.ORIGINS), F.array().cast("array<string>"))
+
+
+def _call_conditions(f: Column, split: Column) -> dict[str, Column]:
+    """What each loader and leakage rule asks of a call."""
+    may_be, attr = _may_be(f), f["attr"]
+    fits = attr.isin(*cs.FIT_METHODS) & ~f["first_arg_is_literal"]
+    return {
+        "deserialization.unsafe-joblib-load": F.array_contains(may_be, "joblib.load"),
+        "deserialization.unsafe-pickle-load": F.arrays_overlap(may_be, F.array(*map(F.lit, PICKLE_LOADERS))),
+        "deserialization.unsafe-torch-load": F.array_contains(may_be, "torch.load") & ~_is_true(f, "weights_only"),
+        "deserialization.unsafe-numpy-load": F.array_contains(may_be, "numpy.load") & _is_true(f, "allow_pickle"),
+        FIT_ON_TEST: attr.isin("fit", "fit_transform") & tx.is_test_name(f["first_arg_name"]),
+        FIT_BEFORE_SPLIT: fits & (f["line_start"] < split),
+    }
+
+
+def _asked(rule: str, only: Collection[str] | None) -> bool:
+    return only is None or rule in only
+
+
+def may_hit(
+    f: Column, source_kind: Column, split: Column, declared: Sequence[pr.Rule] = SHIPPED, only: Collection[str] | None = None
+) -> Column:
+    """A cheap test in front of `call_site_hits`: no fact that fails it has a hit."""
+    kinds = sorted({kind for r in declared if _asked(r.id, only) for kind in r.kinds})
+    conditions = [F.coalesce(c, F.lit(False)) for rule, c in _call_conditions(f, split).items() if _asked(rule, only)]
+    of_call = reduce(Column.__or__, [*conditions, *([source_kind.isin(*kinds)] if kinds else [])], F.lit(False))
+    return F.when(f["kind"] == "call", of_call).otherwise(F.lit(_asked(LABEL_PROXY, only)))
+
+
 def call_site_hits(
-    f: Column, source_kind: Column, starts: Column, split: Column, dropped: Column, declared: Sequence[pr.Rule] = SHIPPED
+    f: Column, source_kind: Column, starts: Column, split: Column, dropped: Column, declared: Sequence[pr.Rule] = SHIPPED,
+    only: Collection[str] | None = None,
 ) -> Column:
-    """Loader and leakage hits of one fact, and those of the declared rules.
+    """Loader and leakage hits of one fact, and those of the declared rules; of the rules in `only`, where it is given.
 
     Three line systems meet here: loader rules count lines of the joined cells, leakage rules count
     lines within a code cell (and name it), plain files count their own lines.
@@ -218,8 +252,7 @@ def call_site_hits(
     in_notebook = source_kind == "notebook"
     first_line, last_line, arg = f["line_start"], f["line_end"], f["first_arg_name"]
     is_call, attr = f["kind"] == "call", f["attr"]
-    may_be = F.coalesce(F.split(f["qualified_name"], cs.ORIGINS), F.array().cast("array<string>"))  # every import counts
-    pickles = F.array_intersect(may_be, F.array(*map(F.lit, PICKLE_LOADERS)))
+    pickles = F.array_intersect(_may_be(f), F.array(*map(F.lit, PICKLE_LOADERS)))
 
     prefix = F.when(in_notebook, F.format_string("[cell %d] ", nb.code_cell_of(first_line, starts))).otherwise("")
     cell_first = F.when(in_notebook, nb.line_in_cell(first_line, starts)).otherwise(first_line)
@@ -227,44 +260,49 @@ def call_site_hits(
     seen_at = F.when(in_notebook, nb.marked_line(first_line, starts)).otherwise(first_line)
     split_at = F.when(in_notebook, nb.marked_line(split, starts)).otherwise(split)
 
-    def loads(rule: str, condition: Column, message: Column) -> Column:
-        return F.when(condition, hit(rule, first_line, last_line, message, f["evidence"]))
+    def loads(rule: str, message: Column) -> Column:
+        return hit(rule, first_line, last_line, message, f["evidence"])
 
-    def leaks(rule: str, order: int, condition: Column, message: Column) -> Column:
-        return F.when(condition, hit(rule, cell_first, cell_last, F.concat(prefix, message), f["evidence"], order))
+    def leaks(rule: str, order: int, message: Column) -> Column:
+        return hit(rule, cell_first, cell_last, F.concat(prefix, message), f["evidence"], order)
 
-    fits = attr.isin(*cs.FIT_METHODS) & ~f["first_arg_is_literal"]
-    of_call = F.array_compact(F.array(
-        loads("deserialization.unsafe-joblib-load", F.array_contains(may_be, "joblib.load"),
-              F.lit("`joblib.load` unpickles the file and runs whatever code it carries")),
-        loads("deserialization.unsafe-pickle-load", F.size(pickles) > 0,
-              F.format_string("`%s` runs whatever code the data carries", F.array_join(pickles, cs.ORIGINS))),
-        loads("deserialization.unsafe-torch-load", F.array_contains(may_be, "torch.load") & ~_is_true(f, "weights_only"),
-              F.lit("`torch.load` without `weights_only=True` unpickles the file")),
-        loads("deserialization.unsafe-numpy-load", F.array_contains(may_be, "numpy.load") & _is_true(f, "allow_pickle"),
-              F.lit("`numpy.load` with `allow_pickle=True` unpickles the file")),
-        leaks("leakage.fit-on-test", 1, attr.isin("fit", "fit_transform") & tx.is_test_name(arg),
-              F.format_string("`%s(%s, ...)` is fitted on test data", attr, arg)),
-        leaks("leakage.preprocessing-before-split", 3, fits & (first_line < split),
-              F.format_string("fitted on the full data (line %d) before the split (line %d)", seen_at, split_at)),
-    ))
-    by_data = pr.declared_hits(declared, f, source_kind, lambda rule, condition, message: leaks(rule.id, 4, condition, message))
+    hits = (
+        loads("deserialization.unsafe-joblib-load", F.lit("`joblib.load` unpickles the file and runs whatever code it carries")),
+        loads("deserialization.unsafe-pickle-load", F.format_string("`%s` runs whatever code the data carries", F.array_join(pickles, cs.ORIGINS))),
+        loads("deserialization.unsafe-torch-load", F.lit("`torch.load` without `weights_only=True` unpickles the file")),
+        loads("deserialization.unsafe-numpy-load", F.lit("`numpy.load` with `allow_pickle=True` unpickles the file")),
+        leaks(FIT_ON_TEST, 1, F.format_string("`%s(%s, ...)` is fitted on test data", attr, arg)),
+        leaks(FIT_BEFORE_SPLIT, 3, F.format_string("fitted on the full data (line %d) before the split (line %d)", seen_at, split_at)),
+    )
+    met = [F.when(c, h) for (rule, c), h in zip(_call_conditions(f, split).items(), hits, strict=True) if _asked(rule, only)]
+    of_call = F.array_compact(F.array(*met)) if met else F.expr(NO_HITS)
+    by_data = pr.declared_hits(
+        [r for r in declared if _asked(r.id, only)], f, source_kind, lambda rule, condition, message: F.when(condition, leaks(rule.id, 4, message)),
+    )
     if by_data is not None:
         of_call = F.concat(of_call, by_data)
+    if not _asked(LABEL_PROXY, only):
+        return F.when(is_call, of_call).otherwise(F.expr(NO_HITS))
     context = F.when(f["kind"] == "annotated", "an annotated assignment").otherwise("an assignment")
     proxies = F.filter(f["strings"], lambda s: tx.is_label_proxy(s) & ~F.array_contains(dropped, s))
     of_assignment = F.transform(proxies, lambda s: hit(
-        "leakage.label-proxy-feature", cell_first, cell_last,
+        LABEL_PROXY, cell_first, cell_last,
         F.concat(prefix, F.format_string("column `%s` in %s looks like a proxy of the label", s, context)),
         F.substring(f["evidence"], 1, 200), 2,
     ))
     return F.when(is_call, of_call).otherwise(of_assignment)
 
 
-def call_site_findings(facts: DataFrame, declared: Sequence[pr.Rule] = SHIPPED) -> DataFrame:
-    """Loader, leakage and declared findings from `notebook_facts` / `python_facts` / `corpus_facts`."""
-    hits = fact_rows(facts).select("path", "ord", F.posexplode_outer(call_site_hits(
-        F.col("f"), F.col("source_kind"), F.col("cell_starts"), F.col("split_line"), F.col("dropped"), declared
+def call_site_findings(
+    facts: DataFrame, declared: Sequence[pr.Rule] = SHIPPED, only: Collection[str] | None = None
+) -> DataFrame:
+    """Loader, leakage and declared findings from `notebook_facts` / `python_facts` / `corpus_facts`.
+
+    Where `only` names rules, no hit of another one is built.
+    """
+    f, kind, split = F.col("f"), F.col("source_kind"), F.col("split_line")
+    hits = fact_rows(facts).filter(may_hit(f, kind, split, declared, only)).select("path", "ord", F.posexplode_outer(call_site_hits(
+        f, kind, F.col("cell_starts"), split, F.col("dropped"), declared, only
     )).alias("pos", "hit")).filter(F.col("hit").isNotNull())
     return as_findings(dedupe_hits(hits.select("path", F.struct("ord", "pos").alias("place"), "hit.*")), declared=declared)
 
@@ -272,7 +310,7 @@ def call_site_findings(facts: DataFrame, declared: Sequence[pr.Rule] = SHIPPED)
 def declared_findings(files: DataFrame, declared: Sequence[pr.Rule]) -> DataFrame:
     """Findings of declared rules alone on `(path, content, source_kind)`: one parse for all of them."""
     ids = [r.id for r in declared]
-    return call_site_findings(corpus_facts(files, declared), declared).filter(F.col("rule_id").isin(*ids))
+    return call_site_findings(corpus_facts(files, declared), declared, only=ids).filter(F.col("rule_id").isin(*ids))
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import notebooks as nb
 from ..sources.files import file_kind
 from . import callsites as cs
 
@@ -17,14 +16,8 @@ def unreadable(files: DataFrame) -> DataFrame:
     a notebook or Python file may not parse (looked at where it holds a word that a rule asks about).
     """
     kind = file_kind(F.col("path"))
-    opened = (
-        files.select("path", "content", kind.alias("kind")).filter(F.col("kind").isNotNull())
-        .withColumn("read", nb.parsed(F.when(F.col("kind") == "notebook", F.col("content"))))
-        .withColumn("module", F.when(F.col("kind") == "notebook", nb.module_text(F.col("read.code"))).when(F.col("kind") == "python", F.col("content")))
-    )
-    facts = cs.with_call_sites(opened)
-    reason = (
-        F.when(F.col("content").isNull(), "not UTF-8").when(F.col("read.problem").isNotNull(), F.col("read.problem"))
-        .when(F.col("facts").isNull() & F.col("module").rlike(cs.WORTH_PARSING), "source does not parse")
-    )
-    return facts.select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    opened = files.select("path", "content", kind.alias("kind")).filter(F.col("kind").isNotNull())
+    source = F.when(F.col("kind") != "requirements", F.col("content"))
+    looked_at = opened.withColumn("problem", cs.document_problem(source, F.col("kind") == "notebook"))
+    reason = F.when(F.col("content").isNull(), "not UTF-8").otherwise(F.col("problem"))
+    return looked_at.select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())

@@ -356,8 +356,12 @@ def _loader(rule, where, evidence):
     return sql("nbok", f"SELECT path AS file, 10 AS line_start, {evidence} AS evidence FROM nbok WHERE {where}")
 
 
+def _notebook_rule(spark, sf, rule, *columns):
+    return _rule(rl.call_site_findings(rl.notebook_facts(st.notebooks(spark, sf)), only=[rule]), rule, *columns)
+
+
 def _loads(spark, sf, rule):
-    return _rule(rl.call_site_findings(rl.notebook_facts(st.notebooks(spark, sf))), rule, "file", "line_start", "evidence")
+    return _notebook_rule(spark, sf, rule, "file", "line_start", "evidence")
 
 
 @query("R5_unsafe_joblib", _loader("", "et = 'click'", st._quoted("joblib.load(~m.pkl~)")))
@@ -385,7 +389,7 @@ _R9 = """SELECT path AS file, 2 AS line_start, '[cell 3] fitted on the full data
 
 @query("R9_fit_before_split", sql("nbok", _R9))
 def _r9(spark, sf):
-    return _rule(rl.call_site_findings(rl.notebook_facts(st.notebooks(spark, sf))), "leakage.preprocessing-before-split", "file", "line_start", "message")
+    return _notebook_rule(spark, sf, "leakage.preprocessing-before-split", "file", "line_start", "message")
 
 
 @query("J6_fit_line_before_split", sql("nbok", "SELECT path, 14 AS fit_line, 16 AS split_line FROM nbok WHERE k % 8 IN (0, 1)"))
@@ -397,13 +401,13 @@ def _j6(spark, sf):
 
 @query("R10_fit_on_test", sql("nbok", "SELECT path AS file, 5 AS line_start, '[cell 3] `fit(X_test, ...)` is fitted on test data' AS message FROM nbok WHERE k % 10 = 0"))
 def _r10(spark, sf):
-    return _rule(rl.call_site_findings(rl.notebook_facts(st.notebooks(spark, sf))), "leakage.fit-on-test", "file", "line_start", "message")
+    return _notebook_rule(spark, sf, "leakage.fit-on-test", "file", "line_start", "message")
 
 
 @query("R11_label_proxy", sql("nbok", """
   SELECT path AS file, 1 AS line_start, '[cell 2] column `difficulty_level` in an assignment looks like a proxy of the label' AS message FROM nbok WHERE k % 6 IN (0, 2)"""))
 def _r11(spark, sf):
-    return _rule(rl.call_site_findings(rl.notebook_facts(st.notebooks(spark, sf))), "leakage.label-proxy-feature", "file", "line_start", "message")
+    return _notebook_rule(spark, sf, "leakage.label-proxy-feature", "file", "line_start", "message")
 
 
 @query("J5_proxies_not_dropped", sql("nbok", "SELECT path, 'difficulty_level' AS name FROM nbok WHERE k % 6 IN (0, 2)"))
@@ -413,33 +417,33 @@ def _j5(spark, sf):
     return named.filter(tx.is_label_proxy(F.col("name")) & ~F.array_contains("dropped", F.col("name"))).select("path", "name")
 
 
-def _plain(spark, sf):
-    return rl.call_site_findings(rl.python_facts(st.python_files(spark, sf)))
+def _python_rule(spark, sf, rule, *columns):
+    return _rule(rl.call_site_findings(rl.python_facts(st.python_files(spark, sf)), only=[rule]), rule, *columns)
 
 
 @query("R10_fit_on_test_python", sql("py", "SELECT path AS file, 3 AS line_start FROM py WHERE o_custkey % 5 IN (0, 2, 4)"))
 def _r10p(spark, sf):
-    return _rule(_plain(spark, sf), "leakage.fit-on-test", "file", "line_start")
+    return _python_rule(spark, sf, "leakage.fit-on-test", "file", "line_start")
 
 
 @query("R11_label_proxy_python", sql("py", "SELECT path AS file, 4 AS line_start FROM py WHERE o_orderkey % 3 = 0"))
 def _r11p(spark, sf):
-    return _rule(_plain(spark, sf), "leakage.label-proxy-feature", "file", "line_start")
+    return _python_rule(spark, sf, "leakage.label-proxy-feature", "file", "line_start")
 
 
 @query("R12_fit_on_test_arg", sql("py", "SELECT path AS file, 3 AS line_start, '`fit(X_test, ...)` is fitted on a test variable' AS message FROM py WHERE o_custkey % 5 = 0"))
 def _r12(spark, sf):
-    return _rule(_plain(spark, sf), "ml-hygiene.fit-on-test-arg", "file", "line_start", "message")
+    return _python_rule(spark, sf, "ml-hygiene.fit-on-test-arg", "file", "line_start", "message")
 
 
 @query("R13_fit_transform_on_test_arg", sql("py", "SELECT path AS file, 3 AS line_start FROM py WHERE o_custkey % 5 = 1"))
 def _r13(spark, sf):
-    return _rule(_plain(spark, sf), "ml-hygiene.fit-transform-on-test-arg", "file", "line_start")
+    return _python_rule(spark, sf, "ml-hygiene.fit-transform-on-test-arg", "file", "line_start")
 
 
 @query("R14_split_without_shuffle", sql("py", "SELECT path AS file, 2 AS line_start, 'train_test_split(X, shuffle=False)' AS evidence FROM py WHERE o_orderkey % 4 = 0"))
 def _r14(spark, sf):
-    return _rule(_plain(spark, sf), "ml-hygiene.train-test-split-with-shuffle-false", "file", "line_start", "evidence")
+    return _python_rule(spark, sf, "ml-hygiene.train-test-split-with-shuffle-false", "file", "line_start", "evidence")
 
 
 _SECRET_SQL = " UNION ALL ".join(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import blank_magic
+from ..functions.text import MAGIC_LINE, blank_magic
 from ..schemas import NOTEBOOK
 
 _ARROW_NOTEBOOK = to_arrow_type(NOTEBOOK)
@@ -35,8 +36,10 @@ def without_cycle_search() -> Iterator[None]:
             gc.enable()
 
 
-def _valid(text: str) -> str:
+def valid_text(text: str) -> str:
     """Escapes may spell halves of surrogate pairs, which no UTF-8 text can hold."""
+    if text.isascii():
+        return text
     try:
         text.encode()
     except UnicodeEncodeError:
@@ -50,17 +53,18 @@ def _leaves(value: object) -> list[str]:
     while todo:
         v = todo.pop()
         if isinstance(v, str):
-            found.append(_valid(v))
+            found.append(valid_text(v))
         elif isinstance(v, (list, dict)):
             todo += reversed(v if isinstance(v, list) else list(v.values()))
     return found
 
 
-def read_notebook(content: str) -> dict:
+def read_notebook(content: str, with_outputs: bool = True) -> dict:
     """`problem` (NULL if there is none) and the code cells of one document.
 
     The standard library's reader takes whatever notebooks hold in practice: NaN, repeated keys, texts of any
     length. `source` may be a string or a list of strings; a cell with another kind of source is left out.
+    The texts of saved outputs are gathered for those who ask for them.
     """
     try:
         document = json.loads(content)
@@ -74,12 +78,26 @@ def read_notebook(content: str) -> dict:
         if isinstance(cell, dict) and cell.get("cell_type") == "code":
             source = cell.get("source", "")
             if isinstance(source, list):
-                source = "".join(s for s in source if isinstance(s, str))
+                try:
+                    source = "".join(source)
+                except TypeError:  # what is no text is left out
+                    source = "".join(s for s in source if isinstance(s, str))
             if isinstance(source, str):
-                code.append({"cell_idx": i, "source": _valid(source), "outputs": _leaves(cell.get("outputs"))})
+                code.append({"cell_idx": i, "source": valid_text(source), "outputs": _leaves(cell.get("outputs")) if with_outputs else []})
     return {"problem": None, "code": code}
 
 
+_MAGIC = re.compile(MAGIC_LINE.replace("(?md)", "(?m)"))  # only a newline ends a line here anyway
+
+
+def joined_code(code: list[dict]) -> tuple[str, list[int]]:
+    """What `module_text` and `cell_starts` give, for a worker that goes on with the cells it has read."""
+    starts = [1]
+    for cell in code:
+        starts.append(starts[-1] + cell["source"].count("\n") + 1)
+    return "\n".join([_MAGIC.sub("", s) if "!" in s or "%" in s else s for s in (cell["source"] for cell in code)]), starts
+
+
 @F.arrow_udf(NOTEBOOK)
 def _read(contents: pa.Array) -> pa.Array:
     with without_cycle_search():
