@@ -365,3 +365,20 @@ def test_asking_for_one_rule_gives_its_findings(spark):
         alone = rules.call_site_findings(facts, only=[rule])
         assert sorted(map(str, alone.collect())) == sorted(str(r) for r in everything if r["rule_id"] == rule)
     assert not rules.call_site_findings(facts, only=[]).collect()
+
+
+def test_rows_of_one_row_group_are_rendered_by_all_tasks(spark, tmp_path):
+    """Splits are cut by bytes, and the one with the row group's middle reads all of its rows."""
+    from wardflow.plans import standins
+
+    spark.read.parquet("/root/testdata/sf0.01/events.parquet").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        source = standins.table(spark, str(tmp_path), "events")
+        cores = spark.sparkContext.defaultParallelism
+        assert source.rdd.getNumPartitions() >= cores and sum(n > 0 for n in source.rdd.glom().map(len).collect()) == 1
+        rendered = standins._render_notebooks(spark, str(tmp_path)).rdd.glom().map(len).collect()
+        assert sum(rendered) == source.count() and max(rendered) < 2 * sum(rendered) / len(rendered)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
