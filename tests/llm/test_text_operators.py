@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -355,6 +356,76 @@ def test_passages_just_over_fifty_words_inside_longer_lines(spark):
     assert plain_runs(texts) <= got <= plain_runs(texts, 14)
 
 
+def plain_word_by_word(rows):
+    """The runs of `substring.repeated_runs`, fingerprint by fingerprint and text by text."""
+    size, window, stub = substring.RUN_WORDS, substring.WINDOW, substring.STUB_WORDS
+    texts, owners = [], collections.defaultdict(set)
+    for d, t in rows:
+        _, _, first, end, _, grams, _, b, chosen = substring._marked(pa.RecordBatch.from_pydict({"doc_id": [d], "text": [t]}))
+        points = substring._points(np.frombuffer((t + "\n").encode(), np.uint8))
+        texts.append((d, grams[:b[0]].tolist(), np.flatnonzero(chosen[:b[0]]), points[first], points[end]))
+        for i in texts[-1][2]:
+            owners[texts[-1][1][i]].add(d)
+    near, n, docs = [], collections.Counter(), collections.defaultdict(set)
+    for d, grams, chosen, _, _ in texts:
+        near.append(sorted({j for i in chosen if len(owners[grams[i]]) > 1 for j in range(max(0, i - window + 1), min(len(grams), i + window))}))
+        n.update({grams[i] for i in near[-1]})
+        for i in near[-1]:
+            docs[grams[i]].add(d)
+    kept, starts = [], collections.defaultdict(list)
+    for (d, grams, _, first, _), places in zip(texts, near):
+        places, stay = [i for i in places if len(docs[grams[i]]) > 1], []
+        cuts = [k for k in range(len(places) + 1) if k in (0, len(places)) or places[k] - places[k - 1] > 1]
+        for x, y in zip(cuts, cuts[1:]):
+            counts = [n[grams[i]] for i in places[x:y]]
+            tail, head = counts[::-1][:stub + 1], counts[:stub + 1]
+            for k, i in enumerate(places[x:y]):
+                left, right = len(counts) - 1 - k, k
+                if not (left < stub and max(tail[left + 1:], default=0) > counts[k] or right < stub and max(head[right + 1:], default=0) > counts[k]):
+                    stay.append(i)
+                    starts[d, grams[i]].append(first[i])
+        kept.append(stay)
+    out = set()
+    for (d, grams, _, first, end), places in zip(texts, kept):
+        runs = []
+        for i in places:
+            least = min(docs[grams[i]])
+            key = (least, d != least or first[i] != min(starts[d, grams[i]]))
+            if runs and runs[-1][0] == key and runs[-1][2] == i - 1:
+                runs[-1][2] = i
+            else:
+                runs.append([key, i, i])
+        out |= {(d, int(first[i]), int(end[j + size - 1]), j - i + size, least, bool(removed)) for (least, removed), i, j in runs}
+    return out
+
+
+def test_runs_by_spans_equal_runs_word_by_word(spark):
+    draw, rows = random.Random(5), []
+    vocabulary = [f"w{i}" for i in range(60)] + ["\u00e9t\u00e9"]
+    pool = [[draw.choice(vocabulary) for _ in range(draw.randrange(20, 160))] for _ in range(8)]
+    for _ in range(50):
+        words = []
+        for _ in range(draw.randrange(1, 6)):
+            piece = list(draw.choice(pool)) if draw.random() < 0.7 else [draw.choice(vocabulary) for _ in range(draw.randrange(1, 50))]
+            piece = piece[draw.choice([0, draw.randrange(len(piece))]):] * draw.choice([1, 1, 1, 3])
+            piece[draw.randrange(len(piece))] = draw.choice(vocabulary)
+            words += piece
+        rows.append((draw.randrange(40), " ".join(words)))  # some ids have several rows
+    rows += [(50, "same " * 90), (51, "x " + "same " * 70 + "y")]
+    got = substring.repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    want = plain_word_by_word(rows)
+    assert len(want) > 50
+    assert {(r["doc_id"], r["start"], r["end"], r["n_words"], r["component_id"], r["removed"]) for r in got} == want
+
+
+def test_copied_texts_are_placed_by_spans_not_by_words(spark):
+    docs = spark.createDataFrame([(i, prose(90, 800)) for i in range(20)], "doc_id bigint, text string")
+    every, none = np.full(1 << 13, 255, np.uint8), np.zeros(1 << 13, np.uint8)
+    assert 0 < substring.stretches(docs, every, none).count() < 20 * 800 / 8
+    sets = substring.fingerprint_sets(docs, every).filter(f"kind = {substring.WHOLE}")
+    assert sets.select("set_id").distinct().count() * 20 == sets.count() < 20 * 800 / 8
+
+
 # -- shards ------------------------------------------------------------------------------------------------------
 
 

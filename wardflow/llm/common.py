@@ -21,8 +21,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
+_LOWER = np.arange(1, 257, dtype=np.uint64)  # one more than the byte
+_LOWER[ord("A"):ord("Z") + 1] += np.uint64(32)
 _WORD_BASE, _WORD_INVERSE = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
 
 
@@ -89,11 +89,20 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), starts
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, base, np.uint64)
-    if n:
-        steps[0] = 1
-    return np.multiply.accumulate(steps)
+    """The first `n` powers; those that a slice needs are kept for the next one."""
+    steps = _POWERS.get(base)
+    if steps is None or len(steps) < n:
+        steps = np.full(n, base, np.uint64)
+        steps[:1] = 1
+        np.multiply.accumulate(steps, out=steps)
+        steps.flags.writeable = False
+        if n <= 2 * SLICE_BYTES:
+            _POWERS[base] = steps
+    return steps[:n]
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,8 +116,9 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, end = edge[0::2], edge[1::2]
     if not len(first):
         return first, end, np.zeros(0, np.uint64)
-    terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(_WORD_BASE, len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(_LOWER[data], powers(_WORD_BASE, len(data)), out=sums[1:])
+    np.cumsum(sums, out=sums)
     value = (sums[end] - sums[first]) * powers(_WORD_INVERSE, len(data))[first]
     return first, end, mix64(value ^ (end - first).astype(np.uint64))
 

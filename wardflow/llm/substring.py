@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, mix64, powers, stored, text_bytes, text_slices, words
@@ -17,6 +17,8 @@ BANDS, ROWS, WIDTH, PERCENT = 6, 2, 5, 75  # a pair at 0.75 shares a band with p
 LINE_WORDS = 30  # shortest paragraph that is looked at
 RUN_WORDS, WINDOW = 14, 37  # words of a fingerprint, fingerprints in a window: a run of 50 words fills a window
 STUB_WORDS = 4  # as many words that only some of a passage's documents share beyond its end count as chance
+EVERY = Window.unboundedPreceding, Window.unboundedFollowing
+WHOLE, LOOSE, AGAIN = 0, 1, 2  # kinds of sets of fingerprints, see `fingerprint_sets`
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -51,14 +53,23 @@ def _chosen(grams: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.
     return out
 
 
-def _sequence_ids(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
-    """16 bytes for the words a to b of each span; the same words give the same id."""
+def _sequences(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two numbers for the words (or fingerprints) a to b of each span; the same ones give the same numbers."""
     out = np.empty((len(a), 2), np.uint64)
     for k, base in enumerate(_BASES):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers(base, len(hashes)), dtype=np.uint64)))
         value = (sums[b] - sums[a]) * powers(pow(base, -1, 1 << 64), len(hashes) + 1)[a]
         out[:, k] = mix64(value ^ (b - a).astype(np.uint64))
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(a), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+    return out
+
+
+def _as_ids(numbers: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(numbers), [None, pa.py_buffer(numbers.tobytes())]).cast(pa.binary())
+
+
+def _sequence_ids(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """16 bytes for the words a to b of each span."""
+    return _as_ids(_sequences(hashes, a, b))
 
 
 def _keys(grams: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -150,82 +161,160 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint")
 
 
+def _within(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from a to b of each span, and the number of the span."""
+    span = np.repeat(np.arange(len(a)), b - a)
+    return np.arange(len(span)) + (a - np.cumsum(b - a) + (b - a))[span], span
+
+
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """Places of the distinct rows in order, the first column first."""
+    order, new = np.lexsort(columns[::-1]), np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        new |= np.diff(c[order]) != 0
+    return order[np.append(np.ones(min(1, len(order)), bool), new)]
+
+
+def _repeats(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of the rows with an owner and value that another row has too, and perhaps of a few more, by owner and value."""
+    keys = values + owner.astype(np.uint64) * np.uint64(_BASES[0])
+    order = np.sort(keys)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys)
+    return at[np.lexsort((values[at], owner[at]))]
+
+
 def _around(part: pa.RecordBatch, held: np.ndarray) -> tuple:
-    """What `_marked` gives, and which fingerprints lie less than a window away from a chosen one that `held` lets through."""
+    """What `_marked` gives; which fingerprints lie less than a window away from a chosen one that `held` lets through (a hit); and spans.
+
+    A span goes from a hit up to the next chosen fingerprint, if that is a hit too. Whether one is chosen between them
+    depends on the words between them only, so where a run of words is shared, its spans are. Given are the span of
+    each fingerprint (-1: none), where spans begin and one past their ends. One in which a fingerprint repeats is none.
+    """
     marked = _marked(part)
     *_, doc, grams, a, b, chosen = marked
-    hits = np.flatnonzero(chosen)
-    hits = hits[may_hold(held, pa.array(grams[hits].view(np.int64)))]
+    places = np.flatnonzero(chosen)
+    known = may_hold(held, pa.array(grams[places].view(np.int64)))
+    hits = places[known]
     edge = np.zeros(len(grams) + 1, np.int64)
     np.add.at(edge, np.maximum(hits - WINDOW + 1, a[doc[hits]]), 1)
     np.add.at(edge, np.minimum(hits + WINDOW, b[doc[hits]]), -1)
-    return marked, np.flatnonzero(np.cumsum(edge))
-
-
-def nodes_around(docs: DataFrame, held: np.ndarray) -> DataFrame:
-    """The distinct fingerprints of each text that lie around a chosen one that the filter `held` lets through."""
+    both = known[:-1] & known[1:] & (doc[places[:-1]] == doc[places[1:]])
+    x, y = places[:-1][both], places[1:][both]
+    at, span = _within(x, y)
+    again = _repeats(span, grams[at])
+    at, span = at[again], span[again]
+    once = np.ones(len(x), bool)
+    once[span[1:][(span[1:] == span[:-1]) & (grams[at[1:]] == grams[at[:-1]])]] = False
+    x, y = x[once], y[once]
+    of_span = np.full(len(grams), -1)
+    at, span = _within(x, y)
+    of_span[at] = span
+    return marked, np.flatnonzero(np.cumsum(edge)), of_span, x, y
+
+
+def fingerprint_sets(docs: DataFrame, held: np.ndarray) -> DataFrame:
+    """The distinct fingerprints of each text around a chosen one that the filter `held` lets through, as sets that go by their content.
+
+    A WHOLE set is a span's, once a text; a text's LOOSE set has the fingerprints that are in no span. AGAIN has those
+    that are in several sets of the text, one time fewer than in sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                (*_, doc, grams, _, _, _), at = _around(part, held)
-                at = at[np.lexsort((grams[at], doc[at]))]
-                once = np.ones(len(at), bool)
-                once[1:] = (np.diff(doc[at]) != 0) | (grams[at][1:] != grams[at][:-1])
-                at = at[once]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[at])), pa.array(grams[at].view(np.int64))], names=["doc_id", "node"])
+                (*_, doc, grams, _, _, _), at, of_span, x, y = _around(part, held)
+                names = _sequences(grams, x, y)
+                kept = _distinct(doc[x], names[:, 0], names[:, 1])
+                inside, _ = _within(x[kept], y[kept])
+                loose = at[of_span[at] < 0]
+                loose = loose[_distinct(doc[loose], grams[loose])]
+                every = np.concatenate((inside, loose))
+                every = every[_repeats(doc[every], grams[every])]
+                again = every[1:][(np.diff(doc[every]) == 0) & (grams[every][1:] == grams[every][:-1])]
+                owners, sizes, ids, kinds = [doc[x[kept]]], [y[kept] - x[kept]], [names[kept]], [np.full(len(kept), WHOLE, np.int32)]
+                for kind, rows in ((LOOSE, loose), (AGAIN, again)):
+                    owner, first, n = np.unique(doc[rows], return_index=True, return_counts=True)
+                    owners, sizes, ids = [*owners, owner], [*sizes, n], [*ids, _sequences(grams[rows], first, first + n)]
+                    kinds.append(np.full(len(owner), kind, np.int32))
+                offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+                nodes = pa.array(grams[np.concatenate((inside, loose, again))].view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").take(pa.array(np.concatenate(owners))), _as_ids(np.concatenate(ids)), pa.array(np.concatenate(kinds)),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes),
+                    ],
+                    names=["doc_id", "set_id", "kind", "nodes"],
+                )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, set_id binary, kind int, nodes array<bigint>")
 
 
-def around(docs: DataFrame, held: np.ndarray, shared: np.ndarray) -> DataFrame:
-    """The fingerprints that `nodes_around` finds and the filter `shared` lets through, wherever they stand.
+def stretches(docs: DataFrame, held: np.ndarray, mixed: np.ndarray) -> DataFrame:
+    """What stands around chosen fingerprints that the filter `held` lets through, wherever it stands.
 
-    `at` is the place in the text; texts are looked at anew, since that costs less than to keep every place.
+    A fingerprint that the filter `mixed` lets through is a row of its own; the others of a span are rows as far as they
+    follow each other, those in no span are left out. `node` is the first fingerprint of a row, `set_id` its span's.
+    `at` and `last` are places in the text; texts are looked at anew, since that costs less than to keep every place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                (data, starts, first, end, doc, grams, a, _, _), at = _around(part, held)
-                at = at[may_hold(shared, pa.array(grams[at].view(np.int64)))]
+                (data, starts, first, end, doc, grams, a, _, _), at, of_span, x, y = _around(part, held)
+                alone = may_hold(mixed, pa.array(grams[at].view(np.int64)))
+                seen = alone | (of_span[at] >= 0)
+                at, alone = at[seen], alone[seen]
+                begins = np.ones(len(at), bool)
+                begins[1:] = alone[1:] | alone[:-1] | (np.diff(of_span[at]) != 0) | (np.diff(at) != 1)
+                place = np.flatnonzero(begins)
+                at, last = at[place], at[np.append(place[1:], len(at))[:len(place)] - 1]
+                span = of_span[at]
+                names = _sequences(grams, np.where(span < 0, at, np.append(x, 0)[span]), np.where(span < 0, at + 1, np.append(y, 0)[span]))
                 points = _points(data)
-                origin = points[starts[doc[at]]]
+                origin, words_before = points[starts[doc[at]]], a[doc[at]]
                 of_text = np.zeros(len(starts), np.int64)
                 for d in np.unique(doc[at]):
                     of_text[d] = int.from_bytes(hashlib.blake2b(data[starts[d]:starts[d + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").take(pa.array(doc[at])), pa.array(of_text[doc[at]]), pa.array((at - a[doc[at]]).astype(np.int64)),
-                        pa.array(points[first[at]] - origin), pa.array(points[end[at + RUN_WORDS - 1]] - origin), pa.array(grams[at].view(np.int64)),
+                        part.column("doc_id").take(pa.array(doc[at])), pa.array(of_text[doc[at]]), pa.array(at - words_before), pa.array(last - words_before),
+                        pa.array(points[first[at]] - origin), pa.array(points[end[last + RUN_WORDS - 1]] - origin), pa.array(grams[at].view(np.int64)), _as_ids(names),
                     ],
-                    names=["doc_id", "text_id", "at", "start", "end", "node"],
+                    names=["doc_id", "text_id", "at", "last", "start", "end", "node", "set_id"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text_id bigint, at bigint, start bigint, end bigint, node bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+        run, "doc_id bigint, text_id bigint, at bigint, last bigint, start bigint, end bigint, node bigint, set_id binary"
+    )
 
 
-def _repeated(rows: DataFrame, *more: Column) -> DataFrame:
-    """Nodes that occur in several documents, with the least one."""
-    return rows.groupBy("node").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most"), *more).filter("component_id < most").drop("most")
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Nodes that occur in several documents."""
+    return rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("node")
 
 
 def _without_stubs(found: DataFrame) -> DataFrame:
     """Drop ends of STUB_WORDS words or fewer that not all texts share which share the words next to them.
 
-    Fingerprints with the largest `n` near an end always stay, so no stretch is lost as a whole.
+    Rows with the largest `n` near an end always stay, so no stretch is lost as a whole. All words of a row are in as
+    many texts, so a row goes as a whole or not at all.
     """
     place = Window.partitionBy("doc_id", "text_id").orderBy("at")
-    apart = F.coalesce(F.col("at") - F.lag("at").over(place) > 1, F.lit(True)).cast("int")
-    stretch = Window.partitionBy("doc_id", "text_id", "stretch")
-    near = lambda a, b, end: F.coalesce(F.max(F.when(end <= STUB_WORDS, F.col("n"))).over(stretch.orderBy("at").rangeBetween(a, b)), F.lit(0))
-    to_end, to_begin = F.col("last") - F.col("at"), F.col("at") - F.col("begin")
+    apart = F.coalesce(F.col("at") - F.lag("last").over(place) > 1, F.lit(True)).cast("int")
+    stretch = Window.partitionBy("doc_id", "text_id", "stretch").orderBy("at")  # one order for all, so that rows are sorted once
+    whole, before, behind = stretch.rowsBetween(*EVERY), stretch.rowsBetween(EVERY[0], -1), stretch.rangeBetween(1, STUB_WORDS)
+    near = lambda close, rows: F.coalesce(F.max(F.when(close, F.col("n"))).over(rows), F.lit(0))
     return (
         found.withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(place))
-        .withColumn("begin", F.min("at").over(stretch)).withColumn("last", F.max("at").over(stretch))
-        .withColumn("inner_left", near(-STUB_WORDS, -1, to_end)).withColumn("inner_right", near(1, STUB_WORDS, to_begin))
-        .filter(~((to_end < STUB_WORDS) & (F.col("inner_left") > F.col("n"))) & ~((to_begin < STUB_WORDS) & (F.col("inner_right") > F.col("n"))))
-        .drop("apart", "stretch", "begin", "last", "inner_left", "inner_right")
+        .withColumn("head", F.min("at").over(whole)).withColumn("tail", F.max("last").over(whole))
+        .withColumn("inner_left", near(F.col("last") >= F.col("tail") - STUB_WORDS, before))
+        .withColumn("inner_right", near(F.col("at") <= F.col("head") + STUB_WORDS, behind))
+        .filter(~((F.col("at") > F.col("tail") - STUB_WORDS) & (F.col("inner_left") > F.col("n"))))
+        .filter(~((F.col("last") < F.col("head") + STUB_WORDS) & (F.col("inner_right") > F.col("n"))))
+        .drop("apart", "stretch", "head", "tail", "inner_left", "inner_right")
     )
 
 
@@ -233,23 +322,42 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """Runs of words that occur in another document too, exact to the word but for stubs.
 
     Two documents that share RUN_WORDS + WINDOW - 1 words in a row share a chosen fingerprint in each window of them
-    (winnowing). All fingerprints around the shared chosen ones are then counted, without their places, and those that
-    other documents have, one after another with the same least document, make a run.
+    (winnowing). The spans between shared chosen ones are counted as wholes, whatever else lies around them as one set
+    a text. A fingerprint of one span only is in the documents that have the span; only those that several
+    sets hold are counted and placed one by one. Fingerprints that other documents have, one after another with the same least
+    document, make a run.
     """
-    chosen = stored(_repeated(fingerprints(docs)).select("node"))
+    chosen = stored(_repeated(fingerprints(docs)))
     held = filter_of(chosen)
-    shared = stored(_repeated(nodes_around(docs, held), F.count("*").alias("n")))
+    sets = stored(
+        fingerprint_sets(docs, held).groupBy("set_id", "kind")
+        .agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("nodes").alias("nodes"))
+    )
     drop(chosen)
-    found = _without_stubs(around(docs, held, filter_of(shared)).join(shared, "node").repartition("doc_id"))
+    weight = F.when(F.col("kind") == AGAIN, -F.col("n")).otherwise(F.col("n"))
+    places = F.when(F.col("kind") == WHOLE, 1).when(F.col("kind") == LOOSE, 2).otherwise(0)  # a loose one has no span to tell its documents
+    mixed = stored(
+        sets.select(F.explode("nodes").alias("node"), weight.alias("n"), "least", "most", places.alias("places"))
+        .groupBy("node").agg(F.sum("n").alias("of_node"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("places").alias("places"))
+        .filter("least < most AND places > 1").select("node", "of_node", F.col("least").alias("least_of_node"))
+    )
+    whole = stored(sets.filter((F.col("kind") == WHOLE) & (F.col("least") < F.col("most"))).select("set_id", F.col("n").alias("of_set"), F.col("least").alias("least_of_set")))
+    drop(sets)
+    found = (
+        stretches(docs, held, filter_of(mixed)).join(mixed, "node", "left").join(whole, "set_id", "left")
+        .withColumn("n", F.coalesce("of_node", "of_set")).withColumn("component_id", F.coalesce("least_of_node", "least_of_set"))
+        .filter("component_id IS NOT NULL").select("doc_id", "text_id", "at", "last", "start", "end", "node", "n", "component_id")
+    )
+    found = _without_stubs(found.repartition("doc_id"))
     place = Window.partitionBy("doc_id", "text_id").orderBy("at")
     before = lambda c: F.lag(c).over(place)
-    goes_on = (F.col("at") - before("at") <= 1) & (F.col("component_id") == before("component_id")) & (F.col("removed") == before("removed"))
+    goes_on = (F.col("at") - before("last") <= 1) & (F.col("component_id") == before("component_id")) & (F.col("removed") == before("removed"))
     return (
         found.withColumn("first", F.min("start").over(Window.partitionBy("doc_id", "node")))
         .withColumn("removed", (F.col("doc_id") != F.col("component_id")) | (F.col("start") != F.col("first"))).drop("first")
         .withColumn("begins", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("run", F.sum("begins").over(place))
         .groupBy("doc_id", "text_id", "run").agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + RUN_WORDS).alias("n_words"),
+            F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("at") + RUN_WORDS).alias("n_words"),
             F.min("component_id").alias("component_id"), F.max("removed").alias("removed"),
         )
         .select("doc_id", "start", "end", "n_words", F.lit(False).alias("paragraph"), "component_id", "removed")
