@@ -114,3 +114,47 @@ def test_recall_is_reached_where_the_trees_do_not_suffice(spark, monkeypatch):
     monkeypatch.setattr(fo, "MAX_TREES", 64)
     result = fo.forest_neighbours(_table(spark, x, labels), 3, recall=0.99, leaf_rows=16, probes=50)
     assert 8 < result.trees < 64 and result.recall >= 0.99 and _true_recall(x, labels, result.neighbours.collect(), 3) >= 0.95
+
+
+def test_rows_are_not_copied_to_cells_that_pivots_do_not_rule_out(spark, monkeypatch):
+    """Without structure in many dimensions each row saw nearly every cell, and was written once for each."""
+    written, cut = [], kn.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(kn, "cut_lineage", counted)
+    x, labels = np.random.default_rng(6).normal(size=(1200, 32)), np.arange(1200) % 2
+    rows = kn.nearest_neighbours(_table(spark, x, labels), 3, block_rows=64).collect()
+    assert len(rows) == 3600 and _true_recall(x, labels, rows, 3) == 1.0 and max(written) <= 1200
+
+
+def test_all_rows_meet_once(spark, monkeypatch):
+    """Batches of trees that fall short are tried on the probes only."""
+    asked, met = [], fo._met
+
+    def counted(points, visitors, leaves, k):
+        asked.append(1200 if visitors is None else visitors.count())
+        return met(points, visitors, leaves, k)
+
+    monkeypatch.setattr(fo, "_met", counted)
+    x, labels = np.random.default_rng(3).normal(size=(1200, 32)), np.zeros(1200, int)
+    result = fo.forest_neighbours(_table(spark, x, labels), 3, recall=0.95, leaf_rows=16, probes=40)
+    assert result.trees > fo.BATCH and asked.count(1200) == 1 and set(asked[:-1]) == {40}
+    assert _true_recall(x, labels, result.neighbours.collect(), 3) >= 0.9
+
+
+def test_near_ties_and_copies_inside_a_block():
+    import pandas as pd
+
+    x = np.repeat(np.random.default_rng(9).integers(0, 3, size=(100, 4)).astype(float), 3, axis=0)
+    block = pd.DataFrame({"id": np.arange(300)[::-1], "features": list(x)})
+    got = kn._nearest_in_block(block, block.rename(columns={"id": "member_id", "features": "member"}), 3)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i, own in enumerate(block["id"]):
+        mates = sorted((far[i, j], int(other)) for j, other in enumerate(block["id"]) if other != own)[:3]
+        mine = got[got["id"] == own]
+        assert list(zip(mine["distance"], mine["neighbour_id"])) == mates
+    assert kn._nearest_in_block(block[:0], block.rename(columns={"id": "member_id", "features": "member"}), 3).empty

@@ -8,6 +8,7 @@ inside a leaf, so work and shuffle grow with (rows x trees), not with their squa
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, log2
 
 import numpy as np
@@ -62,7 +63,7 @@ def _leaves(rows: DataFrame, rounds: int, leaf_rows: int, seed: int) -> DataFram
     done: list[DataFrame] = []
     leaf = ["id", *_NODE, "part"]
     for step in range(rounds):
-        axes = range(step * BITS, (step + 1) * BITS)
+        axes = range(BITS)
         stats = open_rows.groupBy(*_NODE).agg(
             F.count("*").alias("n"),
             F.array(*[F.percentile_approx(F.col("places")[a], 0.5, 1000) for a in axes]).alias("middle"),
@@ -77,7 +78,8 @@ def _leaves(rows: DataFrame, rounds: int, leaf_rows: int, seed: int) -> DataFram
             above = (F.col("places")[a] > F.col("middle")[i]).cast("bigint")
             code = code + F.when(F.col("cuts") > i, above * (1 << i)).otherwise(0)
         open_rows = cut_lineage(
-            joined.filter("cuts > 0").withColumn("node", F.col("node") * (1 << BITS) + code).select(*rows.columns, "node")
+            joined.filter("cuts > 0").withColumn("node", F.col("node") * (1 << BITS) + code)
+            .withColumn("places", F.slice("places", BITS + 1, (rounds - step - 1) * BITS)).select(*rows.columns, "node")
         )
         if open_rows.isEmpty():
             break
@@ -102,7 +104,10 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _met(points: DataFrame, visitors: DataFrame | None, leaves: DataFrame, k: int) -> DataFrame:
-    """`(id, neighbour_id, distance)`: the k nearest leaf mates of each visitor in each tree."""
+    """`(id, neighbour_id, distance)`: the k nearest leaf mates of each visitor in each tree; features go to leaves with visitors only."""
+    if visitors is not None:
+        held = leaves.join(visitors.select("id"), "id", "left_semi").select(*_NODE, "part").distinct()
+        leaves = leaves.join(held, [*_NODE, "part"], "left_semi")
     asked = F.lit(True) if visitors is None else F.col("_asks").isNotNull()
     rows = leaves.join(points.select("id", "features"), "id")
     if visitors is not None:
@@ -131,13 +136,16 @@ def forest_neighbours(
 ) -> ForestResult:
     """`(id, neighbour_id, place, distance)` with the recall asked for, for `(id, class_id, features)` of finite numbers.
 
-    Trees are added in batches until `probes` visitors, picked by hash, find `recall` of their exact neighbours; their
-    exact search costs (probes x rows). Distances are exact, ids are unique, ties go to the smaller id among those
+    Trees are tried in batches on `probes` visitors, picked by hash, until these find `recall` of their exact neighbours; their
+    exact search costs (probes x rows). Then all visitors meet in the leaves of these trees, so rows are sent to
+    leaves once, not for batches that fall short. Distances are exact, ids are unique, ties go to the smaller id among those
     found, rows of a class with fewer than k others have fewer neighbours.
 
-    After each batch that falls short, leaves double up to LARGEST_LEAF, so what a tree finds keeps up with classes that
-    grow. Where `max_trees` do not reach the recall, the exact search answers (visitors x class members, in bounded
-    blocks). A `max_trees` of the caller's choice is a limit of the cost: there this raises instead.
+    After each batch that falls short, leaves grow fourfold up to LARGEST_LEAF, and the trees with the smaller leaves are given up:
+    what a tree finds keeps up with classes that grow, and few trees are in use. Where MAX_TREES do not reach the recall, or
+    trees of the largest leaves would compare a row with as many others as its class has, the exact search answers (visitors x
+    class members, in bounded blocks). A `max_trees` of the caller's choice is a limit of the cost: all trees stay in use, and
+    this raises where they do not suffice.
     """
     if leaf_rows < 2 * (k + 1):
         raise ValueError(f"leaves of {leaf_rows} rows are too small for {k} neighbours")
@@ -149,19 +157,26 @@ def forest_neighbours(
     picked = cut_lineage(asked.orderBy(hash_hex(f"{seed}-probe", F.col("id")), "id").limit(probes))
     exact = cut_lineage(nearest_neighbours(points, k, visitors=picked, seed=seed))
     largest = points.groupBy("class_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    found: DataFrame | None = None
-    reached, trees, most = 0.0, 0, MAX_TREES if max_trees is None else max_trees
+    in_use: list[DataFrame] = []  # the leaves of each batch
+    found: DataFrame | None = None  # by the probes
+    reached, trees, met, most = 0.0, 0, 0, MAX_TREES if max_trees is None else max_trees
     while trees < most:
         batch = range(trees, min(trees + BATCH, most))
         rounds = ceil(max(1.0, log2(max(2.0, largest / leaf_rows))) / BITS) + 1  # one more for uneven cuts
-        leaves = _leaves(_projected(points, batch, rounds * BITS, first["width"], seed), rounds, leaf_rows, seed)
-        met = _met(points, None if visitors is None else asked, leaves, k)
-        found = cut_lineage(_best(met if found is None else met.unionByName(found.select("id", "neighbour_id", "distance")), k))
-        trees = batch.stop
-        reached = measured_recall(found.join(picked.select("id"), "id", "left_semi"), exact)
+        leaves = cut_lineage(_leaves(_projected(points, batch, rounds * BITS, first["width"], seed), rounds, leaf_rows, seed))
+        in_use.append(leaves)
+        near = _met(points, picked, leaves, k)
+        found = cut_lineage(_best(near if found is None else near.unionByName(found.select("id", "neighbour_id", "distance")), k))
+        trees, met = batch.stop, met + len(batch) * leaf_rows
+        reached = measured_recall(found, exact)
         if reached >= recall:
-            return ForestResult(found, reached, trees)
-        leaf_rows = max(leaf_rows, min(2 * leaf_rows, LARGEST_LEAF))
+            every = _met(points, None if visitors is None else asked, reduce(DataFrame.unionByName, in_use), k)
+            return ForestResult(cut_lineage(_best(every, k)), reached, trees)
+        if max_trees is None and leaf_rows < LARGEST_LEAF:
+            in_use, found, met = [], None, 0
+        elif max_trees is None and met >= largest:
+            break
+        leaf_rows = max(leaf_rows, min(4 * leaf_rows, LARGEST_LEAF))
     if max_trees is None:
         near = nearest_neighbours(points, k, visitors=None if visitors is None else asked, seed=seed)
         return ForestResult(cut_lineage(near), 1.0, trees)
