@@ -83,13 +83,19 @@ def corpus_hits(files: DataFrame, declared: Sequence[Rule] = rules.SHIPPED, chec
     facts = cs.with_call_sites(
         units.filter(wanted).withColumn("module", F.when(is_module, F.col("text"))), wanted=asked,
     ).withColumn("split_line", cs.split_line(F.col("facts"))).withColumn("dropped", cs.dropped_columns(F.col("facts")))
-    rows = F.when(F.col("unit") == "requirements", numbered_lines(F.col("text"))).otherwise(tx.lines(F.col("text")))
-    by_line = F.flatten(F.transform(rows, lambda line, i: _line_hits(line, i + 1)))
-    by_fact = F.flatten(F.transform("facts", lambda f: rules.call_site_hits(
-        f, F.col("source_kind"), F.col("cell_starts"), F.col("split_line"), F.col("dropped"), declared
-    )))
-    found = facts.select("path", "unit_no", F.posexplode_outer(F.when(is_module, by_fact).otherwise(by_line)).alias("pos", "hit"))
-    return found.filter(F.col("hit").isNotNull()).select("path", F.struct("unit_no", "pos").alias("place"), "hit.*")
+    rows = F.when(is_module, F.lit(None)).when(F.col("unit") == "requirements", numbered_lines(F.col("text"))).otherwise(tx.lines(F.col("text")))
+    # A row per fact of a module and per line of another unit; those that no rule can hit are left out before hits are built.
+    context = ("path", "source_kind", "verified", "cell_starts", "split_line", "dropped", "unit_no", "unit", "cell_idx")
+    per_fact = facts.select(*context, rows.alias("rows"), F.posexplode_outer(F.when(is_module, F.col("facts"))).alias("fact_no", "f"))
+    per_line = per_fact.select(*context, "fact_no", "f", F.posexplode_outer("rows").alias("line_pos", "line"))
+    f, kind, split, line = F.col("f"), F.col("source_kind"), F.col("split_line"), F.col("line")
+    may_hit = F.when(f.isNotNull(), rules.may_hit(f, kind, split, declared)).otherwise((F.col("unit") == "requirements") | line.rlike(_MAYBE))
+    hits = F.when(f.isNotNull(), rules.call_site_hits(f, kind, F.col("cell_starts"), split, F.col("dropped"), declared)).otherwise(
+        _line_hits(line, F.col("line_pos") + 1)
+    )
+    place = F.struct("unit_no", F.coalesce("fact_no", "line_pos").alias("item"), "pos").alias("place")
+    found = per_line.filter(may_hit).select("path", "unit_no", "fact_no", "line_pos", F.posexplode_outer(hits).alias("pos", "hit"))
+    return found.filter(F.col("hit").isNotNull()).select("path", place, "hit.*")
 
 
 def audit_findings(files: DataFrame, run_id: str, *others: DataFrame, declared: Sequence[Rule] = rules.SHIPPED) -> DataFrame:
