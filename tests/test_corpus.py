@@ -396,7 +396,7 @@ def test_hits_are_built_for_lines_that_may_have_one(spark, monkeypatch):
     rows = au.corpus_hits(files).collect()
     found = sorted((r["path"], r["rule_id"], r["line_start"]) for r in rows)
     assert found == [
-        ("a.py", "leakage.fit-on-test", 4), ("a.py", "secrets.github-token", 2), ("a.py", "secrets.github-token", 5),
+        ("a.py", "leakage.fit-on-test", 4), ("a.py", "ml-hygiene.fit-on-test-arg", 4), ("a.py", "secrets.github-token", 2), ("a.py", "secrets.github-token", 5),
         ("b/requirements.txt", "supply_chain.unpinned-requirement", 1), ("b/requirements.txt", "supply_chain.unpinned-requirement", 4),
     ]
     assert len({(r["path"], r["place"]) for r in rows}) == len(rows)
